@@ -64,18 +64,19 @@ def compress_hosts(df: DataFrame, keys: list[str], host: str = "host", out: str
     by gaps and islands.  Everything up to the last step works on (key, family, number) rows, so no task
     holds more than one family's window and the lists built at the end are those of the result.
     """
-    pattern = r"^(.*?)(\d{1,18})(\D*)$"
-    first = F.substring_index(F.col(host), ".", 1)
+    pattern = r"^(.*?)(\d+)(\D*)$"
     names = df.select(*keys, F.col(host).alias("_h")).distinct()
     first = F.substring_index(F.col("_h"), ".", 1)
-    numbered = first.rlike(pattern)
+    # Numbers beyond a bigint stay part of the name.
+    number = F.regexp_extract(first, pattern, 2).try_cast("bigint")
+    numbered = number.isNotNull()
     parts = names.select(
         *keys,
         "_h",
         F.when(numbered, F.regexp_extract(first, pattern, 1)).otherwise(first).alias("_pre"),
         F.when(numbered, F.regexp_extract(first, pattern, 3)).otherwise("").alias("_post"),
         F.when(F.col("_h").contains("."), F.expr("substr(_h, instr(_h, '.'))")).otherwise("").alias("_dom"),
-        F.when(numbered, F.regexp_extract(first, pattern, 2).cast("bigint")).alias("_n"),
+        number.alias("_n"),
     )
     family = [*keys, "_pre", "_post", "_dom"]
     w = Window.partitionBy(*family).orderBy("_n")
@@ -90,12 +91,12 @@ def compress_hosts(df: DataFrame, keys: list[str], host: str = "host", out: str
         F.sum(F.col("_hi") - F.col("_lo") + 1).alias("_count"),
     )
     joined = F.array_join(F.col("_r._s"), ",")
-    number = (
+    digits = (
         F.when(F.col("_count").isNull(), "")
         .when(F.col("_count") == 1, joined)
         .otherwise(F.concat(F.lit("["), joined, F.lit("]")))
     )
-    named = ranges.select(*keys, F.concat("_pre", number, "_post", "_dom").alias("_name"))
+    named = ranges.select(*keys, F.concat("_pre", digits, "_post", "_dom").alias("_name"))
     return named.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_name")), ",").alias(out))
 
 

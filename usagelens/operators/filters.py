@@ -31,6 +31,7 @@ class Criteria:
     from_t: int | None = None
     to_t: int | None = None
     all_users: bool | None = None
+    exclude_system_users: bool | None = None
     exclude_system_commands: bool | None = None
     exclude_system_jobs: bool | None = None
     exclude_heartbeat: bool | None = None
@@ -95,38 +96,54 @@ def system_exclusions(
     return out
 
 
+# Fixed values: (all users, system commands excluded, heartbeats excluded) per operator.
+OPERATOR_DEFAULTS = {
+    "jobs": (False, True, True),
+    "load": (True, True, False),
+    "profile": (False, False, True),
+    "uptime": (True, False, False),
+    "export_samples": (True, False, False),
+    "metadata_bounds": (True, False, False),
+}
+
+
 def default_filters(op: str, criteria: Criteria) -> Criteria:
     """Fill in what each operator excludes unless told otherwise.
 
-    Job summaries leave out system commands and heartbeats, and by default look at all users when jobs or
-    excluded users are named.  Uptime, raw export and bounds see every record.  Load and profiles leave
-    out heartbeats only.
+    Naming jobs implies all users but the system's; naming excluded users implies all users.
     """
-    everything = op in ("uptime", "export_samples", "metadata_bounds")
-    all_users = criteria.all_users
-    if all_users is None:
-        all_users = everything or op != "jobs" or bool(criteria.jobs or criteria.exclude_users)
+    all_users, commands, heartbeat = OPERATOR_DEFAULTS[op]
+    system_users = False
+    if op not in ("uptime", "export_samples", "load"):
+        if criteria.jobs:
+            all_users, system_users = True, True
+        elif criteria.exclude_users:
+            all_users = True
 
     def default(value: bool | None, fallback: bool) -> bool:
         return fallback if value is None else value
 
     return replace(
         criteria,
-        all_users=all_users,
-        exclude_system_commands=default(criteria.exclude_system_commands, op == "jobs"),
-        exclude_system_jobs=default(criteria.exclude_system_jobs, op == "jobs"),
-        exclude_heartbeat=default(criteria.exclude_heartbeat, not everything),
+        all_users=default(criteria.all_users, all_users),
+        exclude_system_users=default(criteria.exclude_system_users, system_users),
+        exclude_system_commands=default(criteria.exclude_system_commands, commands),
+        exclude_system_jobs=default(criteria.exclude_system_jobs, False),
+        exclude_heartbeat=default(criteria.exclude_heartbeat, heartbeat),
     )
 
 
 def apply_criteria(df: DataFrame, criteria: Criteria, current_user: str | None = None) -> DataFrame:
-    """The record filter of an operator: the criteria and the exclusions their flags ask for."""
+    """The record filter of an operator: the criteria and the exclusions their flags ask for.
+
+    Without ``all_users`` only the current user's samples are kept, where a current user is given.
+    """
     out = filter_samples(df, criteria)
     if criteria.all_users is False and not criteria.users and current_user:
         out = out.filter(F.col("user") == current_user)
     return system_exclusions(
         out,
-        users=bool(criteria.exclude_system_jobs),
+        users=bool(criteria.exclude_system_users),
         commands=bool(criteria.exclude_system_commands),
         heartbeat=bool(criteria.exclude_heartbeat),
         system_jobs=bool(criteria.exclude_system_jobs),

@@ -230,7 +230,7 @@ def merge_by_host(streams: DataFrame) -> DataFrame:
 def merge_across_hosts(series: DataFrame, folded: bool) -> DataFrame:
     """One series over all hosts, each host a stream.
 
-    Folded series share their bucket times, so for buckets of a minute or more... see ``_across_folded``.
+    Folded series share their bucket times, so merging them is one aggregation by bucket.
     """
     if folded:
         return _across_folded(series)
