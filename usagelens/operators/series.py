@@ -52,7 +52,7 @@ def node_cpu_mem_series(
 ) -> DataFrame:
     """Per host: CPU use as % of the node's cores and resident memory as % of its memory.
 
-    ``sysinfo`` has one row per host: ``host, cores, memory_kb``.  ``compat`` gives the reference formula,
+    ``sysinfo`` has one row per host: ``host, cores, memory_kb``.  ``compat`` gives the older formula,
     which divides the summed percentage by the number of process streams and multiplies by 100 again.
     """
     merged = merge_by_host(streams)
