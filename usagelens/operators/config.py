@@ -65,8 +65,8 @@ def config_merged(
     hosts: str = "hosts",
 ) -> DataFrame:
     """Per job the capacities of all its hosts added up; hosts without configuration count nothing."""
-    exploded = jobs.select(*keys, time, F.explode(hosts).alias("host"))
-    found = config_asof(exploded, node_config, static, time).filter(F.col("cores").isNotNull())
+    members = jobs.select(*keys, time, F.explode(hosts).alias("_member"))
+    found = config_asof(members, node_config, static, time, "_member").filter(F.col("cores").isNotNull())
     return found.groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in CAPACITY])
 
 

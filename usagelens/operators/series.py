@@ -37,7 +37,8 @@ def anchored_series(
     )
     # The gap after a bucket is filled by the bucket itself: no join with a grid of all times.
     nxt = F.lead("_b").over(Window.partitionBy(*keys).orderBy("_b"))
-    spread = filled.withColumn("_e", F.explode(F.sequence(F.col("_b"), F.coalesce(nxt - 1, F.col("_b")))))
+    filled = filled.withColumn("_upto", F.coalesce(nxt - 1, F.col("_b")))
+    spread = filled.withColumn("_e", F.explode(F.sequence("_b", "_upto")))
     own = F.col("_e") == F.col("_b")
     return spread.select(
         *keys,

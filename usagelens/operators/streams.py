@@ -84,9 +84,10 @@ def host_bounds(samples: DataFrame) -> DataFrame:
 
 def merged_bounds(bounds: DataFrame, jobs: DataFrame, keys: list[str], hosts: str = "hosts") -> DataFrame:
     """For every merged job the bounds over all its hosts."""
-    exploded = jobs.select(*keys, F.explode(hosts).alias("host"))
+    members = jobs.select(*keys, F.explode(hosts).alias("_member"))
+    ends = bounds.select(F.col("host").alias("_member"), "earliest", "latest")
     return (
-        exploded.join(bounds, "host")
+        members.join(ends, "_member")
         .groupBy(*keys)
         .agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from usagelens.functions.hosts import match_hosts
 from usagelens.operators.config import available_hosts
 from usagelens.operators.filters import filter_time_host
 from usagelens.operators.streams import host_bounds, merged_bounds
@@ -118,7 +119,7 @@ def uptime(
             known = available_hosts(nodes, static, from_t, to_t)
         else:
             known = static.select("host")
-        known = filter_time_host(known, hosts=hosts)
+        known = match_hosts(known, hosts or [], prefix=True)
         out = out.unionByName(host_always_down(known, samples, from_t, to_t))
     if only_up or only_down:
         out = out.filter(F.col("state") == ("up" if only_up else "down"))

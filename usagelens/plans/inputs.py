@@ -42,7 +42,7 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     r = reports(spark, d)
     n_cards = (F.col("h") % 4).cast("int")
-    uuids = F.when(n_cards > 0, F.transform(F.sequence(F.lit(0), n_cards - 1), lambda i: F.concat_ws("/", "host", i.cast("string"))))
+    uuids = F.when(n_cards > 0, F.transform(F.sequence(F.lit(1), n_cards), lambda i: F.concat_ws("/", "host", i.cast("string"))))
     return r.select(
         format_time("t", "iso").alias("time"), "t", F.lit(CLUSTER).alias("cluster"), F.col("host").alias("node"), "host",
         F.lit("Linux").alias("os_name"),
@@ -55,7 +55,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
     r = reports(spark, d).filter("h % 4 > 0")
-    each = r.withColumn("index", F.explode(F.sequence(F.lit(0), (F.col("h") % 4 - 1).cast("int"))))
+    each = r.withColumn("index", F.explode(F.sequence(F.lit(1), (F.col("h") % 4).cast("int"))))
     return each.select(
         format_time("t", "iso").alias("time"), "t", F.lit(CLUSTER).alias("cluster"), F.col("host").alias("node"),
         F.col("index").cast("bigint").alias("index"), F.concat_ws("/", "host", F.col("index").cast("string")).alias("uuid"),
@@ -115,12 +115,12 @@ def cpu_samples(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select(
         F.col("vec_id").alias("t"), F.concat(F.lit("n"), F.col("label").cast("string")).alias("host"),
-        F.transform("embedding", lambda x: F.floor(x * 100000).cast("bigint")).alias("per_core"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 100000).cast("bigint")).alias("per_core"),
     )
 
 
 def gpu_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Card readings of each instant: cards 0 .. h % 4 - 1 of every host, from the event values."""
+    """Card readings of each instant: cards 1 .. h % 4 of every host, from the event values."""
     s = samples(spark, d).filter("cast(substring(host, 2, 9) as bigint) % 4 > 0")
     inst = s.groupBy("host", "t").agg(F.max(F.col("data_read_kb")).alias("v"), F.count(F.lit(1)).alias("c"))
     n = (F.substring("host", 2, 9).cast("int") % 4).cast("int")
@@ -129,7 +129,7 @@ def gpu_samples(spark: SparkSession, d: str) -> DataFrame:
         i.cast("bigint").alias("index"), F.concat_ws("/", "host", i.cast("string")).alias("uuid"),
         ((v + i * 7) % 101).cast("bigint").alias("ce_util"), ((v * 3 + i) % 101).cast("bigint").alias("memory_util"),
     )
-    return inst.select("t", "host", F.transform(F.sequence(F.lit(0), n - 1), card).alias("cards"))
+    return inst.select("t", "host", F.transform(F.sequence(F.lit(1), n), card).alias("cards"))
 
 
 def disk_samples(spark: SparkSession, d: str) -> DataFrame:

@@ -115,7 +115,7 @@ EPOCH_STEPS = CLEAN + job_steps("epoch = 0")
 
 # Summaries per job from the steps; conditions on the key are null-safe.
 ON_JOB = "a.host IS NOT DISTINCT FROM b.host AND a.job = b.job AND a.solo IS NOT DISTINCT FROM b.solo"
-JOBS = EPOCH_STEPS + f""",
+_JOB_SUMMARIES = f""",
 agg AS (
   SELECT host, job, solo, avg(cpu_util_pct) AS cpu_avg, max(cpu_util_pct) AS cpu_peak,
          avg(cpu_kb / 1048576.0::DOUBLE) AS mem_avg, max(cpu_kb / 1048576.0::DOUBLE) AS mem_peak,
@@ -139,6 +139,7 @@ jobs AS (
          a.read_kb // 1048576 AS read_gb, a.written_kb // 1048576 AS written_gb
   FROM agg a JOIN names b ON {ON_JOB} JOIN job_bounds c
     ON a.host IS NOT DISTINCT FROM c.host AND a.job = c.job AND a.solo IS NOT DISTINCT FROM c.solo)"""
+JOBS = EPOCH_STEPS + _JOB_SUMMARIES
 
 _REPORTS = f""",
 seen_days AS (SELECT DISTINCT host, t - t % 86400 AS t, CAST(substr(host, 2) AS BIGINT) AS h FROM samples),
@@ -157,7 +158,7 @@ config AS (
 cards AS (
   SELECT host AS node, t, CAST(i AS BIGINT) AS index, host || '/' || CAST(i AS VARCHAR) AS uuid,
          'G' || CAST(h % 3 AS VARCHAR) AS model, 8 * 1048576 * (1 + day // 10) AS memory
-  FROM (SELECT *, unnest(range(h % 4)) AS i FROM reports WHERE h % 4 > 0)),
+  FROM (SELECT *, unnest(range(1, h % 4 + 1)) AS i FROM reports WHERE h % 4 > 0)),
 static AS (
   SELECT DISTINCT host, 4 AS cores, 32 AS mem_gb, 1 AS gpu_cards, 16 AS gpumem_gb, 'static ' || host AS description
   FROM samples WHERE host IN ('n1', 'n3'))"""
@@ -186,6 +187,7 @@ CONFIGURED = (
     + asof("starts", "known", "stream_start", keep="l.host, l.stream_start", inner=True)
     + ", conf AS (SELECT c.* FROM clean c SEMI JOIN known k ON c.host = k.host AND c.stream_start = k.stream_start)"
 )
+CONFIGURED_JOBS = CONFIGURED + job_steps("epoch = 0", "conf") + _JOB_SUMMARIES
 
 ACCOUNTING = """WITH sacct AS (
   SELECT o_orderkey AS job_id, '' AS job_step, 'u' || CAST(o_custkey AS VARCHAR) AS "user",
