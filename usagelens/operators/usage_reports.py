@@ -163,12 +163,12 @@ def gpu_class_maps(jobs: DataFrame, classes: dict[str, str], n: int = 10, min_ru
 
     ``classes`` gives a host pattern per class; a job counts once in each class one of its hosts is in.
     """
-    labels = F.array(
-        *[
-            F.when(F.exists("hosts", lambda h, p=host_pattern_regex(p): h.rlike(p)), F.lit(name))
-            for name, p in classes.items()
-        ]
-    )
+
+    def member(pattern: str) -> Column:
+        regex = host_pattern_regex(pattern)
+        return F.exists("hosts", lambda h: h.rlike(regex))
+
+    labels = F.array(*[F.when(member(p), F.lit(name)) for name, p in classes.items()])
     df = jobs.filter((F.col("gpus") != 0) & (F.col("duration") >= min_runtime))
     df = df.withColumn("host_class", F.explode(F.filter(labels, lambda v: v.isNotNull())))
     df = df.withColumn("_x", F.ceil("sgpu_peak")).withColumn("_y", F.ceil("sgpumem_peak"))

@@ -31,7 +31,7 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     weeks; n7 never does.
     """
     seen = samples(spark, d).select("host", (F.col("t") - F.col("t") % DAY).alias("t")).distinct()
-    seen = seen.withColumn("h", F.substring("host", 2, 9).cast("bigint")).withColumn(
+    seen = seen.withColumn("h", F.substring("host", 2, 9).try_cast("bigint")).withColumn(
         "day", F.floor((F.col("t") - EVENTS_START) / DAY)
     )
     even = (F.col("h") % 2 == 0) & (F.col("day") % 5 == 0)
@@ -121,9 +121,9 @@ def cpu_samples(spark: SparkSession, d: str) -> DataFrame:
 
 def gpu_samples(spark: SparkSession, d: str) -> DataFrame:
     """Card readings of each instant: cards 1 .. h % 4 of every host, from the event values."""
-    s = samples(spark, d).filter("cast(substring(host, 2, 9) as bigint) % 4 > 0")
+    s = samples(spark, d).filter("try_cast(substring(host, 2, 9) as bigint) % 4 > 0")
     inst = s.groupBy("host", "t").agg(F.max(F.col("data_read_kb")).alias("v"), F.count(F.lit(1)).alias("c"))
-    n = (F.substring("host", 2, 9).cast("int") % 4).cast("int")
+    n = (F.substring("host", 2, 9).try_cast("int") % 4).cast("int")
     v = (F.col("v") / 1024).cast("bigint")
     card = lambda i: F.struct(
         i.cast("bigint").alias("index"), F.concat_ws("/", "host", i.cast("string")).alias("uuid"),
