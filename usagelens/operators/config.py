@@ -73,11 +73,11 @@ def config_merged(
 def drop_unconfigured(streams: DataFrame, node_config: DataFrame, static: DataFrame | None = None) -> DataFrame:
     """Keep streams whose host has a configuration at the stream's first time.
 
-    The lookup runs on the distinct (host, first time) pairs.  An empty result is the caller's error to raise.
+    The dimension is looked up for each row: while Spark can broadcast it, the streams are not shuffled.
+    An empty result is the caller's error to raise.
     """
-    starts = streams.select("host", "stream_start").distinct()
-    known = config_asof(starts, node_config, static, "stream_start").filter(F.col("cores").isNotNull())
-    return streams.join(known.select("host", "stream_start"), ["host", "stream_start"], "left_semi")
+    found = config_asof(streams, node_config, static, "stream_start").filter(F.col("cores").isNotNull())
+    return found.select(*streams.columns)
 
 
 def node_config(nodes: DataFrame, cards: DataFrame) -> DataFrame:

@@ -214,13 +214,13 @@ def filter_job_flags(
     return jobs.filter(_conjunction(terms)) if terms else jobs
 
 
-def filter_sacct(
-    jobs: DataFrame, states: list[str] | None = None, users: list[str] | None = None,
+def sacct_condition(
+    states: list[str] | None = None, users: list[str] | None = None,
     accounts: list[str] | None = None, partitions: list[str] | None = None,
     reservations: list[str] | None = None, gpu_types: list[str] | None = None,
     job_ids: list[int] | None = None, some_gpu: bool = False, no_gpu: bool = False,
     min_runtime: int = 0, max_runtime: int = 0,
-) -> DataFrame:
+) -> Column:
     """Sets on the main record, GPU type by prefix, job also by array or het ID, runtime range."""
     terms: list[Column] = []
     for column, values in (
@@ -245,7 +245,12 @@ def filter_sacct(
     terms.append(F.col("elapsed") >= min_runtime)
     if max_runtime > 0:
         terms.append(F.col("elapsed") <= max_runtime)
-    return jobs.filter(_conjunction(terms))
+    return _conjunction(terms)
+
+
+def filter_sacct(jobs: DataFrame, **criteria) -> DataFrame:
+    """Jobs whose main record meets the criteria of :func:`sacct_condition`."""
+    return jobs.filter(sacct_condition(**criteria))
 
 
 def filter_sacct_hosts(jobs: DataFrame, hosts: list[str], node_list: str = "node_list") -> DataFrame:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.gpus import gpu_set_size, gpu_set_union, is_unknown
 from usagelens.functions.scalars import job_mark, kb_to_gb, round_half_up
-from usagelens.operators.config import CAPACITY, config_merged, drop_unconfigured
+from usagelens.operators.config import CAPACITY, config_asof, drop_unconfigured
 from usagelens.operators.filters import (
     Criteria,
     apply_criteria,
     default_filters,
     filter_job_aggregates,
     filter_job_flags,
+    sacct_condition,
 )
 from usagelens.operators.merge import JOB_KEY, merge_by_epoch, merge_by_host_job, merge_by_job
-from usagelens.operators.streams import clean_streams, host_bounds, merged_bounds
+from usagelens.operators.streams import clean_streams, host_bounds
 
 KB_PER_GB = 1 << 20
 
@@ -68,20 +71,33 @@ def job_times(jobs: DataFrame) -> DataFrame:
 
 def job_liveness(jobs: DataFrame, bounds: DataFrame) -> DataFrame:
     """Adds whether the job was live at the bounds of its hosts, the mark and the classification bits."""
-    per_job = merged_bounds(bounds, jobs, JOB_KEY)
-    cond = [jobs[c].eqNullSafe(per_job[c]) for c in JOB_KEY]
-    joined = jobs.join(per_job, cond, "left").select(jobs["*"], "earliest", "latest")
-    start, end = F.col("first") == F.col("earliest"), F.col("last") == F.col("latest")
-    return (
-        joined.withColumn("live_at_start", start)
-        .withColumn("live_at_end", end)
-        .withColumn("jobm", F.concat(F.col("job").cast("string"), job_mark(F.col("live_at_start"), F.col("live_at_end"))))
+    ends = bounds.select(F.col("host").alias("_member"), "earliest", "latest")
+    joined = _per_member(
+        jobs, lambda members: members.join(ends, "_member", "left"),
+        {"_earliest": F.min("earliest"), "_latest": F.max("latest")},
+    )
+    start, end = F.col("first") == F.col("_earliest"), F.col("last") == F.col("_latest")
+    return joined.select(
+        *jobs.columns,
+        start.alias("live_at_start"),
+        end.alias("live_at_end"),
+        F.concat(F.col("job").cast("string"), job_mark(start, end)).alias("jobm"),
         # 2 live at start, 1 live at end.
-        .withColumn("classification", F.col("live_at_start").cast("int") * 2 + F.col("live_at_end").cast("int"))
-        .drop("earliest", "latest")
+        (start.cast("int") * 2 + end.cast("int")).alias("classification"),
     )
 
 
+def _per_member(jobs: DataFrame, attach: Callable[[DataFrame], DataFrame], aggs: dict[str, Column]) -> DataFrame:
+    """Look something up for every host of a job and aggregate it per job, the job's own columns kept.
+
+    The row travels with its hosts instead of being joined back, so the summary is computed once.
+    """
+    rest = [c for c in jobs.columns if c not in JOB_KEY]
+    members = jobs.select(*JOB_KEY, F.struct(*rest).alias("_row"), "first", F.explode("hosts").alias("_member"))
+    summed = attach(members).groupBy(*JOB_KEY).agg(F.first("_row").alias("_row"), *[c.alias(n) for n, c in aggs.items()])
+    return summed.select(*[c if c in JOB_KEY else F.col(f"_row.{c}").alias(c) for c in jobs.columns], *aggs)
+
+
 def job_zombie(jobs: DataFrame) -> DataFrame:
     """Adds ``zombie``: the command tells of a defunct process."""
     return jobs.withColumn("zombie", F.col("cmd").contains("<defunct>") | F.col("cmd").startswith("_zombie_"))
@@ -100,29 +116,28 @@ def job_relative(jobs: DataFrame, node_config: DataFrame, static: DataFrame | No
     The configuration is that of the job's first time.  Without one, or where a capacity is zero, the
     values are zero.
     """
-    capacity = config_merged(jobs, node_config, JOB_KEY, static, "first")
-    cond = [jobs[c].eqNullSafe(capacity[c]) for c in JOB_KEY]
-    df = jobs.join(capacity, cond, "left").select(jobs["*"], *[capacity[c] for c in CAPACITY])
+    df = _per_member(
+        jobs, lambda members: config_asof(members, node_config, static, "first", "_member"),
+        {c: F.sum(c).cast("bigint") for c in CAPACITY},
+    )
 
     def share(value: str, cap: str, factor: float) -> Column:
         return F.when(F.col(cap) > 0, F.col(value) * factor / F.col(cap)).otherwise(0.0)
 
+    used = (F.col("gpus") != 0) & ~is_unknown("gpus") & F.col("cores").isNotNull()
+    cards = gpu_set_size("gpus")
+    mem = cards * F.col("gpumem_gb") / F.col("gpu_cards")
+    sized = used & (F.col("gpu_cards") > 0) & (F.col("gpumem_gb") > 0)
+    added = {}
     for kind in ("avg", "peak"):
-        df = (
-            df.withColumn(f"rcpu_{kind}", share(f"cpu_{kind}", "cores", 1.0))
-            .withColumn(f"rmem_{kind}", share(f"mem_{kind}", "mem_gb", 100.0))
-            .withColumn(f"rres_{kind}", share(f"res_{kind}", "mem_gb", 100.0))
-            .withColumn(f"rgpu_{kind}", share(f"gpu_{kind}", "gpu_cards", 1.0))
-            .withColumn(f"rgpumem_{kind}", share(f"gpumem_{kind}", "gpumem_gb", 100.0))
-        )
-        used = (F.col("gpus") != 0) & ~is_unknown("gpus") & F.col("cores").isNotNull()
-        cards = gpu_set_size("gpus")
-        mem = cards * F.col("gpumem_gb") / F.col("gpu_cards")
-        sized = used & (F.col("gpu_cards") > 0) & (F.col("gpumem_gb") > 0)
-        df = df.withColumn(f"sgpu_{kind}", F.when(used, F.col(f"gpu_{kind}") / cards).otherwise(0.0)).withColumn(
-            f"sgpumem_{kind}", F.when(sized, F.col(f"gpumem_{kind}") * 100 / mem).otherwise(0.0)
-        )
-    return df.drop(*CAPACITY)
+        added[f"rcpu_{kind}"] = share(f"cpu_{kind}", "cores", 1.0)
+        added[f"rmem_{kind}"] = share(f"mem_{kind}", "mem_gb", 100.0)
+        added[f"rres_{kind}"] = share(f"res_{kind}", "mem_gb", 100.0)
+        added[f"rgpu_{kind}"] = share(f"gpu_{kind}", "gpu_cards", 1.0)
+        added[f"rgpumem_{kind}"] = share(f"gpumem_{kind}", "gpumem_gb", 100.0)
+        added[f"sgpu_{kind}"] = F.when(used, F.col(f"gpu_{kind}") / cards).otherwise(0.0)
+        added[f"sgpumem_{kind}"] = F.when(sized, F.col(f"gpumem_{kind}") * 100 / mem).otherwise(0.0)
+    return df.withColumns(added).drop(*CAPACITY)
 
 
 def merge_jobs(streams: DataFrame, merge: str) -> DataFrame:
@@ -230,14 +245,11 @@ def synth_accounting(jobs_df: DataFrame, streams: DataFrame, merge: str = "epoch
 def attach_accounting(jobs_df: DataFrame, sacct_jobs: DataFrame, filters: dict | None = None) -> DataFrame:
     """Left join on the job.  With filters, jobs whose record fails them go; jobs without record stay.
 
-    The failing records are found by the filter itself, so one left join and a row test are enough.
+    The filter is evaluated on the records, so one left join and a row test are enough.
     """
-    from usagelens.operators.filters import filter_sacct
-
-    records = sacct_jobs.select(F.struct(*sacct_jobs.columns).alias("accounting"), F.col("job_id").alias("_job_id"))
+    passes = sacct_condition(**filters) if filters else F.lit(True)
+    records = sacct_jobs.select(
+        F.struct(*sacct_jobs.columns).alias("accounting"), F.col("job_id").alias("_job_id"), passes.alias("_passes")
+    )
     joined = jobs_df.join(records, F.col("job") == F.col("_job_id"), "left")
-    if filters:
-        passing = filter_sacct(sacct_jobs, **filters).select(F.col("job_id").alias("_ok_id")).distinct()
-        joined = joined.join(passing, F.col("job") == F.col("_ok_id"), "left")
-        joined = joined.filter(F.col("_job_id").isNull() | F.col("_ok_id").isNotNull()).drop("_ok_id")
-    return joined.drop("_job_id")
+    return joined.filter(F.col("_job_id").isNull() | F.col("_passes")).drop("_job_id", "_passes")

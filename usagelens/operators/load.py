@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.scalars import kb_to_gb
@@ -70,7 +70,6 @@ def load(
     series = merge_by_host(streams)
     if unit:
         series = fold_time(series, unit, ["host"])
-    starts = series.groupBy("host").agg(F.min("t").alias("t"))
     interval = interval_bounds(host_bounds(samples), from_t, to_t) if fill and unit else None
     if group:
         merged = merge_across_hosts(series, folded=bool(unit))
@@ -80,16 +79,16 @@ def load(
         if node_config is None:
             return relative_load(_no_capacity(merged))
         # One row of fixed width.
+        starts = series.groupBy("host").agg(F.min("t").alias("t"))
         capacity = group_capacity(starts, node_config, static).select(*CAPACITY)
         return relative_load(merged.join(F.broadcast(capacity)))
     if interval is not None:
         series = fill_gaps(series, unit, interval, ["host"])
-        starts = series.groupBy("host").agg(F.min("t").alias("t"))
     if node_config is None:
         return relative_load(_no_capacity(series))
-    # A row per host; no hint, Spark decides by size.
-    capacity = config_asof(starts, node_config, static).select("host", *CAPACITY)
-    return relative_load(series.join(capacity, "host", "left"))
+    # The series has a row per host and bucket (or instant) here, which is all this window sees.
+    started = series.withColumn("_first", F.min("t").over(Window.partitionBy("host")))
+    return relative_load(config_asof(started, node_config, static, "_first"))
 
 
 def _no_capacity(df: DataFrame) -> DataFrame:

@@ -290,18 +290,22 @@ def fill_gaps(folded: DataFrame, unit: str, interval: DataFrame, keys: list[str]
     """
     from usagelens.functions.scalars import BUCKET_SECONDS
 
+    width = F.lit(BUCKET_SECONDS[unit]).cast("bigint")
     ends = interval.select(trunc_time("from_t", unit).alias("_lo"), trunc_time("to_t", unit).alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("t")
+    # Every bucket also yields the empty ones after it, the first also those before it.
     # One row of two numbers: the size of the broadcast is fixed.
-    grid = (
-        folded.select(*keys).distinct()
-        .join(F.broadcast(ends))
-        .select(*keys, F.explode(F.sequence("_lo", "_hi", F.lit(BUCKET_SECONDS[unit]).cast("bigint"))).alias("t"))
+    spans = folded.join(F.broadcast(ends)).select(
+        *folded.columns,
+        F.when(F.lag("t").over(w).isNull(), F.least("_lo", "t")).otherwise(F.col("t")).alias("_from"),
+        F.coalesce(F.lead("t").over(w) - width, F.greatest("_hi", "t")).alias("_to"),
     )
-    values = [c for c in folded.columns if c not in (*keys, "t")]
+    spread = spans.withColumn("_at", F.explode(F.sequence("_from", "_to", width)))
+    own = F.col("_at") == F.col("t")
     types = dict(folded.dtypes)
-    joined = grid.join(folded, [*keys, "t"], "full_outer")
-    zeros = [
-        (F.coalesce(F.col(c), F.lit(False)) if types[c] == "boolean" else F.coalesce(F.col(c), F.lit(0).cast(types[c]))).alias(c)
-        for c in values
+    values = [
+        F.when(own, F.col(c)).otherwise(F.lit(False) if types[c] == "boolean" else F.lit(0).cast(types[c])).alias(c)
+        for c in folded.columns
+        if c not in (*keys, "t")
     ]
-    return joined.select(*keys, "t", *zeros)
+    return spread.select(*keys, F.col("_at").alias("t"), *values)

@@ -22,15 +22,19 @@ def one_place(c: Column | str) -> Column:
 
 
 def anchored_series(
-    df: DataFrame, keys: list[str], width: int, means: list[str], whole: list[str], anchors: DataFrame | None = None
+    df: DataFrame, keys: list[str], width: int, means: list[str], whole: list[str], anchor: Column | None = None
 ) -> DataFrame:
     """Bucket means per series; empty buckets between the first and last sample are zero rows.
 
     Two aggregations that combine before the shuffle: the anchor of every series, then its buckets.  The
     anchors join back without a hint, so a long list of series is shuffled and a short one broadcast.
+    ``anchor`` is the first time where the rows can tell it, which spares that.
     """
-    first = anchors if anchors is not None else df.groupBy(*keys).agg(F.min("t").alias("_t0"))
-    placed = df.join(first, keys).withColumn("_b", F.floor((F.col("t") - F.col("_t0")) / width))
+    if anchor is not None:
+        timed = df.withColumn("_t0", anchor)
+    else:
+        timed = df.join(df.groupBy(*keys).agg(F.min("t").alias("_t0")), keys)
+    placed = timed.withColumn("_b", F.floor((F.col("t") - F.col("_t0")) / width))
     n = F.count(F.lit(1))
     filled = placed.groupBy(*keys, "_t0", "_b").agg(
         *[(F.sum(c) / n).alias(c) for c in means], *[F.expr(f"sum({c}) div count(1)").alias(c) for c in whole]
@@ -57,7 +61,9 @@ def node_cpu_mem_series(
     which divides the summed percentage by the number of process streams and multiplies by 100 again.
     """
     merged = merge_by_host(streams)
-    series = anchored_series(merged, ["host"], width, ["cpu_util_pct"], ["rss_kb"])
+    # Merged steps are one row per instant, so a window can give their start.
+    start = F.min("t").over(Window.partitionBy("host"))
+    series = anchored_series(merged, ["host"], width, ["cpu_util_pct"], ["rss_kb"], start)
     series = series.join(sysinfo.select("host", "cores", "memory_kb"), "host")
     cpu = F.col("cpu_util_pct")
     if compat:
@@ -88,7 +94,7 @@ def process_series(streams: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Per process stream: mean CPU %, GPU %, GPU memory % and KB.  The anchor is in the stream already."""
     series = anchored_series(
         streams, STREAM, width, ["cpu_pct", "gpu_pct", "gpumem_pct"], ["cpu_kb"],
-        streams.filter("is_first").select(*STREAM, F.col("t").alias("_t0")),
+        F.col("stream_start"),
     )
     return series.select(*STREAM, "t", *[one_place(c).alias(c) for c in ("cpu_pct", "gpu_pct", "gpumem_pct")], "cpu_kb")
 

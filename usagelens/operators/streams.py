@@ -49,14 +49,16 @@ def cpu_util(streams: DataFrame) -> DataFrame:
     def first(c: str) -> Column:
         return F.first(c).over(upto)
 
-    df = (
-        streams.withColumn("_raw_t", F.lag("t").over(w))
-        .withColumn("_raw_cpu", F.lag("cputime_sec").over(w))
-        .withColumn("_v", first("version"))
-        .withColumn("stream_job", first("job"))
-        .withColumn("stream_user", first("user"))
-        .withColumn("stream_epoch", first("epoch"))
-        .withColumn("stream_start", first("t"))
+    df = streams.withColumns(
+        {
+            "_raw_t": F.lag("t").over(w),
+            "_raw_cpu": F.lag("cputime_sec").over(w),
+            "_v": first("version"),
+            "stream_job": first("job"),
+            "stream_user": first("user"),
+            "stream_epoch": first("epoch"),
+            "stream_start": first("t"),
+        }
     )
     v = parse_version("_v")
     old = (v["major"] == 0) & (v["minor"] <= 6)
@@ -64,12 +66,9 @@ def cpu_util(streams: DataFrame) -> DataFrame:
     rate = (F.col("cputime_sec") - F.col("_raw_cpu")) / (F.col("t") - F.col("_raw_t")) * 100
     df = df.withColumn("cpu_util_pct", F.when(is_first | old, F.col("cpu_pct")).otherwise(rate))
     df = df.filter(is_first | old | (F.col("cpu_util_pct") >= 0))
-    return (
-        df.withColumn("prev_t", F.lag("t").over(w))
-        .withColumn("is_first", F.col("prev_t").isNull())
-        .withColumn("is_last", F.lead("t").over(w).isNull())
-        .drop("_raw_t", "_raw_cpu", "_v")
-    )
+    previous = F.lag("t").over(w)
+    marks = {"prev_t": previous, "is_first": previous.isNull(), "is_last": F.lead("t").over(w).isNull()}
+    return df.withColumns(marks).drop("_raw_t", "_raw_cpu", "_v")
 
 
 def clean_streams(samples: DataFrame, tie: list[str] | None = None) -> DataFrame:
