@@ -121,30 +121,42 @@ def split_fields(line: Column) -> Column:
     return F.transform(raw, unquoted)
 
 
-def tag_map(line: Column) -> Column:
-    """Names to values; of a repeated name the last value counts, fields without a name are dropped."""
-    pairs = F.reverse(F.filter(split_fields(line), lambda x: F.instr(x, "=") > 1))
-    names = F.transform(pairs, lambda x: F.substring_index(x, "=", 1))
-    last = F.filter(pairs, lambda x, i: F.array_position(names, F.substring_index(x, "=", 1)) == i + 1)
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(F.substring_index(x, "=", 1), _after_equals(x))))
+def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """The kept columns and new ones, evaluated once per row.
 
+    A filter on a projected column is otherwise pushed below the projection with the whole expression
+    copied into it, and again into the next one.  Spark does not push through the output of a generator, so
+    the values are made as a one-element array that is inlined.
+    """
+    values = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(values)))
 
-def _after_equals(x: Column) -> Column:
-    return F.regexp_extract(x, r"(?s)^[^=]*=(.*)$", 1)
 
+def tagged_fields(lines: DataFrame) -> DataFrame:
+    """``_line``, ``_f``: its fields with a name in reverse order, and ``_k``: their names.
 
-def _parsed(lines: DataFrame, tags: list[tuple[str, str, str]]) -> DataFrame:
-    """Columns of the tags plus ``_line`` and ``_bad``: the names of fields with unparseable values."""
+    A look-up is then a native search in a short array.
+    """
     df = lines.select(F.col("value").alias("_line")).filter(F.trim("_line") != "")
-    df = df.withColumn("_m", tag_map(F.col("_line")))
-    cols, bad = [], []
-    for name, column, kind in tags:
-        text = F.col("_m").getItem(name)
-        value = PARSERS[kind](text)
-        cols.append(value.alias(column))
-        if kind != "text":
-            bad.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
-    return df.select("_line", "_m", *cols, F.array_compact(F.array(*bad)).alias("_bad"))
+    named = F.filter(split_fields(F.col("_line")), lambda x: F.instr(x, "=") > 1)
+    df = computed_once(df, ["_line"], {"_f": F.reverse(named)})
+    return computed_once(df, ["_line", "_f"], {"_k": F.transform("_f", lambda x: F.substring_index(x, "=", 1))})
+
+
+def tag(name: str) -> Column:
+    """Text of a field, NULL if absent; of a repeated name the last counts."""
+    at = F.array_position("_k", name)
+    return F.when(at > 0, F.expr(f"substring(_f[int(array_position(_k, '{name}')) - 1], {len(name) + 2})"))
+
+
+def _parsed(lines: DataFrame, tags: list[tuple[str, str, str]], more: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of the tags, the texts of ``more`` fields as they are, and ``_bad``: names of unparseable fields."""
+    texts = {f"_t_{c}": tag(n) for n, c, _ in tags} | {n: tag(n) for n in more}
+    df = computed_once(tagged_fields(lines), ["_line"], texts)
+    values = {c: PARSERS[kind](F.col(f"_t_{c}")) for _, c, kind in tags}
+    df = computed_once(df, df.columns, values)
+    bad = [F.when(F.col(f"_t_{c}").isNotNull() & F.col(c).isNull(), F.lit(n)) for n, c, kind in tags if kind != "text"]
+    return df.select("_line", *[c for _, c, _ in tags], *more, F.array_compact(F.array(*bad)).alias("_bad"))
 
 
 def _empty(c: str) -> Column:
@@ -195,16 +207,14 @@ def ingest_samples_untagged(spark: SparkSession, path: str) -> DataFrame:
     return parse_samples_untagged(spark.read.text(path))
 
 
-def decode_load(text: Column) -> Column:
-    """Base-45 text to per-core values; NULL if it has other characters or no value.
+def load_numbers(text: Column) -> Column:
+    """Base-45 text to its numbers; NULL if it has other characters or none.
 
     A number starts with a character of the first alphabet and goes on, least digit first, in the second.
-    The first number is added to all others.
     """
     initial = "[" + re.escape(LOAD_INITIAL) + "]"
     subsequent = "[" + re.escape(LOAD_SUBSEQUENT) + "]"
     number = f"{initial}{subsequent}*"
-    tokens = F.regexp_extract_all(text, F.lit(f"({number})"), F.lit(1))
 
     def value(token: Column) -> Column:
         def digit(c: Column, i: Column) -> Column:
@@ -214,23 +224,29 @@ def decode_load(text: Column) -> Column:
 
         return F.aggregate(F.transform(F.split(token, ""), digit), F.lit(0).cast("bigint"), lambda a, b: a + b)
 
-    values = F.transform(tokens, value)
-    rest = F.slice(values, 2, F.size(values))
-    return F.when(text.rlike(f"^(?:{number})+$"), F.transform(rest, lambda v: v + values[0]))
+    tokens = F.regexp_extract_all(text, F.lit(f"({number})"), F.lit(1))
+    return F.when(text.rlike(f"^(?:{number})+$"), F.transform(tokens, value))
 
 
 def decode_load_column(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a ``load`` text to per-core rows, and one row with the number of undecodable ones."""
-    decoded = raw.filter(F.col("load").isNotNull()).select("t", "host", "load", decode_load(F.col("load")).alias("per_core"))
-    errors = decoded.agg(F.count_if(F.col("per_core").isNull()).alias("undecodable"))
-    return decoded.filter(F.col("per_core").isNotNull()).select("t", "host", "per_core"), errors
+    """Rows with a ``load`` text to per-core rows, and one row with the number of undecodable ones.
+
+    The first number is the base that is added to all others.
+    """
+    numbers = raw.filter(F.col("load").isNotNull()).select("t", "host", "load")
+    numbers = computed_once(numbers, ["t", "host"], {"_n": load_numbers(F.col("load"))})
+    errors = numbers.agg(F.count_if(F.col("_n").isNull()).alias("undecodable"))
+    base = F.col("_n")[0]
+    cores = F.transform(F.slice("_n", F.lit(2), F.size("_n")), lambda v: v + base)
+    return numbers.filter(F.col("_n").isNotNull()).select("t", "host", cores.alias("per_core")), errors
 
 
 def parse_sacct_csv(lines: DataFrame) -> DataFrame:
     """Accounting dump records to rows; records with a bad value are dropped."""
-    df = _parsed(lines, SACCT_TAGS).filter(F.size("_bad") == 0)
-    raw_id = F.col("_m")["JobIDRaw"]
-    shown_id = F.coalesce(F.col("_m")["JobID"], F.lit(""))
+    untyped = ("JobIDRaw", "JobID", "ExitCode", "State", "TimelimitRaw", "AllocTRES")
+    df = _parsed(lines, SACCT_TAGS, untyped).filter(F.size("_bad") == 0)
+    raw_id = F.col("JobIDRaw")
+    shown_id = F.coalesce("JobID", F.lit(""))
     step = F.coalesce(F.regexp_extract(raw_id, r"^\d+\.(.*)$", 1), F.lit(""))
     special = r"^(\d+)([_+])(\d+)(?:\.(.*))?$"
     kind = F.regexp_extract(shown_id, special, 2)
@@ -241,17 +257,23 @@ def parse_sacct_csv(lines: DataFrame) -> DataFrame:
     def shown_step(of: str) -> Column:
         return F.when(kind == of, F.regexp_extract(shown_id, special, 4)).otherwise("")
 
-    exit_code = F.substring_index(F.coalesce(F.col("_m")["ExitCode"], F.lit("0")), ":", 1)
-    rows = (
-        df.withColumn("job_id", F.regexp_extract(raw_id, r"^(\d+)", 1).try_cast("bigint"))
-        .withColumn("job_step", step)
-        .withColumn("array_job_id", shown(1, "_")).withColumn("array_task_id", shown(3, "_")).withColumn("array_step", shown_step("_"))
-        .withColumn("het_job_id", shown(1, "+")).withColumn("het_job_offset", shown(3, "+")).withColumn("het_step", shown_step("+"))
-        .withColumn("state", F.substring_index(F.coalesce(F.col("_m")["State"], F.lit("")), " ", 1))
-        .withColumn("exit_code", exit_code.try_cast("bigint"))
-        .withColumn("timelimit", _whole(F.col("_m")["TimelimitRaw"]) * 60)
-        .withColumn("req_gpus", parse_gpu_request(F.col("_m")["AllocTRES"]))
-        .withColumn("t", F.coalesce("end", F.lit(0)))
+    exit_code = F.substring_index(F.coalesce("ExitCode", F.lit("0")), ":", 1)
+    rows = df.withColumns(
+        {
+            "job_id": F.regexp_extract(raw_id, r"^(\d+)", 1).try_cast("bigint"),
+            "job_step": step,
+            "array_job_id": shown(1, "_"),
+            "array_task_id": shown(3, "_"),
+            "array_step": shown_step("_"),
+            "het_job_id": shown(1, "+"),
+            "het_job_offset": shown(3, "+"),
+            "het_step": shown_step("+"),
+            "state": F.substring_index(F.coalesce("State", F.lit("")), " ", 1),
+            "exit_code": exit_code.try_cast("bigint"),
+            "timelimit": _whole(F.col("TimelimitRaw")) * 60,
+            "req_gpus": parse_gpu_request(F.col("AllocTRES")),
+            "t": F.coalesce("end", F.lit(0)),
+        }
     )
     return conform_sacct(rows.filter(F.col("job_id").isNotNull()))
 
@@ -272,23 +294,23 @@ def _minute_time(text: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")))
 
 
-def parse_violation_log(lines: DataFrame, tag: str, peaks: bool = True) -> DataFrame:
+def parse_violation_log(lines: DataFrame, wanted: str, peaks: bool = True) -> DataFrame:
     """Report records with the tag to rows; the mark after the job number is dropped.
 
     Records without a needed field go; with ``peaks`` the numbers are needed too.
     """
     tags = VIOLATION_TAGS if peaks else VIOLATION_TAGS[:4]
-    df = _parsed(lines, tags).filter((F.col("tag") == tag) & (F.size("_bad") == 0))
+    df = _parsed(lines, tags, ("now", "jobm", "start", "end")).filter((F.col("tag") == wanted) & (F.size("_bad") == 0))
     out = df.select(
-        _minute_time(F.col("_m")["now"]).alias("now"),
-        F.regexp_extract(F.col("_m")["jobm"], r"^(\d+)", 1).try_cast("bigint").alias("id"),
+        _minute_time(F.col("now")).alias("now"),
+        F.regexp_extract(F.col("jobm"), r"^(\d+)", 1).try_cast("bigint").alias("id"),
         "host", "user", "cmd",
-        _minute_time(F.col("_m")["start"]).alias("start"),
-        _minute_time(F.col("_m")["end"]).alias("end"),
+        _minute_time(F.col("start")).alias("start"),
+        _minute_time(F.col("end")).alias("end"),
         *[c for _, c, kind in tags if kind == "real"],
     )
     return out.dropna()
 
 
-def ingest_violation_log(spark: SparkSession, path: str, tag: str, peaks: bool = True) -> DataFrame:
-    return parse_violation_log(spark.read.text(path), tag, peaks)
+def ingest_violation_log(spark: SparkSession, path: str, wanted: str, peaks: bool = True) -> DataFrame:
+    return parse_violation_log(spark.read.text(path), wanted, peaks)
