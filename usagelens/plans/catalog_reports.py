@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from usagelens.operators import accounting, config, glance, jobs as j, profile as pr, usage_reports as x, violations as v
+from usagelens.operators.filters import Criteria
 from usagelens.plans import inputs
 from usagelens.plans import oracle as o
 from usagelens.plans.catalog_jobs import IDS, IDS_SQL, RELATIVE_JOBS, relative, sacct_mains, unsorted
@@ -18,16 +19,19 @@ DAY = 86400
 # --- violations ------------------------------------------------------------------------------------
 
 
-@query("cpu_hogs", RELATIVE_JOBS + f" SELECT {IDS_SQL}, {R('rcpu_peak')} AS rcpu_peak, duration FROM rel WHERE rcpu_peak >= 10 AND duration >= 600 AND gpus = 0 AND last >= {TO}")
+@query("cpu_hogs", RELATIVE_JOBS + f" SELECT {IDS_SQL}, {R('rcpu_peak')} AS rcpu_peak, duration FROM rel WHERE rcpu_peak >= 10 AND duration >= 600 AND (job % 2 = 1 OR gpus = 0) AND last >= {TO}")
 def cpu_hogs(spark, d):
-    return v.cpu_hogs(relative(spark, d), TO).select(*IDS, rounded("rcpu_peak").alias("rcpu_peak"), "duration")
+    """Jobs with odd numbers are taken to use no GPU."""
+    df = samples(spark, d).withColumn("gpus", F.when(F.col("job") % 2 == 1, 0).otherwise(F.col("gpus")))
+    summary = j.jobs(
+        df, inputs.node_config(spark, d), inputs.static_config(spark, d), criteria=Criteria(all_users=True), tie=["event_id"], sort=False
+    )
+    return v.cpu_hogs(summary, TO).select(*IDS, rounded("rcpu_peak").alias("rcpu_peak"), "duration")
 
 
 @query("deadweight_jobs", o.JOBS + f" SELECT {IDS_SQL} FROM jobs WHERE contains(cmd, 'error')")
 def deadweight_jobs(spark, d):
     df = samples(spark, d).withColumn("cmd", F.when(F.col("cmd") == "error", "error <defunct>").otherwise(F.col("cmd")))
-    from usagelens.operators.filters import Criteria
-
     summary = j.jobs(df, criteria=Criteria(all_users=True), tie=["event_id"], sort=False)
     return v.deadweight_jobs(summary).withColumn("cmd", F.replace("cmd", F.lit(" <defunct>"))).select(*IDS)
 
