@@ -16,7 +16,10 @@ CAPS = ["cores", "mem_gb", "gpu_cards", "gpumem_gb"]
 CAPS_SQL = ", ".join(CAPS)
 
 # A job is identified by its number and hosts; job 0 streams by cmd and user too.
-IDS = ["job", F.array_join("hosts", ",").alias("hosts"), "user", "cmd"]
+def ids():
+    return ["job", F.array_join("hosts", ",").alias("hosts"), "user", "cmd"]
+
+
 IDS_SQL = "job, array_to_string(hosts, ',') AS hosts, \"user\", cmd"
 MEANS = ["cpu_avg", "cpu_peak", "mem_avg", "mem_peak", "res_avg", "res_peak", "gpu_avg", "gpu_peak", "gpumem_avg", "gpumem_peak", "threads_avg"]
 WHOLES = ["threads_peak", "cputime_sec", "read_kb", "written_kb", "read_gb", "written_gb", "vm_kb_peak", "rss_kb_peak", "gpus", "gpu_fail", "n_samples"]
@@ -24,7 +27,7 @@ JOB_SQL = f"{IDS_SQL}, {', '.join(f'{R(c)} AS {c}' for c in MEANS)}, {', '.join(
 
 
 def job_view(df, *more):
-    return df.select(*IDS, *[rounded(c).alias(c) for c in MEANS], *WHOLES, *more)
+    return df.select(*ids(), *[rounded(c).alias(c) for c in MEANS], *WHOLES, *more)
 
 
 def summaries(spark, d, **kw):
@@ -42,7 +45,7 @@ def job_aggregate(spark, d):
 
 @query("job_times", o.JOBS + f" SELECT {IDS_SQL}, first, last, duration, gputime_sec FROM jobs")
 def job_times(spark, d):
-    return j.job_times(j.job_aggregate(merge.merge_by_epoch(clean(spark, d)))).select(*IDS, "first", "last", "duration", "gputime_sec")
+    return j.job_times(j.job_aggregate(merge.merge_by_epoch(clean(spark, d)))).select(*ids(), "first", "last", "duration", "gputime_sec")
 
 
 _MARK = "CAST(job AS VARCHAR) || CASE WHEN live_at_start AND live_at_end THEN '!' WHEN live_at_start THEN '<' WHEN live_at_end THEN '>' ELSE '' END AS jobm"
@@ -53,14 +56,14 @@ _CLASS = "CAST(live_at_start AS INTEGER) * 2 + CAST(live_at_end AS INTEGER) AS c
 def job_liveness(spark, d):
     summary = j.job_aggregate(merge.merge_by_epoch(clean(spark, d)))
     out = j.job_liveness(summary, streams.host_bounds(samples(spark, d)))
-    return out.select(*IDS, "live_at_start", "live_at_end", "jobm", "classification")
+    return out.select(*ids(), "live_at_start", "live_at_end", "jobm", "classification")
 
 
 @query("job_zombie", o.JOBS + f" SELECT {IDS_SQL}, contains(cmd, 'error') AS zombie FROM jobs")
 def job_zombie(spark, d):
     df = samples(spark, d).withColumn("cmd", F.when(F.col("cmd") == "error", "error <defunct>").otherwise(F.col("cmd")))
     out = j.job_zombie(j.job_aggregate(merge.merge_by_epoch(streams.clean_streams(df, ["event_id"]))))
-    return out.withColumn("cmd", F.replace("cmd", F.lit(" <defunct>"))).select(*IDS, "zombie")
+    return out.withColumn("cmd", F.replace("cmd", F.lit(" <defunct>"))).select(*ids(), "zombie")
 
 
 @query(
@@ -88,7 +91,7 @@ def filter_job_aggregates(spark, d):
 
 @query("filter_job_flags", o.JOBS + f" SELECT {IDS_SQL}, gpus, live_at_end FROM jobs WHERE gpus <> 0 AND NOT live_at_end")
 def filter_job_flags(spark, d):
-    return filters.filter_job_flags(unsorted(spark, d), some_gpu=True, completed=True).select(*IDS, "gpus", "live_at_end")
+    return filters.filter_job_flags(unsorted(spark, d), some_gpu=True, completed=True).select(*ids(), "gpus", "live_at_end")
 
 
 @query("filter_job_flags_running", o.JOBS + f" SELECT {IDS_SQL}, gpus, live_at_end FROM jobs WHERE gpus = 0 OR live_at_end")
@@ -96,7 +99,7 @@ def filter_job_flags_running(spark, d):
     summary = unsorted(spark, d)
     no_gpu = filters.filter_job_flags(summary, no_gpu=True)
     running = filters.filter_job_flags(summary, running=True, some_gpu=True)
-    return no_gpu.unionByName(running).select(*IDS, "gpus", "live_at_end")
+    return no_gpu.unionByName(running).select(*ids(), "gpus", "live_at_end")
 
 
 @query(
@@ -104,7 +107,7 @@ def filter_job_flags_running(spark, d):
     o.JOBS + f""" SELECT {IDS_SQL}, first FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY first DESC, job DESC, host DESC, solo DESC) AS rn FROM jobs) WHERE rn <= 2""",
 )
 def top_jobs_per_user(spark, d):
-    return j.top_jobs_per_user(unsorted(spark, d), 2).select(*IDS, "first")
+    return j.top_jobs_per_user(unsorted(spark, d), 2).select(*ids(), "first")
 
 
 # --- configuration ---------------------------------------------------------------------------------
@@ -269,7 +272,7 @@ def relative(spark, d, **kw):
 
 @query("job_relative", RELATIVE_JOBS + f" SELECT {IDS_SQL}, {', '.join(_REL)} FROM rel")
 def job_relative(spark, d):
-    return relative(spark, d).select(*IDS, *[rounded(c).alias(c) for c in _REL])
+    return relative(spark, d).select(*ids(), *[rounded(c).alias(c) for c in _REL])
 
 
 # --- accounting ------------------------------------------------------------------------------------
@@ -384,7 +387,7 @@ def synth_accounting(spark, d):
 def attach_accounting(spark, d):
     mains = sacct_mains(spark, d).filter("job_id % 3 <> 0")
     out = j.attach_accounting(unsorted(spark, d), mains, {"states": ["COMPLETED", "RUNNING"]})
-    return out.select(*IDS, F.col("accounting.account").alias("account"), F.col("accounting.state").alias("state"))
+    return out.select(*ids(), F.col("accounting.account").alias("account"), F.col("accounting.state").alias("state"))
 
 
 @query(

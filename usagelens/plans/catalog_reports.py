@@ -8,7 +8,7 @@ from usagelens.operators import accounting, config, glance, jobs as j, profile a
 from usagelens.operators.filters import Criteria
 from usagelens.plans import inputs
 from usagelens.plans import oracle as o
-from usagelens.plans.catalog_jobs import IDS, IDS_SQL, RELATIVE_JOBS, relative, sacct_mains, unsorted
+from usagelens.plans.catalog_jobs import IDS_SQL, RELATIVE_JOBS, ids, relative, sacct_mains, unsorted
 from usagelens.plans.catalog_time import LOAD_HOUR, TO, UPTIME, _BUCKETED, _load, load_by, profiles, uptime_lines
 from usagelens.plans.driver_tables import EVENTS_START, samples
 from usagelens.plans.registry import query, rounded, sql_round
@@ -26,14 +26,14 @@ def cpu_hogs(spark, d):
     summary = j.jobs(
         df, inputs.node_config(spark, d), inputs.static_config(spark, d), criteria=Criteria(all_users=True), tie=["event_id"], sort=False
     )
-    return v.cpu_hogs(summary, TO).select(*IDS, rounded("rcpu_peak").alias("rcpu_peak"), "duration")
+    return v.cpu_hogs(summary, TO).select(*ids(), rounded("rcpu_peak").alias("rcpu_peak"), "duration")
 
 
 @query("deadweight_jobs", o.JOBS + f" SELECT {IDS_SQL} FROM jobs WHERE contains(cmd, 'error')")
 def deadweight_jobs(spark, d):
     df = samples(spark, d).withColumn("cmd", F.when(F.col("cmd") == "error", "error <defunct>").otherwise(F.col("cmd")))
     summary = j.jobs(df, criteria=Criteria(all_users=True), tie=["event_id"], sort=False)
-    return v.deadweight_jobs(summary).withColumn("cmd", F.replace("cmd", F.lit(" <defunct>"))).select(*IDS)
+    return v.deadweight_jobs(summary).withColumn("cmd", F.replace("cmd", F.lit(" <defunct>"))).select(*ids())
 
 
 def violation_log(spark, d):
