@@ -27,6 +27,7 @@ from usagelens.functions.gpus import normalise
 from usagelens.functions.scalars import trunc_time
 
 STEP_WIDTH = 10
+CHAIN_MARK = "\x01"
 TAIL = 60
 
 MERGED = "_merged_"
@@ -54,22 +55,22 @@ def _scan_steps(keys: list[str]):
         for pdf in batches:
             out = []
             groups = pdf[group_cols].astype(object).where(pdf[group_cols].notna(), None)
-            for g, t, chain, prev in zip(
-                groups.itertuples(index=False, name=None), pdf["t"], pdf["_chain"], pdf["_prev"]
-            ):
+            for g, t, chain in zip(groups.itertuples(index=False, name=None), pdf["t"], pdf["_chain"]):
                 if g != group:
                     group, active, plain, chains = g, [], {}, {}
                 t = int(t)
                 active = [m for m in active if m > t - STEP_WIDTH]
                 used = None
-                if isinstance(chain, str):
+                chained = isinstance(chain, str)
+                if chained:
+                    prev, _, chain = chain.partition(CHAIN_MARK)
                     before = chains.get(chain)
                     used = before[1] if before and before[0] == int(prev) else plain.get(int(prev))
                 step = next((m for m in active if used is None or m > used), None)
                 if step is None:
                     step = t
                     active.append(t)
-                if isinstance(chain, str):
+                if chained:
                     chains[chain] = (t, step)
                     if len(chains) > 4096:
                         chains = {k: v for k, v in chains.items() if v[0] > t - STEP_WIDTH}
@@ -93,13 +94,15 @@ def merge_streams(streams: DataFrame, keys: list[str], describe: bool = False, s
     close = F.coalesce(F.col("t") - F.col("prev_t") < STEP_WIDTH, F.lit(False))
     alone = F.col(single).isNotNull() if single else F.lit(False)
     chained = close & ~alone
+    # The time before and the stream.  Both branches below use the same columns of what they share, so that
+    # Spark runs it once.
+    chain = F.concat_ws(CHAIN_MARK, *[F.col(c).cast("string") for c in ("prev_t", "host", "stream_id", "cmd")])
     # Names are taken from a stream's first row only, so they add at most one row per stream.
     names = {"_cmd": "cmd", "_user": "stream_user", "_host": "host"} if describe else {}
     rows = streams.select(
         *keys,
         "t",
-        F.when(chained, F.concat_ws("\x01", "host", F.col("stream_id").cast("string"), "cmd")).alias("_chain"),
-        F.when(chained, F.col("prev_t")).alias("_prev"),
+        F.when(chained, chain).alias("_chain"),
         "is_last",
         *[F.when(F.col("is_first"), F.col(c)).alias(n) for n, c in names.items()],
         *SUMS,
@@ -113,7 +116,6 @@ def merge_streams(streams: DataFrame, keys: list[str], describe: bool = False, s
         F.bit_or("gpus").alias("gpus"),
         F.max("gpu_fail").alias("gpu_fail"),
         F.max("in_container").alias("in_container"),
-        F.max("_prev").alias("_prev"),
     )
 
     by_time = Window.partitionBy(*keys).orderBy("t")

@@ -71,9 +71,14 @@ def cpu_util(streams: DataFrame) -> DataFrame:
     return df.withColumns(marks).drop("_raw_t", "_raw_cpu", "_v")
 
 
-def clean_streams(samples: DataFrame, tie: list[str] | None = None) -> DataFrame:
-    """Keys, de-duplication and CPU utilization: the input of all merges."""
-    return cpu_util(dedup_streams(stream_key(samples), tie))
+def clean_streams(samples: DataFrame, tie: list[str] | None = None, deduplicated: bool = False) -> DataFrame:
+    """Keys, de-duplication and CPU utilization: the input of all merges.
+
+    ``deduplicated`` tells that the table holds one row per (stream, time) already, as after
+    ``stream_dedup``; that spares a shuffle.
+    """
+    keyed = stream_key(samples)
+    return cpu_util(keyed if deduplicated else dedup_streams(keyed, tie))
 
 
 def host_bounds(samples: DataFrame) -> DataFrame:
