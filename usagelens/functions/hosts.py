@@ -65,7 +65,7 @@ def compress_hosts(df: DataFrame, keys: list[str], host: str = "host", out: str
     holds more than one family's window and the lists built at the end are those of the result.
     """
     pattern = r"^(.*?)(\d+)(\D*)$"
-    names = df.select(*keys, F.col(host).alias("_h")).distinct()
+    names = df.select(*keys, F.col(host).alias("_h"))
     first = F.substring_index(F.col("_h"), ".", 1)
     # Numbers beyond a bigint stay part of the name.
     number = F.regexp_extract(first, pattern, 2).try_cast("bigint")

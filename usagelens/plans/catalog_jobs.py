@@ -194,7 +194,7 @@ def clusters(spark, d):
     """A cluster per host parity, its excluded users taken from the data."""
     s = samples(spark, d).withColumn("cluster", F.concat(F.lit("c"), (F.col("epoch")).cast("string")))
     return s.groupBy("cluster").agg(
-        F.array_sort(F.collect_set(F.when(F.col("job") == 3, F.col("user")).when(F.col("job") == 4, F.col("user")))).alias("exclude_users"),
+        F.array_sort(F.collect_set(F.when(F.col("job").isin(3, 4) & (F.col("pid") < 1100), F.col("user")))).alias("exclude_users"),
         F.countDistinct("host").alias("n_hosts"),
     )
 
@@ -202,7 +202,7 @@ def clusters(spark, d):
 @query(
     "clusters_listing",
     o.SAMPLES + """ SELECT 'c' || CAST(epoch AS VARCHAR) AS cluster, count(DISTINCT host) AS n_hosts,
-    array_to_string(list_sort(list(DISTINCT "user") FILTER (WHERE job IN (3, 4))), ',') AS exclude_users FROM samples GROUP BY epoch""",
+    array_to_string(list_sort(list(DISTINCT "user") FILTER (WHERE job IN (3, 4) AND pid < 1100)), ',') AS exclude_users FROM samples GROUP BY epoch""",
 )
 def clusters_listing(spark, d):
     return config.clusters_listing(clusters(spark, d)).select("cluster", "n_hosts", F.array_join("exclude_users", ",").alias("exclude_users"))

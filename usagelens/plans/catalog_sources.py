@@ -76,11 +76,11 @@ def ingest_samples_untagged(spark, d):
 
 
 def sample_envelopes(spark, d) -> DataFrame:
-    """One JSON envelope per (host, instant) with its processes, cards, disks and cores.
+    """JSON envelopes of a (host, instant) with at most a hundred processes each, cards, disks and cores.
 
     Instants of odd minutes on n0 have no jobs; every envelope of n7 carries errors.
     """
-    s = samples(spark, d)
+    s = samples(spark, d).withColumn("part", F.floor(F.col("event_id") / 100))
     bare = (F.col("host") == "n0") & (F.floor(F.col("t") / 60) % 2 == 1)
     proc = F.struct(
         F.col("rss_kb").alias("resident_memory"), F.col("cpu_kb").alias("virtual_memory"), "cmd", "pid",
@@ -94,8 +94,8 @@ def sample_envelopes(spark, d) -> DataFrame:
             ),
         ).alias("gpus"),
     )
-    jobs = s.groupBy("host", "t", "job", "user", "epoch").agg(F.collect_list(proc).alias("processes"), F.sum("cpu_kb").alias("kb"), F.count(F.lit(1)).alias("n"))
-    per = jobs.groupBy("host", "t").agg(
+    jobs = s.groupBy("host", "t", "part", "job", "user", "epoch").agg(F.collect_list(proc).alias("processes"), F.sum("cpu_kb").alias("kb"), F.count(F.lit(1)).alias("n"))
+    per = jobs.groupBy("host", "t", "part").agg(
         F.collect_list(F.when(~bare, F.struct("job", "user", "epoch", "processes"))).alias("jobs"),
         F.sum("kb").alias("kb"), F.sum("n").alias("n"),
     )
@@ -118,7 +118,7 @@ def sample_envelopes(spark, d) -> DataFrame:
 
 
 _BARE = "host = 'n0' AND (t // 60) % 2 = 1"
-_HOST_T = "inst AS (SELECT host, t, CAST(sum(cpu_kb) AS BIGINT) AS kb, count(*) AS n FROM samples WHERE host <> 'n7' GROUP BY host, t)"
+_HOST_T = "inst AS (SELECT host, t, CAST(sum(cpu_kb) AS BIGINT) AS kb, count(*) AS n FROM samples WHERE host <> 'n7' GROUP BY host, t, event_id // 100)"
 
 
 @query(
@@ -128,7 +128,7 @@ _HOST_T = "inst AS (SELECT host, t, CAST(sum(cpu_kb) AS BIGINT) AS kb, count(*)
       CASE WHEN gpus BETWEEN 1 AND 16 THEN gpu_pct + 1.5e0 ELSE 0 END AS gpu_pct, CASE WHEN gpus BETWEEN 1 AND 16 THEN gpu_kb + 10 ELSE 0 END AS gpu_kb,
       CASE WHEN gpus BETWEEN 1 AND 16 AND epoch = 0 AND CAST(substr(host, 2) AS BIGINT) % 2 = 1 THEN 1 ELSE 0 END AS gpu_fail
     FROM samples WHERE host <> 'n7' AND NOT ({_BARE})
-    UNION ALL SELECT DISTINCT t, host, '', 0, 1, 0, '_heartbeat_', 0, 0, 0, 0, 0, 0, 0, TRUE, 0, 0, 0, 0 FROM samples WHERE {_BARE}""",
+    UNION ALL SELECT t, host, '', 0, 1, 0, '_heartbeat_', 0, 0, 0, 0, 0, 0, 0, TRUE, 0, 0, 0, 0 FROM samples WHERE {_BARE} GROUP BY t, host, event_id // 100""",
 )
 def ingest_samples_json(spark, d):
     out = env.parse_samples_json(sample_envelopes(spark, d))
@@ -164,7 +164,7 @@ def ingest_gpu_samples(spark, d):
     return rows.select("t", "host", "c.index", "c.uuid", "c.failing", "c.ce_util")
 
 
-@query("envelope_errors", o.SAMPLES + " SELECT count(DISTINCT (host, t)) AS envelopes, count(DISTINCT CASE WHEN host = 'n7' THEN (host, t) END) AS dropped FROM samples")
+@query("envelope_errors", o.SAMPLES + " SELECT count(DISTINCT (host, t, event_id // 100)) AS envelopes, count(DISTINCT CASE WHEN host = 'n7' THEN (host, t, event_id // 100) END) AS dropped FROM samples")
 def envelope_errors(spark, d):
     return env.envelope_errors(sample_envelopes(spark, d), "sample")
 
@@ -218,7 +218,7 @@ def sacct_envelopes(spark, d) -> DataFrame:
         F.struct(F.col("elapsed").alias("ElapsedRaw"), F.col("user_cpu").alias("UserCPU"), F.col("job_max_rss").alias("MaxRSS"),
                  F.when(j % 4 == 2, F.col("alloc_res")).alias("AllocTRES")).alias("sacct"),
     )
-    day = m.groupBy((F.col("submit") - F.col("submit") % DAY).alias("t"), (j % 16).alias("part")).agg(F.collect_list(job).alias("slurm_jobs"))
+    day = m.groupBy((F.col("submit") - F.col("submit") % DAY).alias("t"), F.floor(j / 200).alias("part")).agg(F.collect_list(job).alias("slurm_jobs"))
     attributes = F.struct(format_time("t", "iso").alias("time"), F.lit("c1").alias("cluster"), "slurm_jobs")
     envelope = F.struct(F.struct(F.lit("0.19.0").alias("version")).alias("meta"), F.struct(F.lit("jobs").alias("type"), attributes.alias("attributes")).alias("data"))
     return day.select(F.to_json(envelope).alias("value"))

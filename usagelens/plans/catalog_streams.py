@@ -38,11 +38,11 @@ def _as_system(df):
 @query(
     "system_exclusions",
     o.SAMPLES + f""" SELECT {BASIC_SQL} FROM samples WHERE job <> 5 AND cmd NOT IN ('click', 'view') AND pid >= 1000
-    AND "user" NOT IN (SELECT DISTINCT "user" FROM samples WHERE job = 7)""",
+    AND "user" NOT IN (SELECT DISTINCT "user" FROM samples WHERE job = 7 AND pid < 1100)""",
 )
 def system_exclusions(spark, d):
     df = _as_system(samples(spark, d))
-    excluded = df.filter("job = 7").groupBy("cluster").agg(F.collect_set("user").alias("exclude_users"))
+    excluded = df.filter("job = 7 AND pid < 1100").groupBy("cluster").agg(F.collect_set("user").alias("exclude_users"))
     return filters.system_exclusions(df, system_jobs=True, clusters=excluded).select(*BASIC)
 
 

@@ -21,16 +21,14 @@ def seconds(c: str) -> Column:
 
 
 def project_events(events: DataFrame) -> DataFrame:
-    """Process samples from events: one stream per (user, event type) on eight hosts, 10 s grid."""
+    """Process samples from events: one stream per (user, event type) on eight hosts, 10 s grid.
+
+    CPU time grows with the time and has the event's value added, so it goes backwards now and then,
+    as real counters do.  It needs no window: every row is projected on its own.
+    """
     k = F.get_json_object("props", "$.k").cast("bigint")
     gpu_user = F.col("event_type").isin("purchase", "view")
     raw = events.withColumn("_raw_t", seconds("ts"))
-    from pyspark.sql import Window
-
-    w = (
-        Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     df = raw.select(
         "event_id",
         (F.col("_raw_t") - F.col("_raw_t") % 10).alias("t"),
@@ -43,7 +41,7 @@ def project_events(events: DataFrame) -> DataFrame:
         F.lit("0.12.0").alias("version"),
         F.lit(0).alias("rolledup"),
         F.col("value").alias("cpu_pct"),
-        F.sum(F.floor("value").cast("bigint")).over(w).alias("cputime_sec"),
+        (F.floor((F.col("_raw_t") - EVENTS_START) / 400) + F.floor("value")).cast("bigint").alias("cputime_sec"),
         F.floor(F.col("value") * 1048576).cast("bigint").alias("cpu_kb"),
         F.floor(F.col("value") * 524288).cast("bigint").alias("rss_kb"),
         F.when(F.col("event_type") == "error", F.lit(1 << 31))

@@ -13,8 +13,7 @@ samples AS (
   SELECT event_id, rt - rt % 10 AS t, 'n' || CAST(user_id % 8 AS VARCHAR) AS host,
          'u' || CAST(user_id AS VARCHAR) AS "user", user_id % 50 AS job, user_id + 1000 AS pid,
          event_type AS cmd, user_id % 2 AS epoch, value AS cpu_pct,
-         CAST(sum(CAST(floor(value) AS BIGINT)) OVER
-           (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS BIGINT) AS cputime_sec,
+         (rt - 1704067200) // 400 + CAST(floor(value) AS BIGINT) AS cputime_sec,
          CAST(floor(value * 1048576) AS BIGINT) AS cpu_kb, CAST(floor(value * 524288) AS BIGINT) AS rss_kb,
          CASE WHEN event_type = 'error' THEN 2147483648
               WHEN event_type IN ('purchase', 'view') THEN CAST(power(2, user_id % 4) AS BIGINT) ELSE 0 END AS gpus,
