@@ -1,14 +1,57 @@
-"""Stages of the corpus pipeline: each calls one operator and acts on its decisions."""
+"""Stages of the corpus pipeline: each calls one operator and acts on its decisions.
+
+A document's row keeps the columns of ``documents`` through all stages but the last; n_chars follows the text.
+Each stage judges all rows that the stage before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.llm import subword
+from usagelens.llm.bwt import repeated_bytes
+from usagelens.llm.pieces import encode_documents
+from usagelens.llm.token_groups import similar_documents
 from usagelens.llm.winnow import contamination
 
+KEEP = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the subword classifier scores below 0.3 go; it learns as the query of operator 5 does."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    use = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    model = subword.train(docs, labels, F.col("quality"), use=use)
+    scored = subword.score(docs, model, out="_score")
+    return scored.filter(F.col("_score") >= KEEP).drop("_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id stays."""
+    gone = similar_documents(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that repeat a document of smaller id go; what is left of a character that is cut through goes too.
+
+    Documents of which nothing is left go.
+    """
+    some = repeated_bytes(docs).filter("n_removed > 0").select("doc_id", F.try_validate_utf8("kept").alias("_whole"), "kept")
+    some = some.withColumn("_kept", F.coalesce("_whole", F.replace(F.make_valid_utf8("kept"), F.lit("�"), F.lit(""))))
+    joined = docs.join(some.select("doc_id", "_kept").dropDuplicates(["doc_id"]), "doc_id", "left")
+    text = F.coalesce("_kept", "text")
+    out = joined.filter(F.col("_kept").isNull() | (F.col("_kept") != "")).withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
+    return out.withColumn("text", text).select(docs.columns)
+
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages contaminate go."""
     bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id")
     return docs.join(bad, "doc_id", "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of the best segmentation of each text, with the n best."""
+    return encode_documents(docs).drop("text", "n_chars")
