@@ -15,18 +15,23 @@ from usagelens.llm.sample import labelled
 
 BITS = 17
 GRAMS = (3, 4)
+#: The bucket of the mark for a repeated word.
+AGAIN = 0
 _VALUES = tx.byte_values(5)
 
 
 def features(raw: np.ndarray, offs: np.ndarray, bits: int = BITS, grams: tuple[int, ...] = GRAMS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, first byte) of all words, then of all n-grams of ``n`` characters, for each n.
+    """(bucket, first byte) of all words, of a mark for each word that repeats the one before, and of all n-grams.
 
     A word is a run without white space.  An n-gram lies within one word, or begins or ends with the one
     character of white space beside it.
     """
     shift = np.uint64(64 - bits)
-    starts, ends, _ = tx.word_spans(raw, offs, tx.NOT_SPACE)
-    yield (tx.span_hashes(raw, starts, ends, _VALUES) >> shift).astype(np.int64), starts
+    starts, ends, text = tx.word_spans(raw, offs, tx.NOT_SPACE)
+    words = tx.span_hashes(raw, starts, ends, _VALUES)
+    yield (words >> shift).astype(np.int64), starts
+    again = np.flatnonzero((words[1:] == words[:-1]) & (text[1:] == text[:-1])) + 1
+    yield np.full(len(again), AGAIN), starts[again]
     chars = np.flatnonzero((raw & 0xC0) != 0x80)
     bounds = np.append(chars, len(raw))
     owner = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))[chars]

@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
     return fit_chain([np.asarray(x, np.int64) for x in got.ids], np.array(got.y.tolist()), **options)
 
 
-def score(docs: DataFrame, chain: list[Link], categories: list[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: list[Link], categories: list[str], text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Add ``p_<category>`` for each link of the chain, and ``toxic``: whether the last category reaches ``threshold``.
 
     Whole texts are read in chunks of about 1 MB.  Null and empty texts hold no words and get what
