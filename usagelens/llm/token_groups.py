@@ -90,7 +90,10 @@ def frequency_sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(id, n, d1, d2, prefix, mins): size, digest, rarest tokens and minima under a few hashes of each set."""
+    """(id, n, d1, d2, prefix, mins, bits): size, digest, rarest tokens, minima under a few hashes, and bitmap of each set.
+
+    A bitmap has between two and four bits for a token, in a number of words that is a power of two.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def describe(batches):
@@ -102,11 +105,14 @@ def _sets(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFram
                 d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 rank = np.lexsort((s, order[s >> np.uint64(64 - SKETCH_BITS)]))[: n - _needed(n, percent) + 1 if n else 0]
                 mins = [int(tx.mixed(s + np.uint64(j)).min().astype(np.int64)) for j in range(MINS)] if n else []
-                rows.append((i, n, int(d[0]), int(d[1]), s[rank].astype(np.int64), mins))
-            kinds = [("id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64()))]
+                words = 1 << max(0, int(np.ceil(np.log2(max(n, 1) / 32))))
+                flags = np.zeros(64 * words, bool)
+                flags[(s & np.uint64(64 * words - 1)).astype(np.int64)] = True
+                rows.append((i, n, int(d[0]), int(d[1]), s[rank].astype(np.int64), mins, np.packbits(flags, bitorder="little").view(np.int64)))
+            kinds = [("id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(kinds)], names=[c for c, _ in kinds])
 
-    return docs.mapInArrow(describe, "id long, n int, d1 long, d2 long, prefix array<long>, mins array<long>")
+    return docs.mapInArrow(describe, "id long, n int, d1 long, d2 long, prefix array<long>, mins array<long>, bits array<long>")
 
 
 def _tokens_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
@@ -119,11 +125,41 @@ def _tokens_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     return written(docs.join(needed.distinct(), "id", "left_semi").mapInArrow(tokens, "id long, tokens array<long>"), "tokens")
 
 
+def _folded(bits: Column, words: Column) -> Column:
+    """A bitmap brought down to ``words`` words: halves are laid over each other."""
+
+    def half(b: Column, _: Column) -> Column:
+        n = (F.size(b) / 2).cast("int")
+        return F.zip_with(F.slice(b, F.lit(1), n), F.slice(b, n + 1, n), lambda x, y: x.bitwiseOR(y))
+
+    folds = F.round(F.log2(F.size(bits) / words)).cast("int")
+    return F.when(folds > 0, F.aggregate(F.sequence(F.lit(1), folds), bits, half)).otherwise(bits)
+
+
+def _may_hold(q: Column, n: Column, union: Column, percent: int) -> Column:
+    """Can a union with this bitmap hold ``percent`` of the ``n`` tokens with bitmap ``q``?
+
+    A token whose bit is not in the union's bitmap is not in the union; a bit of ``q`` stands for one token at least.
+    """
+    words = F.least(F.size(q), F.size(union))
+    lost = F.zip_with(_folded(q, words), _folded(union, words), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return (n - F.aggregate(lost, F.lit(0), lambda a, x: a + x)) * 100 >= n * percent
+
+
 def _linked(a: Column, b: Column, percent: int) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common * 100 >= (F.size(a) + F.size(b) - common) * percent
 
 
+def _bounded(pairs: DataFrame, own: DataFrame, left: str, right: str, percent: int) -> DataFrame:
+    """The pairs that the bitmaps do not rule out."""
+    ids = pairs.select(F.col(left).alias("rep")).union(pairs.select(right)).distinct()
+    bits = written(own.select("rep", "n", "bits").join(ids, "rep", "left_semi"), "bits")
+    both = pairs.join(bits.toDF(left, "n1", "b1"), left).join(bits.toDF(right, "n2", "b2"), right)
+    kept = both.filter(_may_hold(F.col("b1"), F.col("n1"), F.col("b2"), percent) & _may_hold(F.col("b2"), F.col("n2"), F.col("b1"), percent))
+    return written(kept.select(left, right).distinct(), "pairs")
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of each row: the size of its set, and the smallest key reachable by links.
 
@@ -135,8 +171,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
        several groups).  A thousand near copies become a few groups without a thousand squared comparisons.
     3. Every other link joins two components.  Then the rarest tokens of the two sets, as many as a linked set
        cannot all lack, have one in common; so the matrix, restricted to such tokens, names the groups a set
-       may be linked into.  The bound comes next: the set must share ``percent`` of its tokens with the group's
-       union.  Only then is the group opened and the set compared with its members.
+       may be linked into.  The bound comes next: ``percent`` of the set's tokens must be in the group's union,
+       whose row of the matrix is a bitmap, so that the bound is never too low.  Only then is the group
+       opened and the set compared with its members.
     4. Links between components are followed to the end.
 
     No link between different components is lost.  Tokens are 64-bit hashes: unequal shingles of one pair of
@@ -149,26 +186,28 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = frequency_sketch(source, "text", k)
     sets = written(_sets(source, k, percent, sketch), "sets")
-    reps = sets.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "prefix", "mins")).alias("s"))
-    reps = written(reps.select("d1", "d2", "n", F.col("s.id").alias("rep"), F.col("s.prefix").alias("prefix"), F.col("s.mins").alias("mins")), "reps")
+    reps = written(sets.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "reps")
+    own = sets.withColumnRenamed("id", "rep").join(reps.select("rep").distinct(), "rep", "left_semi").filter("n > 0")
 
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25))).cast("int").alias("level")
-    mins = reps.select("rep", "n", level, F.posexplode("mins").alias("j", "h"))
+    mins = own.select("rep", level, F.posexplode("mins").alias("j", "h"))
     leaders = mins.groupBy("j", "h", "level").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
     pairs = written(mins.join(leaders, ["j", "h", "level"]).filter("rep <> leader").select("rep", "leader").distinct(), "pairs")
+    pairs = _bounded(pairs, own, "rep", "leader", percent)
     tokens = _tokens_of(source, pairs.select(F.col("rep").alias("id")).union(pairs.select("leader")), k)
     a, b = tokens.toDF("rep", "ta"), tokens.toDF("leader", "tb")
     links = pairs.join(b, "leader").join(a, "rep").filter(_linked(F.col("ta"), F.col("tb"), percent)).select("rep", "leader")
     first = written(components(written(links, "links"), "rep", "leader"), "components")
 
-    member = reps.select("rep", "n", "prefix").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    member = reps.select("rep").distinct().join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     sizes = first.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("members"))
     member = member.join(sizes, "comp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     member = written(member.withColumn("slot", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / GROUP)).cast("int")), "members")
 
-    rare = member.select("rep", "n", "comp", "members", "slot", F.explode("prefix").alias("token"))
-    across = rare.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    rare = written(rare.join(across, "token"), "rare")
+    prefixes = own.select("rep", "n", "prefix")
+    across = prefixes.join(member.select("rep", "comp"), "rep").select("comp", F.explode("prefix").alias("token"))
+    across = written(across.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"), "across")
+    rare = written(prefixes.select("rep", "n", F.explode("prefix").alias("token")).join(across, "token").join(member, "rep"), "rare")
     matrix = rare.groupBy("token", "comp", "slot", "members").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
     matrix = matrix.select("token", F.col("comp").alias("g_comp"), F.col("slot").alias("g_slot"), F.col("members").alias("g_members"), "n_least", "n_most")
     # Each pair of components is looked at from the smaller one.
@@ -176,16 +215,22 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     fits = (F.col("n") * 100 >= F.col("n_least") * percent) & (F.col("n_most") * 100 >= F.col("n") * percent)
     cand = written(rare.join(matrix, "token").filter(turn & fits).select("rep", "comp", "g_comp", "g_slot").distinct(), "candidates")
 
-    opened = cand.select("g_comp", "g_slot").distinct()
-    inside = member.select("rep", F.col("comp").alias("g_comp"), F.col("slot").alias("g_slot")).join(opened, ["g_comp", "g_slot"])
-    inside = written(inside, "inside")
+    group = ["g_comp", "g_slot"]
+    inside = member.select("rep", F.col("comp").alias("g_comp"), F.col("slot").alias("g_slot"))
+    rows = written(inside.join(cand.select(*group).distinct(), group).join(own.select("rep", "bits"), "rep"), "rows")
+    words = rows.groupBy(*group).agg(F.min(F.size("bits")).alias("words"))
+    bit = rows.join(words, group).select(*group, F.posexplode(_folded(F.col("bits"), F.col("words"))).alias("at", "bit"))
+    union = bit.groupBy(*group, "at").agg(F.bit_or("bit").alias("bit")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "bit")))["bit"].alias("union"))
+    asked = own.select("rep", "n", "bits").join(cand.select("rep").distinct(), "rep", "left_semi")
+    bounded = cand.join(asked, "rep").join(union, group).filter(_may_hold(F.col("bits"), F.col("n"), F.col("union"), percent))
+    cand = written(bounded.select("rep", "comp", *group).distinct(), "qualifying")
+
+    inside = written(rows.select("rep", *group).join(cand.select(*group).distinct(), group), "inside")
     tokens = _tokens_of(source, inside.select(F.col("rep").alias("id")).union(cand.select("rep")), k)
     a, b = tokens.toDF("rep", "ta"), tokens.toDF("rep", "tb")
-    groups = inside.join(b, "rep").groupBy("g_comp", "g_slot").agg(F.collect_list("tb").alias("sets"))
-    groups = groups.withColumn("all", F.when(F.size("sets") > 1, F.array_distinct(F.flatten("sets"))).otherwise(F.get("sets", F.lit(0))))
-    bound = F.size(F.array_intersect("ta", "all")) * 100 >= F.size("ta") * percent
-    open_ = F.exists("sets", lambda s: _linked(F.col("ta"), s, percent))
-    more = cand.join(a, "rep").join(groups, ["g_comp", "g_slot"]).filter(bound).filter(open_).select("comp", "g_comp").distinct()
+    groups = inside.join(b, "rep").groupBy(*group).agg(F.collect_list("tb").alias("sets"))
+    opened = F.exists("sets", lambda s: _linked(F.col("ta"), s, percent))
+    more = cand.join(a, "rep").join(groups, group).filter(opened).select("comp", "g_comp").distinct()
     second = components(written(more, "links"), "comp", "g_comp").toDF("comp", "last")
 
     of = member.select("rep", "comp").join(second, "comp", "left").select("rep", F.coalesce("last", "comp").alias("component_id"))
