@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
@@ -77,6 +76,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int = 2, dim:
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             ids, counts, label = rows[i]
+            ids, counts = np.asarray(ids), np.asarray(counts)
             lr = rate * (1 - step / steps)
             step += 1
             share = (counts / max(1, counts.sum())).astype(np.float32)
@@ -90,7 +90,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int = 2, dim:
     return SubwordModel(vectors, weights, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: Column, key: str = "doc_id", text: str = "text", bound: int = 8000, use: Column | None = None, bits: int = BITS, grams: tuple[int, ...] = GRAMS, **options) -> SubwordModel | None:
+def train(docs: DataFrame, labels: DataFrame, target: Column, key: str = "doc_id", text: str = "text", bound: int = 4000, use: Column | None = None, bits: int = BITS, grams: tuple[int, ...] = GRAMS, **options) -> SubwordModel | None:
     """Fit on at most ``bound`` labelled documents; tasks count the features, the driver gets the counts.
 
     None where there is no labelled document.
@@ -111,11 +111,12 @@ def train(docs: DataFrame, labels: DataFrame, target: Column, key: str = "doc_id
                 "ids": pa.array([x.astype(np.int32) for x, _ in out], pa.list_(pa.int32())), "n": pa.array([x.astype(np.int32) for _, x in out], pa.list_(pa.int32())),
             })
 
-    got: pd.DataFrame = sample.mapInArrow(counted, "k string, y int, ids array<int>, n array<int>").toPandas()
-    if got.empty:
+    got = sample.mapInArrow(counted, "k string, y int, ids array<int>, n array<int>").toArrow().sort_by("k").combine_chunks()
+    if not got.num_rows:
         return None
-    got = got.sort_values("k", kind="stable")
-    return fit([(np.asarray(i, np.int64), np.asarray(n, np.float32), int(y)) for i, n, y in zip(got.ids, got.n, got.y, strict=True)], bits=bits, **options)
+    ids, n = got.column("ids").combine_chunks(), got.column("n").combine_chunks()
+    rows = [(ids[i].values.to_numpy(), n[i].values.to_numpy(), y) for i, y in enumerate(got.column("y").to_pylist())]
+    return fit(rows, bits=bits, **options)
 
 
 def score(docs: DataFrame, model: SubwordModel | None, text: str = "text", out: str = "score", bits: int = BITS, grams: tuple[int, ...] = GRAMS) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,21 +71,20 @@ def fit_link(doc: np.ndarray, col: np.ndarray, n: int, width: int, extra: np.nda
     return w, e, b
 
 
-def fit_chain(ids: list[np.ndarray], targets: np.ndarray, folds: int = 4, least: int = 8, seed: int = 1) -> list[Link]:
+def fit_chain(doc: np.ndarray, buckets: np.ndarray, targets: np.ndarray, folds: int = 4, least: int = 8, seed: int = 1) -> list[Link]:
     """One link for each column of ``targets``, in order.
 
+    ``doc`` and ``buckets`` say which document (row of ``targets``) holds which bucket, each once.
+
     A link is trained on the log-odds that earlier links give documents they were *not* trained on: of
     ``folds`` parts each is predicted by a model of the others.  The link that is kept is fitted on all.
     Buckets of fewer than ``least`` documents take no part.
     """
-    n = len(ids)
-    doc = np.repeat(np.arange(n), [len(x) for x in ids])
-    flat = np.concatenate(ids) if n else np.zeros(0, np.int64)
-    names, col, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count >= least
-    number = np.cumsum(keep) - 1
-    used = keep[col]
-    doc, col, names = doc[used], number[col[used]], names[keep]
+    n = len(targets)
+    keep = np.bincount(buckets, minlength=1 << BITS) >= least
+    number = (np.cumsum(keep) - 1).astype(np.int32)
+    used = keep[buckets]
+    doc, col, names = doc[used], number[buckets[used]], np.flatnonzero(keep)
     part = np.random.default_rng(seed).integers(0, folds, n)
     extra, links = np.zeros((n, 0)), []
     for j in range(targets.shape[1]):
@@ -105,7 +103,7 @@ def fit_chain(ids: list[np.ndarray], targets: np.ndarray, folds: int = 4, least:
     return links
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", bound: int = 12000, use: Column | None = None, **options) -> list[Link]:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", bound: int = 8000, use: Column | None = None, **options) -> list[Link]:
     """Fit the chain over ``categories`` (name to a 0/1 column of ``labels``, in the chain's order) on at most ``bound`` labelled documents.
 
     Tasks find the words; the driver gets bucket numbers.  Without labelled documents the chain is empty.
@@ -122,11 +120,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
             ys = pa.array(np.column_stack([b.column(t).to_numpy() for t in targets]).astype(np.int32).tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict({"k": b.column(key).cast(pa.string()), "y": ys, "ids": pa.array(out, pa.list_(pa.int32()))})
 
-    got: pd.DataFrame = sample.mapInArrow(found, "k string, y array<int>, ids array<int>").toPandas()
-    if got.empty:
+    got = sample.mapInArrow(found, "k string, y array<int>, ids array<int>").toArrow().sort_by("k").combine_chunks()
+    if not got.num_rows:
         return []
-    got = got.sort_values("k", kind="stable")
-    return fit_chain([np.asarray(x, np.int64) for x in got.ids], np.array(got.y.tolist()), **options)
+    ids = got.column("ids").combine_chunks()
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ids.offsets.to_numpy()))
+    return fit_chain(doc, ids.flatten().to_numpy(), np.array(got.column("y").to_pylist()), **options)
 
 
 def score(docs: DataFrame, chain: list[Link], categories: list[str], text: str = "text", threshold: float = 0.3) -> DataFrame:
