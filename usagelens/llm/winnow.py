@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.llm.store import written
+
 WINDOW = 13
 K = 8
 BROADCAST_WINDOWS = 200_000
@@ -74,7 +76,6 @@ def contamination(
     A null or empty text has no words and no hits; null or empty items are no items; rows of one key
     (also null) are taken together; without items nothing is hit; other columns take no part.
     """
-    spark = docs.sparkSession
     n = window - k + 1
     found = benchmark_windows(items, item, item_text, window, k)
     shapes = found.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length, 13 at most
@@ -124,7 +125,8 @@ def contamination(
         ),
         lambda s: s["n"],
     )
-    each = each.select("key", "n_words", covered.alias("n_hit"), "wids")
+    # Two uses follow; a row for each document is written so that the scan is made once.
+    each = written(each.select("key", "n_words", covered.alias("n_hit"), "wids"), "hits")
     of = found.select("wid", "item").distinct()
     if small:
         of = F.broadcast(of)
