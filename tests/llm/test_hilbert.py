@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from usagelens.llm.hilbert import hilbert_index, shards_by_curve
+from usagelens.llm.hilbert import curve_position, hilbert_index, shards_by_curve
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, size string, shard int, _key int"
 DIMS = ["source", "lang", "n_chars"]
@@ -45,6 +45,15 @@ def test_fewer_rows_than_shards_and_empty(spark):
     assert shards_by_curve(spark.createDataFrame([], SCHEMA), DIMS, 40).collect() == []
 
 
+def test_codes_follow_the_quantiles(spark):
+    """One dimension alone: the curve is the number line, cut into classes of equal counts."""
+    rows = spark.range(3200).select((F.col("id") * 7 % 3200).alias("v"))
+    got = sorted((r.v, r.curve) for r in curve_position(rows, ["v"], bits=4).collect())
+    assert [c for _, c in got] == sorted(c for _, c in got)
+    counts = [sum(c == k for _, c in got) for k in range(16)]
+    assert min(counts) > 150 and max(counts) < 250
+
+
 def test_curve_keeps_neighbours_together(spark, sf_dir):
     """A filter on one dimension has to open clearly fewer shards than all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

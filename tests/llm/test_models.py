@@ -38,8 +38,9 @@ def test_subword_held_out_accuracy(spark, corpus):
 def test_subword_score_equals_the_model_by_hand(spark, corpus):
     docs, labels, _ = corpus
     model = subword.train(docs, labels, F.col("quality"), bound=50, epochs=2)
-    rows = docs.limit(5).collect()
-    got = {r.doc_id: r.score for r in subword.score(docs.limit(5), model).collect()}
+    few = docs.filter("doc_id < 5")
+    rows = few.collect()
+    got = {r.doc_id: r.score for r in subword.score(few, model).collect()}
     for r in rows:
         raw = np.frombuffer(r.text.encode(), np.uint8)
         ids = np.concatenate([i for i, _ in subword.features(raw, np.array([0, len(raw)]))])
@@ -65,13 +66,17 @@ def test_repeated_words_are_marked():
     assert parts[1][1].tolist() == [2, 6, 8]
 
 
-CATEGORIES = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+NAMES = ["low_quality", "toxic"]
+
+
+def categories():
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
 def test_chain_held_out_accuracy(spark, corpus):
     docs, labels, truth = corpus
-    chain = toxicity.train(docs, labels, CATEGORIES, bound=700, use=F.col("doc_id") % 5 != 0)
-    got = {r.doc_id: r for r in toxicity.score(docs, chain, list(CATEGORIES)).collect()}
+    chain = toxicity.train(docs, labels, categories(), bound=700, use=F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: r for r in toxicity.score(docs, chain, NAMES).collect()}
     held = [(got[i].toxic, bool(t)) for i, _, t, _ in truth if i % 5 == 0]
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
     assert [len(link.earlier) for link in chain] == [0, 1]
@@ -93,10 +98,10 @@ def test_later_links_learn_from_out_of_fold_predictions():
 
 def test_chain_edges(spark, corpus):
     docs, labels, _ = corpus
-    chain = toxicity.train(docs, labels, CATEGORIES, bound=100)
+    chain = toxicity.train(docs, labels, categories(), bound=100)
     odd = spark.createDataFrame([(1, None, 1), (None, "", 1), (2, "!!", 1), (2, "!!", 1), (3, "word " * 100_000, 1)], "doc_id long, text string, toxic int")
-    rows = toxicity.score(odd, chain, list(CATEGORIES)).collect()
+    rows = toxicity.score(odd, chain, NAMES).collect()
     assert len(rows) == 5 and all(0 <= r.p_toxic <= 1 for r in rows)
-    assert toxicity.score(odd.limit(0), chain, list(CATEGORIES)).collect() == []
-    assert toxicity.train(docs, labels.limit(0), CATEGORIES) == []
-    assert {(r.p_toxic, r.toxic) for r in toxicity.score(odd, [], list(CATEGORIES)).collect()} == {(0.0, False)}
+    assert toxicity.score(odd.limit(0), chain, NAMES).collect() == []
+    assert toxicity.train(docs, labels.limit(0), categories()) == []
+    assert {(r.p_toxic, r.toxic) for r in toxicity.score(odd, [], NAMES).collect()} == {(0.0, False)}

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from usagelens.llm.query_models import URL_RULES
 from usagelens.llm.url_rules import judge_urls, tokens
 
-BLOCK = F.col("quality") == 0
+def block():
+    return F.col("quality") == 0
 
 
 def split(url):
@@ -38,7 +39,7 @@ NO_LABELS = "doc_id long, quality int, toxic int, verdict string"
 
 
 def test_hosts_paths_and_given_rules(spark):
-    got = judge_urls(pages(spark, URLS), spark.createDataFrame([], NO_LABELS), URL_RULES, BLOCK).collect()
+    got = judge_urls(pages(spark, URLS), spark.createDataFrame([], NO_LABELS), URL_RULES, block()).collect()
     for r in got:
         rule, verdict = given(URLS[r.page_id])
         assert (r.host, r.path) == split(URLS[r.page_id])
@@ -50,7 +51,7 @@ def test_mined_rules_equal_counting(spark):
     urls = [f"http://s{i % 5}.org/{'ads' if i % 3 == 0 else 'news'}/{i}?{'buy' if i % 2 else 'id'}={i}" for i in range(300)]
     bad = {i for i in range(300) if i % 3 == 0 and i % 2} | {0, 2, 10}
     labels = spark.createDataFrame([(i, int(i not in bad), 0, "v") for i in range(300)] + [(1, 0, 0, "v"), (None, 0, 0, "v"), (9999, 0, 0, "v")], NO_LABELS)
-    got = {r.page_id: r for r in judge_urls(pages(spark, urls), labels, [], BLOCK, min_support=0.05, min_confidence=0.8).collect()}
+    got = {r.page_id: r for r in judge_urls(pages(spark, urls), labels, [], block(), min_support=0.05, min_confidence=0.8).collect()}
     df = pages(spark, urls).select("page_id", tokens(F.col("url")).alias("t"))
     items = {r.page_id: frozenset(r.t) for r in df.collect()}
     bad |= {1}
@@ -75,12 +76,12 @@ def test_mined_rules_equal_counting(spark):
 def test_repeats_nulls_and_empty(spark):
     rows = spark.createDataFrame([(None, "http://a.com/x"), (1, None), (1, None), (2, "http://a.net/es/"), (2, "http://a.net/es/")], "page_id long, url string")
     labels = spark.createDataFrame([(1, 0, 0, "v"), (2, None, 0, "v")], NO_LABELS)
-    got = judge_urls(rows, labels, URL_RULES, BLOCK).collect()
+    got = judge_urls(rows, labels, URL_RULES, block()).collect()
     assert sorted((str(r.page_id), r.verdict) for r in got) == [("1", "allow")] * 2 + [("2", "block")] * 2 + [("None", "allow")]
-    assert judge_urls(rows.limit(0), labels, URL_RULES, BLOCK).collect() == []
+    assert judge_urls(rows.limit(0), labels, URL_RULES, block()).collect() == []
 
 
 def test_main_path_is_native(spark, sf_dir):
     tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels")]
-    plan = judge_urls(*tables, URL_RULES, BLOCK)._jdf.queryExecution().executedPlan().toString()
+    plan = judge_urls(*tables, URL_RULES, block())._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)

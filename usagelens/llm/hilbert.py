@@ -71,7 +71,8 @@ def curve_position(df: DataFrame, dims: list[str], bits: int = 5, accuracy: int
     codes = []
     for i, c in enumerate(dims):
         edges = F.array(*[F.lit(float(x)) for x in cuts[i] or []]).cast("array<double>")
-        codes.append(F.coalesce(F.size(F.filter(edges, lambda e, v=value[c]: e < v)), F.lit(0)))
+        below = F.filter(edges, lambda e: e < value[c])  # noqa: B023  used at once
+        codes.append(F.coalesce(F.size(below), F.lit(0)))
     return df.withColumn(out, hilbert_index(codes, bits))
 
 

@@ -96,7 +96,7 @@ def contamination(
     )
     parts = [kept]
     for length in short:
-        runs = F.transform(_range(F.size("w") - length), lambda i, m=length: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i + 1, m)).alias("mark")))
+        runs = F.transform(_range(F.size("w") - length), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i + 1, length)).alias("mark")))  # noqa: B023  used at once
         parts.append(split.select("key", "n_words", "words", F.inline(runs), F.lit(length).alias("size")).select("key", "n_words", "words", "at", "mark", "size"))
     marks = parts[0]
     for p in parts[1:]:
