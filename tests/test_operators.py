@@ -19,9 +19,9 @@ def test_liveness_is_judged_per_host(spark):
 
 
 def test_job_over_three_nodes(spark):
-    rows = [sample(host=f"c1-{n}.fox", job=9, epoch=0, t=t, cputime_sec=t, cpu_kb=1 << 20) for n in (10, 18, 19) for t in (0, 300)]
+    rows = [sample(host=f"k-{n}.example", job=9, epoch=0, t=t, cputime_sec=t, cpu_kb=1 << 20) for n in (30, 33, 34) for t in (0, 300)]
     got = jobs.jobs(frame(spark, rows), criteria=ALL).collect()
-    assert [(r.job, r.hosts, r.mem_peak, r.cpu_peak) for r in got] == [(9, ["c1-10.fox", "c1-18.fox", "c1-19.fox"], 3.0, 300.0)]
+    assert [(r.job, r.hosts, r.mem_peak, r.cpu_peak) for r in got] == [(9, ["k-30.example", "k-33.example", "k-34.example"], 3.0, 300.0)]
 
 
 def test_bounds_come_from_unfiltered_samples(spark):

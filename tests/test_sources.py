@@ -9,40 +9,76 @@ def lines(spark, texts):
     return spark.createDataFrame([(t,) for t in texts], "value string")
 
 
+RECORD = 'v=0.9.1,time=2022-02-03T01:00:30+03:00,host=node-a,cores=16,user=kim,job=12,pid=340,"cmd=sort,uniq",cpu%%=37.5,gpus=2,load=%s,other=1,job=13'
+
+
 def test_tagged_samples(spark):
-    ok = 'v=0.7.0,time=2023-10-04T09:40:01+02:00,host=ml4,cores=64,user=u,job=1,pid=0,"cmd=a,b",cpu%=1714.2,gpus=none,load=)(t*1b,zzz=1,job=5'
-    heart = "v=0.7.0,time=2023-10-04T09:40:01Z,host=ml4,cmd=_heartbeat_"
-    bad = ["v=0.7.0,time=2023-10-04T09:40:01Z,host=ml4,cmd=x", ok.replace("pid=0", "pid=-1"), ok.replace("time=", "tame=")]
+    """Quoted commas, an unknown field, a repeated one (the last counts), a heartbeat, and three kinds of rejects."""
+    ok = RECORD % ")b"
+    heart = "v=0.9.1,time=2022-02-03T01:00:30Z,host=node-a,cmd=_heartbeat_"
+    bad = ["v=0.9.1,time=2022-02-03T01:00:30Z,host=node-a,cmd=x", ok.replace("pid=340", "pid=-7"), ok.replace("time=", "when=")]
     good, rejects = tagged.parse_samples_csv(lines(spark, [ok, heart, "", *bad]))
     rows = {r.cmd: r for r in good.collect()}
-    assert set(rows) == {"a,b", "_heartbeat_"}
-    r = rows["a,b"]
-    assert (r.t, r.job, r.epoch, r.cpu_pct, r.gpus, r.heartbeat) == (1696405201, 5, 1, 1714.2, 0, False)
+    assert set(rows) == {"sort,uniq", "_heartbeat_"}
+    r = rows["sort,uniq"]
+    assert (r.t, r.job, r.epoch, r.pid, r.cpu_pct, r.gpus, r.heartbeat) == (1643839230, 13, 1, 340, 37.5, 4, False)
     assert rows["_heartbeat_"].heartbeat
     assert sorted(x.reason for x in rejects.collect()) == ["bad value: pid", "missing: time", "missing: user"]
-    cores, errors = tagged.decode_load_column(good)
-    assert [x.per_core for x in cores.collect()] == [[1, 30, 89, 12]]
-    assert errors.first()[0] == 0
 
 
-def test_undecodable_load_is_counted(spark):
-    raw = spark.createDataFrame([(1, "a", ")(t*1b"), (2, "a", "\n"), (3, "a", "")], "t bigint, host string, load string")
+def base45(numbers):
+    """Numbers in the load alphabets, by definition: least digit first, the first digit from the first alphabet."""
+    text = ""
+    for n in numbers:
+        text += tagged.LOAD_INITIAL[n % 45]
+        while n >= 45:
+            n //= 45
+            text += tagged.LOAD_SUBSEQUENT[n % 45]
+    return text
+
+
+def test_load_columns(spark):
+    """The first number is the base of the others; what has other characters or starts amiss is counted."""
+    texts = [base45([7, 0, 44, 45, 2024, 91_124]), "0" + base45([1]), "", "\n", base45([3])]
+    raw = spark.createDataFrame([(i, "a", x) for i, x in enumerate(texts)], "t bigint, host string, load string")
     cores, errors = tagged.decode_load_column(raw)
-    assert cores.count() == 1 and errors.first()[0] == 2
+    assert {r.t: r.per_core for r in cores.collect()} == {0: [7, 51, 52, 2031, 91_131], 4: []}
+    assert errors.first()[0] == 3
+
+
+def test_records_of_any_length(spark):
+    """A field of 100,000 characters, with and without doubled quotes, and a load of 20,000 numbers do not stop a job."""
+    long = RECORD.replace("sort,uniq", "c" * 100_000) % base45([1, *range(20_000)])
+    quotes = RECORD.replace("sort,uniq", '""' * 50_000) % ")b"
+    bare = RECORD.replace('"cmd=sort,uniq"', "cmd=" + "d" * 100_000) % ")b"
+    good, rejects = tagged.parse_samples_csv(lines(spark, [long, quotes, bare, "," * 100_000, '"' + "x" * 100_000]))
+    assert sorted(len(r.cmd) for r in good.collect()) == [50_000, 100_000, 100_000]
+    assert rejects.count() == 2
+    cores, errors = tagged.decode_load_column(good)
+    assert max(len(r.per_core) for r in cores.collect()) == 20_000 and errors.first()[0] == 0
 
 
 def test_sacct_dump(spark):
-    text = '"JobIDRaw=77.batch",JobID=70_3.batch,User=,State=CANCELLED by 5,UserCPU=1-00:00:10.5,MaxRSS=3M,TimelimitRaw=2,"AllocTRES=cpu=1,gres/gpu:a100=2"'
-    r = tagged.parse_sacct_csv(lines(spark, [text, text.replace("3M", "wat")])).collect()
+    text = '"JobIDRaw=912.step1",JobID=905_4.step1,User=,State=FAILED by kim,UserCPU=2-01:00:05.25,MaxRSS=5M,TimelimitRaw=3,"AllocTRES=cpu=2,gres/gpu:zx=4"'
+    r = tagged.parse_sacct_csv(lines(spark, [text, text.replace("5M", "five")])).collect()
     assert len(r) == 1
-    assert (r[0].job_id, r[0].job_step, r[0].array_job_id, r[0].array_task_id, r[0].array_step) == (77, "batch", 70, 3, "batch")
-    assert (r[0].state, r[0].user_cpu, r[0].max_rss, r[0].timelimit, r[0].req_gpus) == ("CANCELLED", 86410, 3072, 120, "a100=2")
+    assert (r[0].job_id, r[0].job_step, r[0].array_job_id, r[0].array_task_id, r[0].array_step) == (912, "step1", 905, 4, "step1")
+    assert (r[0].state, r[0].user_cpu, r[0].max_rss, r[0].timelimit, r[0].req_gpus) == ("FAILED", 176405, 5120, 180, "zx=4")
 
 
 def test_violation_log(spark):
-    text = 'now=2023-09-28 22:05,jobm=2385640>,user=t,duration=0d 4h10m,host=ml7,start=2023-09-28 17:45,end=2023-09-28 21:55,"cmd=python3 <defunct>,python3",tag=deadweight'
-    r = tagged.parse_violation_log(lines(spark, [text, text.replace("deadweight", "x")]), "deadweight", peaks=False).collect()
-    assert [(x.id, x.cmd, x.now - x.end) for x in r] == [(2385640, "python3 <defunct>,python3", 600)]
+    """The mark after the job number goes, other tags are left out."""
+    text = 'now=2022-05-06 10:20,jobm=4711<,user=kim,host=node-b,start=2022-05-06 08:00,end=2022-05-06 10:00,"cmd=awk,sed",tag=idle'
+    r = tagged.parse_violation_log(lines(spark, [text, text.replace("idle", "busy")]), "idle", peaks=False).collect()
+    assert [(x.id, x.cmd, x.user, x.now - x.end, x.end - x.start) for x in r] == [(4711, "awk,sed", "kim", 1200, 7200)]
+
+
+def test_card_without_a_bit_makes_the_set_unknown(spark):
+    proc = spark.createDataFrame([("c", "h", 1, p, 5, 0) for p in (1, 2)], "cluster string, host string, t bigint, pid bigint, job bigint, epoch bigint")
+    rows = [("c", "h", 1, 1, 5, 0, 31, "u31", 10, 1.0, 1.0), ("c", "h", 1, 2, 5, 0, 3, "u3", 10, 1.0, 1.0)]
+    kind = "cluster string, host string, t bigint, pid bigint, job bigint, epoch bigint, index int, uuid string, gpu_memory bigint, gpu_util double, gpu_memory_util double"
+    got = {r.pid: r.gpus for r in tables.join_process_gpu(proc, spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: 1 << 31, 2: 8}
 
 
 def test_flat_sysinfo_files(spark, tmp_path):
@@ -58,7 +94,7 @@ def test_flat_sysinfo_files(spark, tmp_path):
 
 def test_dated_table_prunes_days(spark, tmp_path):
     df = spark.range(10).select((F.col("id") * 43200).alias("t"), F.concat(F.lit("h"), (F.col("id") % 2).cast("string")).alias("host"))
-    tables.write_table(df, str(tmp_path), files_per_day=2)
+    tables.write_table(df, str(tmp_path))
     out = tables.read_dated(spark, str(tmp_path), 86400, 3 * 86400, ["h0"])
     assert sorted(r.t for r in out.collect()) == [86400, 172800, 259200]
     plan = out._jdf.queryExecution().executedPlan().toString()
@@ -81,10 +117,23 @@ def test_stream_ingest_counts_errors(spark, tmp_path):
     counts = []
     q = ingest.stream_ingest(
         ingest.file_source(spark, str(drop)), "sample", str(tmp_path / "t"), str(tmp_path / "c"), available_now=True,
-        on_counts=lambda *c: counts.append(c), files_per_day=1,
+        on_counts=lambda *c: counts.append(c),
     )
     q.awaitTermination()
     assert counts == [(0, 3, 2)]
     r = spark.read.parquet(str(tmp_path / "t" / "samples")).collect()
     assert [(x.pid, x.threads, x.num_cores) for x in r] == [(5, 1, 2)]
     assert spark.read.parquet(str(tmp_path / "t" / "cpu_samples")).first().per_core == [1, 2]
+
+
+def test_a_batch_that_is_repeated_is_stored_once(spark, tmp_path):
+    line = '{"meta":{"version":"1"},"data":{"type":"sample","attributes":{"time":"2024-01-01T00:00:00Z","cluster":"c","node":"n%d","system":{"cpus":[1,2]},"jobs":[]}}}'
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    for i in range(2):
+        (drop / f"{i}.json").write_text(line % i + "\n")
+    for checkpoint in ("c1", "c2"):  # the second run knows nothing of the first: it repeats batch 0
+        q = ingest.stream_ingest(ingest.file_source(spark, str(drop)), "sample", str(tmp_path / "t"), str(tmp_path / checkpoint), available_now=True)
+        q.awaitTermination()
+    for name in ("samples", "cpu_samples", "node_samples"):
+        assert sorted(r.host for r in spark.read.parquet(str(tmp_path / "t" / name)).collect()) == ["n0", "n1"], name

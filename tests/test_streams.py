@@ -4,19 +4,21 @@ from tests.test_merge import frame, sample
 from usagelens.operators.streams import clean_streams, last_n, stream_key
 
 
-def test_cpu_util_known_answer(spark):
+def test_cpu_util_is_the_growth_of_cpu_time(spark):
+    """The first sample has no growth yet and shows its own percentage; order of arrival does not matter."""
     rows = [
-        sample(pid=1090, t=1300, cputime_sec=400, cpu_pct=1.0),
-        sample(pid=1090, t=1000, cputime_sec=100, cpu_pct=1473.7),
-        sample(pid=1090, t=1600, cputime_sec=550, cpu_pct=2.0),
+        sample(pid=81, t=2240, cputime_sec=70, cpu_pct=3.0),
+        sample(pid=81, t=2000, cputime_sec=10, cpu_pct=88.5),
+        sample(pid=81, t=2440, cputime_sec=220, cpu_pct=4.0),
     ]
     got = [r.cpu_util_pct for r in clean_streams(frame(spark, rows)).orderBy("t").collect()]
-    assert got == [1473.7, 100.0, 50.0]
+    assert got == [88.5, 25.0, 75.0]
 
 
 def test_rolled_up_stream_id(spark):
-    rows = [sample(pid=0, job=4093, rolledup=1), sample(pid=0, job=4093, rolledup=0)]
-    assert sorted(r.stream_id for r in stream_key(frame(spark, rows)).collect()) == [0, 10004093]
+    """Without a process number a rolled-up record is told from others by its job."""
+    rows = [sample(pid=0, job=655, rolledup=2), sample(pid=0, job=655, rolledup=0)]
+    assert sorted(r.stream_id for r in stream_key(frame(spark, rows)).collect()) == [0, 10000655]
 
 
 def test_backward_cpu_time_is_dropped_against_raw_previous(spark):

@@ -1,4 +1,4 @@
-"""Host sets: expansion, compression and matching of names such as ``c1-[10,18-19].fox``."""
+"""Host sets: expansion, compression and matching of names such as ``n[1-3,7].example``."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from usagelens.functions.scalars import string_set_compare
 
-RANGE = r"\[([0-9,\-]+)\]"
-_LIST = r"(?:[^,\[\]]|\[[^\]]*\])+"
+_LIST = r"(?:[^,\[\]]++|\[[^\]]*+\])++"
+_PART = r"(\[[^\]]*+\]|[^\[\]]++)"
+_RANGES = r"\[\d++(?:-\d++)?+(?:,\d++(?:-\d++)?+)*+\]"
 
 
 def _col(c: Column | str) -> Column:
@@ -22,39 +23,36 @@ def split_host_list(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_col(c), F.lit(f"({_LIST})"), F.lit(1)), lambda x: F.trim(x))
 
 
-def _expand_once(names: Column) -> Column:
-    """Replace the first bracket of every name by each of its numbers."""
+def _choices(part: Column) -> Column:
+    """The numbers of a bracket as texts, any other part as it is; NULL if a range goes down."""
 
-    def numbers(name: Column) -> Column:
-        spans = F.split(F.regexp_extract(name, RANGE, 1), ",")
-        each = F.transform(
-            spans,
-            lambda s: F.sequence(
-                F.split(s, "-")[0].cast("bigint"), F.element_at(F.split(s, "-"), -1).cast("bigint")
-            ),
-        )
-        return F.flatten(each)
+    def numbers(span: Column) -> Column:
+        lo = F.split(span, "-")[0].try_cast("bigint")
+        hi = F.element_at(F.split(span, "-"), -1).try_cast("bigint")
+        return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda n: n.cast("string")))
+
+    inner = F.regexp_extract(part, r"^\[(.*)\]$", 1)
+    return F.when(part.startswith("["), F.flatten(F.transform(F.split(inner, ","), numbers))).otherwise(F.array(part))
 
-    def expand(name: Column) -> Column:
-        head = F.regexp_extract(name, r"^([^\[]*)\[", 1)
-        tail = F.regexp_extract(name, r"^[^\[]*\[[^\]]*\](.*)$", 1)
-        many = F.transform(numbers(name), lambda n: F.concat(head, n.cast("string"), tail))
-        return F.when(name.contains("["), many).otherwise(F.array(name))
 
-    return F.flatten(F.transform(names, expand))
+def expand_host_list(c: Column | str) -> Column:
+    """Compressed host list to an array of names; each name may hold any number of bracket ranges.
 
+    NULL for a list with an unclosed bracket, something else than numbers in one, or a range that goes down.
+    """
+
+    def expand(name: Column) -> Column:
+        parts = F.regexp_extract_all(name, F.lit(_PART), F.lit(1))
+        longer = lambda heads, part: F.flatten(F.transform(heads, lambda h: F.transform(_choices(part), lambda x: F.concat(h, x))))
+        return F.aggregate(parts, F.array(F.lit("")), longer)
 
-def expand_host_list(c: Column | str, max_ranges: int = 3) -> Column:
-    """Compressed host list to an array of names.  A name may hold up to ``max_ranges`` bracket ranges."""
-    names = split_host_list(c)
-    for _ in range(max_ranges):
-        names = _expand_once(names)
-    return names
+    sound = ~F.regexp_replace(_col(c), _RANGES, "").rlike(r"[\[\]]")
+    return F.when(sound, F.flatten(F.transform(split_host_list(c), expand)))
 
 
-def expand_hosts(df: DataFrame, col: str, out: str = "host", max_ranges: int = 3) -> DataFrame:
-    """One row per host of a compressed list."""
-    return df.withColumn(out, F.explode(expand_host_list(col, max_ranges)))
+def expand_hosts(df: DataFrame, col: str, out: str = "host") -> DataFrame:
+    """One row per host of a compressed list; lists that :func:`expand_host_list` rejects give none."""
+    return df.withColumn(out, F.explode(expand_host_list(col)))
 
 
 def compress_hosts(df: DataFrame, keys: list[str], host: str = "host", out: str = "hosts") -> DataFrame:

@@ -102,8 +102,8 @@ def parse_gpu_request(c: Column | str) -> Column:
     entries = F.filter(F.split(F.coalesce(_col(c), F.lit("")), ","), lambda e: e.rlike(r"^gres/gpu[=:]"))
     named = F.transform(
         entries,
-        lambda e: F.when(e.startswith("gres/gpu="), F.concat(F.lit("*"), F.substring(e, 9, 1 << 20))).otherwise(
-            F.substring(e, 10, 1 << 20)
+        lambda e: F.when(e.startswith("gres/gpu="), F.concat(F.lit("*"), F.substr(e, F.lit(9)))).otherwise(
+            F.substr(e, F.lit(10))
         ),
     )
     return F.array_join(named, ",")

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.functions.hosts import expand_host_list, host_matches
+from usagelens.functions.gpus import gpu_set_compare, gpu_set_parse, gpu_set_text
+from usagelens.functions.hosts import expand_host_list, host_matches, host_set_compare
+from usagelens.functions.scalars import format_duration, format_time, parse_duration, string_set_compare
 
 # What the default filters leave out.
 SYSTEM_USERS = ["root", "zabbix"]
@@ -174,6 +176,39 @@ def where(df: DataFrame, condition: Column | str) -> DataFrame:
     return df.filter(condition)
 
 
+def _ordered(a: Column, b: Column, op: str) -> Column:
+    return {"=": a == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+
+# Kind of a column: how it is shown, how the text of a value is read, and how two values compare.
+FIELD_KINDS = {
+    "text": (lambda c: c, F.lit, _ordered),
+    "number": (lambda c: c.cast("string"), lambda v: F.lit(float(v)), _ordered),
+    "duration": (format_duration, lambda v: parse_duration(F.lit(v)), _ordered),
+    "time": (lambda c: format_time(c, "minute"), lambda v: F.unix_seconds(F.try_to_timestamp(F.lit(v))), _ordered),
+    "hosts": (lambda c: F.array_join(F.array_sort(c), ","), lambda v: expand_host_list(F.lit(v)), host_set_compare),
+    "gpus": (gpu_set_text, lambda v: gpu_set_parse(F.lit(v)), gpu_set_compare),
+    "set": (lambda c: F.array_join(F.array_sort(c), ","), lambda v: F.split(F.lit(v), ","), string_set_compare),
+}
+
+
+def field_condition(field: str, op: str, value: str, kind: str = "text") -> Column:
+    """Condition on a column whose value is given as text, for use in :func:`where`.
+
+    ``op`` is ``=``, ``<``, ``<=``, ``>``, ``>=`` in the order of the kind (for the sets inclusion, ``<`` proper), or
+    ``match``: a regular expression found in the value as reports show it.  A value that cannot be read makes the
+    condition NULL, so no row passes; an unknown kind or operator is an error.
+    """
+    if kind not in FIELD_KINDS:
+        raise ValueError(f"unknown kind of field: {kind}")
+    shown, read, compare = FIELD_KINDS[kind]
+    if op == "match":
+        return shown(F.col(field)).rlike(value)
+    if op not in ("=", "<", "<=", ">", ">="):
+        raise ValueError(f"unknown operator: {op}")
+    return compare(F.col(field), read(value), op)
+
+
 # Thresholds on job aggregates and the columns they test.
 JOB_LIMITS = {
     "cpu_avg": "cpu_avg", "cpu_peak": "cpu_peak", "rcpu_avg": "rcpu_avg", "rcpu_peak": "rcpu_peak",

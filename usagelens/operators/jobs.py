@@ -90,11 +90,14 @@ def job_liveness(jobs: DataFrame, bounds: DataFrame) -> DataFrame:
 def _per_member(jobs: DataFrame, attach: Callable[[DataFrame], DataFrame], aggs: dict[str, Column]) -> DataFrame:
     """Look something up for every host of a job and aggregate it per job, the job's own columns kept.
 
-    The row travels with its hosts instead of being joined back, so the summary is computed once.
+    The row travels with the first of its hosts, the others carry the key and the time only: a summary is computed
+    once, and a job of many hosts does not multiply its names.
     """
     rest = [c for c in jobs.columns if c not in JOB_KEY]
-    members = jobs.select(*JOB_KEY, F.struct(*rest).alias("_row"), "first", F.explode("hosts").alias("_member"))
-    summed = attach(members).groupBy(*JOB_KEY).agg(F.first("_row").alias("_row"), *[c.alias(n) for n, c in aggs.items()])
+    members = jobs.select(*JOB_KEY, F.struct(*rest).alias("_row"), "first", F.posexplode("hosts").alias("_pos", "_member"))
+    members = members.withColumn("_row", F.when(F.col("_pos") == 0, F.col("_row"))).drop("_pos")
+    row = F.first("_row", ignorenulls=True).alias("_row")
+    summed = attach(members).groupBy(*JOB_KEY).agg(row, *[c.alias(n) for n, c in aggs.items()])
     return summed.select(*[c if c in JOB_KEY else F.col(f"_row.{c}").alias(c) for c in jobs.columns], *aggs)
 
 

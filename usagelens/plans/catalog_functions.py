@@ -24,25 +24,29 @@ def host_lists(spark, d):
     a, b = k % 7, k % 5
     text = F.concat(
         F.lit("c"), b.cast("string"), F.lit("-["), a.cast("string"), F.lit(","), (a + 2).cast("string"), F.lit("-"), (a + 2 + b).cast("string"),
-        F.lit("].fox,gpu[1-2]-ib.r["), b.cast("string"), F.lit("-"), (b + 1).cast("string"), F.lit("].fox, solo"), a.cast("string"),
+        F.lit("].site,gpu[1-2]-x.r["), b.cast("string"), F.lit("-"), (b + 1).cast("string"), F.lit("].site, solo"), a.cast("string"),
     )
     return table(spark, d, "orders").select(k.alias("k"), text.alias("nodes"))
 
 
 @query(
     "expand_hosts",
-    _LIST_SQL + """ SELECT k, 'c' || b || '-' || unnest(list_concat([a], range(a + 2, a + 3 + b))) || '.fox' AS host FROM o
-    UNION ALL SELECT k, 'gpu' || n || '-ib.r' || (b + m) || '.fox' FROM o, (SELECT unnest([1, 2]) AS n), (SELECT unnest([0, 1]) AS m) UNION ALL SELECT k, 'solo' || a FROM o""",
+    _LIST_SQL + """ SELECT k, 'c' || b || '-' || unnest(list_concat([a], range(a + 2, a + 3 + b))) || '.site' AS host FROM o
+    UNION ALL SELECT k, 'gpu' || n || '-x.r' || (b + m) || '.site' FROM o, (SELECT unnest([1, 2]) AS n), (SELECT unnest([0, 1]) AS m) UNION ALL SELECT k, 'solo' || a FROM o
+    UNION ALL SELECT k, 'm' || p || 'x' || q || 'y' || r || 'z' || s || 'u' || a || 'v' || t FROM o, (SELECT unnest([1, 2]) AS p), (SELECT unnest([3, 5]) AS q), (SELECT unnest([6]) AS r),
+      (SELECT unnest([8, 9]) AS s), (SELECT unnest([1, 2, 3]) AS t)""",
 )
 def expand_hosts(spark, d):
-    return h.expand_hosts(host_lists(spark, d), "nodes").select("k", "host")
+    """Lists of names with none, one, two and six ranges."""
+    six = F.concat(F.col("nodes"), F.lit(",m[1-2]x[3,5]y[6]z[8-9]u["), (F.col("k") % 7).cast("string"), F.lit("]v[1-3]"))
+    return h.expand_hosts(host_lists(spark, d).withColumn("nodes", six), "nodes").select("k", "host")
 
 
 # Compression undoes the expansion; the ranges are chosen so that they cannot join.
 @query(
     "compress_hosts",
-    _LIST_SQL + """, c AS (SELECT k, 'c' || b || '-[' || a || ',' || CASE WHEN b = 0 THEN CAST(a + 2 AS VARCHAR) ELSE (a + 2) || '-' || (a + 2 + b) END || '].fox' AS x,
-    'gpu[1-2]-ib.r' || b || '.fox' AS y1, 'gpu[1-2]-ib.r' || (b + 1) || '.fox' AS y2, 'solo' || a AS z FROM o)
+    _LIST_SQL + """, c AS (SELECT k, 'c' || b || '-[' || a || ',' || CASE WHEN b = 0 THEN CAST(a + 2 AS VARCHAR) ELSE (a + 2) || '-' || (a + 2 + b) END || '].site' AS x,
+    'gpu[1-2]-x.r' || b || '.site' AS y1, 'gpu[1-2]-x.r' || (b + 1) || '.site' AS y2, 'solo' || a AS z FROM o)
     SELECT k, array_to_string(list_sort([x, y1, y2, z]), ',') AS hosts FROM c""",
 )
 def compress_hosts(spark, d):
@@ -53,15 +57,15 @@ def compress_hosts(spark, d):
 
 @query(
     "match_hosts",
-    _LIST_SQL + """, e AS (SELECT k, 'c' || b || '-' || unnest(range(a, a + 3 + b)) || '.fox' AS host FROM o) SELECT k, host FROM e
-    WHERE regexp_matches(host, '^c(1|2)-[^.]*(\\..*)?$') OR regexp_matches(host, '^c4-(3|4|5)\\.fox(\\..*)?$')""",
+    _LIST_SQL + """, e AS (SELECT k, 'c' || b || '-' || unnest(range(a, a + 3 + b)) || '.site' AS host FROM o) SELECT k, host FROM e
+    WHERE regexp_matches(host, '^c(1|2)-[^.]*(\\..*)?$') OR regexp_matches(host, '^c4-(3|4|5)\\.site(\\..*)?$')""",
 )
 def match_hosts(spark, d):
     k = F.col("o_orderkey")
     a, b = k % 7, k % 5
     each = table(spark, d, "orders").select(k.alias("k"), b.alias("b"), F.explode(F.sequence(a, a + 2 + b)).alias("n"))
-    named = each.select("k", F.concat(F.lit("c"), F.col("b").cast("string"), F.lit("-"), F.col("n").cast("string"), F.lit(".fox")).alias("host"))
-    return h.match_hosts(named, ["c[1-2]-*", "c4-[3-5].fox"], prefix=True)
+    named = each.select("k", F.concat(F.lit("c"), F.col("b").cast("string"), F.lit("-"), F.col("n").cast("string"), F.lit(".site")).alias("host"))
+    return h.match_hosts(named, ["c[1-2]-*", "c4-[3-5].site"], prefix=True)
 
 
 def _set_ops(compare, a, b):
@@ -95,10 +99,9 @@ def string_set_compare(spark, d):
 # --- GPU sets --------------------------------------------------------------------------------------
 
 
-@query("gpu_set_union", o.SAMPLES + f" SELECT host, job, {o.unknown_absorbs('gpus')} AS gpus FROM samples WHERE event_id % 3 <> 0 OR gpus < 2147483648 GROUP BY host, job")
+@query("gpu_set_union", o.SAMPLES + f" SELECT host, job, event_id % 7 AS part, {o.unknown_absorbs('gpus')} AS gpus FROM samples GROUP BY host, job, part")
 def gpu_set_union(spark, d):
-    df = samples(spark, d).filter("event_id % 3 <> 0 OR gpus < 2147483648")
-    return df.groupBy("host", "job").agg(g.gpu_set_union("gpus").alias("gpus"))
+    return samples(spark, d).groupBy("host", "job", (F.col("event_id") % 7).alias("part")).agg(g.gpu_set_union("gpus").alias("gpus"))
 
 
 @query("gpu_set_size", o.SAMPLES + " SELECT event_id, CASE WHEN gpus <> 2147483648 THEN CAST(bit_count(gpus * 5) AS BIGINT) END AS n FROM samples")

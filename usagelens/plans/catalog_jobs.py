@@ -382,11 +382,10 @@ def synth_accounting(spark, d):
 @query(
     "attach_accounting",
     o.JOBS + o.ACCOUNTING.replace("WITH sacct", ", sacct", 1) + f""" SELECT a.job, array_to_string(a.hosts, ',') AS hosts, a."user", a.cmd, s.account, s.state
-    FROM jobs a LEFT JOIN sjobs s ON a.job = s.job_id AND s.job_id % 3 <> 0 WHERE s.job_id IS NULL OR s.state IN ('COMPLETED', 'RUNNING')""",
+    FROM jobs a LEFT JOIN sjobs s ON a.job = s.job_id WHERE s.job_id IS NULL OR s.state IN ('COMPLETED', 'RUNNING')""",
 )
 def attach_accounting(spark, d):
-    mains = sacct_mains(spark, d).filter("job_id % 3 <> 0")
-    out = j.attach_accounting(unsorted(spark, d), mains, {"states": ["COMPLETED", "RUNNING"]})
+    out = j.attach_accounting(unsorted(spark, d), sacct_mains(spark, d), {"states": ["COMPLETED", "RUNNING"]})
     return out.select(*ids(), F.col("accounting.account").alias("account"), F.col("accounting.state").alias("state"))
 
 

@@ -11,7 +11,7 @@ from usagelens.plans import oracle as o
 from usagelens.plans.catalog_jobs import IDS_SQL, RELATIVE_JOBS, ids, relative, sacct_mains, unsorted
 from usagelens.plans.catalog_time import LOAD_HOUR, TO, UPTIME, _BUCKETED, _load, load_by, profiles, uptime_lines
 from usagelens.plans.driver_tables import EVENTS_START, samples
-from usagelens.plans.registry import query, rounded, sql_round
+from usagelens.plans.registry import ORACLE, query, rounded, sql_round
 
 R = sql_round
 DAY = 86400
@@ -185,7 +185,31 @@ def load_averages(spark, d):
 _CURRENT_FROM = NOW - 14 * DAY
 
 
-@query("at_a_glance")
+@query("host_names", o.SAMPLES + o.REPORTS + f" SELECT DISTINCT host FROM reports WHERE t BETWEEN {_CURRENT_FROM} AND {NOW}")
+def host_names(spark, d):
+    return glance.host_names(inputs.nodes(spark, d), NOW)
+
+
+_NEWEST = "newest AS (SELECT host, gpu_cards, description FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY valid_from DESC) AS rn FROM config) WHERE rn = 1)"
+_COUNT = f"SELECT host, count(*) AS n FROM state2 WHERE first_violation > {NOW2 + 3600 - DAY} AND"
+
+
+def _glance_sql() -> str:
+    """The parts have SQL of their own; each becomes a table here."""
+    whole = ["jobs_recent", "jobs_longer", "users_recent", "users_longer"]
+    loads = [f"{n}_{s}" for n in ("cpu", "mem", "resident", "gpu", "gpumem") for s in ("recent", "longer")]
+    value = lambda c: f"CAST(coalesce({c}, 0) AS BIGINT)"
+    carded = lambda c: f"CASE WHEN gpu_cards > 0 THEN {value(c)} ELSE 0 END" if c.startswith(("gpu_", "gpumem_")) else value(c)
+    return f"""WITH users_jobs AS ({ORACLE['users_jobs_by_host']}), st AS ({ORACLE['status_by_host']}), av AS ({ORACLE['load_averages']}),
+    hogs AS ({_STATE} {_COUNT} NOT is_expired GROUP BY host), dead AS ({_STATE} {_COUNT} is_expired GROUP BY host), cur AS ({ORACLE['host_names']}),
+    known AS ({o.SAMPLES} {o.REPORTS}, {_NEWEST} SELECT * FROM newest)
+    SELECT host, coalesce(description, '') AS description, {', '.join(f'{value(c)} AS {c}' for c in [*whole, 'cpu_status', 'gpu_status'])},
+      {', '.join(f'{carded(c)} AS {c}' for c in loads)}, {value('hogs.n')} AS violators, {value('dead.n')} AS deadweights
+    FROM users_jobs FULL JOIN (SELECT st.* FROM st SEMI JOIN cur USING (host)) s USING (host) FULL JOIN av USING (host) FULL JOIN hogs USING (host) FULL JOIN dead USING (host)
+    LEFT JOIN (SELECT known.* FROM known SEMI JOIN cur USING (host)) k USING (host)"""
+
+
+@query("at_a_glance", _glance_sql())
 def at_a_glance(spark, d):
     newest = config.newest_per_host(inputs.node_config(spark, d))
     current = glance.host_names(inputs.nodes(spark, d), NOW)
@@ -224,11 +248,6 @@ def at_a_glance_violations(spark, d):
     )
 
 
-@query("host_names", o.SAMPLES + o.REPORTS + f" SELECT DISTINCT host FROM reports WHERE t BETWEEN {_CURRENT_FROM} AND {NOW}")
-def host_names(spark, d):
-    return glance.host_names(inputs.nodes(spark, d), NOW)
-
-
 _DOWN = f""",
 down AS (SELECT * FROM lines WHERE state = 'down'),
 marked_load AS (SELECT l.host, l.t, l.rcpu, l.rgpu,

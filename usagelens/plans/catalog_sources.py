@@ -70,7 +70,7 @@ def ingest_samples_untagged(spark, d):
     cols = [format_time("t", "iso"), "host", F.lit("64"), "user", F.col("job").cast("string"), "cmd", F.col("cpu_pct").cast("string")]
     line = F.concat_ws(",", *cols, F.when(F.col("event_id") % 9 != 0, F.col("cpu_kb").cast("string")), F.when(F.col("event_id") % 2 == 0, F.lit("extra")))
     # A record cut short keeps seven fields, even with a stray one after it.
-    lines = samples(spark, d).filter("event_id % 9 <> 0 OR event_id % 2 = 1").select(line.alias("value"))
+    lines = samples(spark, d).select(line.alias("value"))
     out = tagged.parse_samples_untagged(lines)
     return out.select("t", "host", "user", "job", "pid", "cmd", "cpu_pct", "cpu_kb", "version")
 
@@ -367,7 +367,7 @@ FROM, TO = EVENTS_START + 3 * DAY + 5000, EVENTS_START + 6 * DAY + 100
 @query("read_dated", o.SAMPLES + f" SELECT t, host, pid, cmd, cpu_kb FROM samples WHERE t BETWEEN {FROM} AND {TO} AND host IN ('n1', 'n2', 'n5')")
 def read_dated(spark, d):
     root = shared_dir(spark, "samples")
-    tables.write_table(samples(spark, d).drop("event_id"), root, files_per_day=2)
+    tables.write_table(samples(spark, d).drop("event_id"), root)
     out = tables.read_dated(spark, root, FROM, TO, ["n[1-2]", "n5"])
     return out.select("t", "host", "pid", "cmd", "cpu_kb")
 
@@ -391,15 +391,22 @@ def join_process_gpu(spark, d):
 def write_table(spark, d):
     root = shared_dir(spark, "samples")
     for _ in range(2):
-        tables.write_table(samples(spark, d).select("t", "host", "cpu_kb"), root, files_per_day=2)
+        tables.write_table(samples(spark, d).select("t", "host", "cpu_kb"), root)
     return spark.read.parquet(root).groupBy(F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("cpu_kb").alias("cpu_kb"))
 
 
-@query("export", o.SAMPLES + f" SELECT host, CAST(t AS VARCHAR) AS t, CAST(job AS VARCHAR) AS job, cmd FROM samples WHERE cpu_pct > 100")
+_EXPORTED = " SELECT host, CAST(t AS VARCHAR) AS t, CAST(job AS VARCHAR) AS job, cmd FROM samples"
+
+
+@query("export", o.SAMPLES + _EXPORTED)
 def export(spark, d):
     path = shared_dir(spark, "export")
-    rows = samples(spark, d).filter("cpu_pct > 100")
-    tables.export(rows, ["where", "job", "cmd"], "csv", path, {"where": ["host", "t"]})
+    tables.export(samples(spark, d), ["where", "job", "cmd"], "csv", path, {"where": ["host", "t"]})
     return spark.read.csv(path, header=True)
 
 
+@query("export_json", o.SAMPLES + _EXPORTED)
+def export_json(spark, d):
+    path = shared_dir(spark, "export")
+    tables.export(samples(spark, d), ["where", "job", "cmd"], "json", path, {"where": ["host", "t"]})
+    return spark.read.schema("host string, t string, job string, cmd string").json(path)

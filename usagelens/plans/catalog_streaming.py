@@ -50,7 +50,7 @@ def stream_ingest(spark, d):
 
     root = shared_dir(spark, "stream")
     sample_envelopes(spark, d).write.text(f"{root}/drop")
-    q = ingest.stream_ingest(ingest.file_source(spark, f"{root}/drop"), "sample", f"{root}/tables", f"{root}/checkpoint", available_now=True, files_per_day=1)
+    q = ingest.stream_ingest(ingest.file_source(spark, f"{root}/drop"), "sample", f"{root}/tables", f"{root}/checkpoint", available_now=True)
     q.awaitTermination()
     stored = spark.read.parquet(f"{root}/tables/samples").filter("NOT heartbeat")
     return stored.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("instants"), F.sum("cpu_kb").alias("cpu_kb"))

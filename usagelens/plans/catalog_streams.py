@@ -63,6 +63,23 @@ def where(spark, d):
     return df.select("event_id", "cpu_pct", "cmd")
 
 
+_SHOWN = "((cputime_sec + 30) // 60)"
+
+
+@query(
+    "where_typed",
+    o.SAMPLES + f""" SELECT event_id FROM samples WHERE (regexp_matches(({_SHOWN} // 1440) || 'd' || (({_SHOWN} // 60) % 24) || 'h' || ({_SHOWN} % 60) || 'm', '^0d[0-9]+h1')
+    OR cputime_sec >= 5400) AND host IN ('n1', 'n2', 'n3', 'n5') AND NOT (gpus < 2147483648 AND gpus & 2 = 2) AND t >= {EVENTS_START + 2 * 86400} AND cpu_pct < 90.5""",
+)
+def where_typed(spark, d):
+    """A match on a shown duration, and comparisons of a duration, a host set, a GPU set, a time and a number."""
+    c = filters.field_condition
+    shown = c("cputime_sec", "match", "^0d[0-9]+h1", "duration") | c("cputime_sec", ">=", "1h30m", "duration")
+    sets = c("members", "<=", "n[1-3],n5", "hosts") & ~c("gpus", ">=", "1", "gpus")
+    rest = c("t", ">=", "2024-01-03 00:00", "time") & c("cpu_pct", "<", "90.5", "number")
+    return filters.where(samples(spark, d).withColumn("members", F.array("host")), shown & sets & rest).select("event_id")
+
+
 _ROLLED = "CASE WHEN event_id % 4 = 0 THEN 0 ELSE pid END"
 
 

@@ -243,15 +243,15 @@ def profile_buckets(spark, d):
     return out.select("job", "minute", "host", "process", rounded("cpu_util_pct").alias("cpu_util_pct"), rounded("gpu_pct").alias("gpu_pct"), "cpu_kb", "rss_kb")
 
 
-_COLS = ["1003@n3", "1053@n5", "1103@n7"]
-
-
 @query(
     "profile_matrix",
-    _PROFILE + " SELECT minute, " + ", ".join(f"""max(CASE WHEN process || '@' || host = '{c}' THEN cpu_kb END)::BIGINT AS "{c}" """ for c in _COLS) + " FROM prof WHERE job = 3 GROUP BY minute",
+    _PROFILE + " SELECT minute, string_agg(process || '@' || host || '=' || CAST(cpu_kb AS BIGINT), ',' ORDER BY process || '@' || host) AS cells FROM prof WHERE job = 3 GROUP BY minute",
 )
 def profile_matrix(spark, d):
-    return pr.profile_matrix(profiles(spark, d, 3), "cpu_kb", _COLS)
+    """The matrix with its cells as text, since its columns are the processes of the data."""
+    m = pr.profile_matrix(profiles(spark, d, 3), "cpu_kb")
+    cells = [F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("bigint").cast("string"))) for c in sorted(m.columns) if c != "minute"]
+    return m.select("minute", F.concat_ws(",", *cells).alias("cells"))
 
 
 @query(

@@ -32,12 +32,15 @@ def build_session(app: str = "usagelens", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
+    """A fresh folder under ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    The cluster names the shared folder in that setting.  Only where it is unset, as in tests on one
-    machine, a temporary folder is taken.
+    Without the setting a session of one process gets a temporary folder, as in tests; on a cluster it is an
+    error, since each machine would write a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="usagelens-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

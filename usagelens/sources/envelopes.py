@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.functions.gpus import normalise
 from usagelens.functions.scalars import parse_gpu_request
-from usagelens.schemas import DISK_COUNTERS, conform_sacct, conform_samples
+from usagelens.schemas import DISK_COUNTERS, GPU_UNKNOWN, conform_sacct, conform_samples
 from usagelens.sources.tagged import parse_time
 
 _META = "meta struct<producer:string,version:string>, errors array<struct<detail:string>>"
@@ -127,12 +128,9 @@ def parse_samples_json(lines: DataFrame) -> DataFrame:
     def total(field: str, kind: str) -> Column:
         return F.aggregate(gpus, F.lit(0).cast(kind), lambda a, g: a + _n(g[field]).cast(kind))
 
-    # A card index beyond 30 has no bit in a set.
-    mask = F.aggregate(
-        F.filter(gpus, lambda g: _n(g["index"]).between(0, 30)),
-        F.lit(0).cast("bigint"),
-        lambda a, g: a.bitwiseOR(F.call_function("shiftleft", F.expr("1L"), _n(g["index"]).cast("int"))),
-    )
+    # A card index without a bit in a set makes the set unknown.
+    bit = lambda g: F.when(_n(g["index"]).between(0, 30), F.call_function("shiftleft", F.expr("1L"), _n(g["index"]).cast("int"))).otherwise(GPU_UNKNOWN)
+    mask = normalise(F.aggregate(gpus, F.lit(0).cast("bigint"), lambda a, g: a.bitwiseOR(bit(g))))
     fail = F.exists(gpus, lambda g: F.array_contains(F.col("_failing"), _n(g["index"])))
     rows = procs.select(
         "version", "t", "cluster", "host",

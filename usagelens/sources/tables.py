@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from usagelens.functions.gpus import gpu_set_union
 from usagelens.operators.filters import filter_time_host
-from usagelens.schemas import SAMPLE_FIELDS
+from usagelens.schemas import GPU_UNKNOWN, SAMPLE_FIELDS
 
 HOUR = 3600
 
@@ -18,20 +18,19 @@ def utc_date(t: Column) -> Column:
     return F.to_date(F.timestamp_seconds(t))
 
 
-def write_table(df: DataFrame, root: str, files_per_day: int = 16, mode: str = "append") -> None:
+def write_table(df: DataFrame, root: str, rows_per_file: int = 10_000_000, mode: str = "append") -> None:
     """Append, one folder per UTC day, rows ordered by host and time inside a file.
 
-    A day's rows go to ``files_per_day`` tasks by host *and hour*, so a host with a third of all rows is
-    spread too; the order inside a file gives row groups narrow host ranges for pruning.
+    Spark rebalances the rows by day, host and hour to partitions of its advisory size: small ones are joined, a
+    day or host with a third of all rows is split.  So the number of files follows the data; the order inside a file
+    gives row groups narrow host ranges for pruning.
     """
-    dated = df.withColumn("date", utc_date(F.col("t")))
-    slot = F.pmod(F.xxhash64("host", F.floor(F.col("t") / HOUR)), F.lit(files_per_day))
+    dated = df.withColumn("date", utc_date(F.col("t"))).withColumn("_hour", F.floor(F.col("t") / HOUR))
     (
-        dated.withColumn("_slot", slot)
-        .repartition("date", "_slot")
+        dated.hint("rebalance", "date", "host", "_hour")
         .sortWithinPartitions("date", "host", "t")
-        .drop("_slot")
-        .write.mode(mode).partitionBy("date").parquet(root)
+        .drop("_hour")
+        .write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("date").parquet(root)
     )
 
 
@@ -48,11 +47,12 @@ def read_dated(
 def join_process_gpu(proc: DataFrame, proc_gpu: DataFrame) -> DataFrame:
     """Process rows with the sums over their cards, their number and the set of card indices.
 
+    An index without a bit in a set makes the set unknown.
     Cards are summed per process before the join, so the join is one to one.
     """
     key = ["cluster", "host", "t", "pid", "job", "epoch"]
     bit = F.call_function("shiftleft", F.expr("1L"), F.col("index").cast("int"))
-    per_process = proc_gpu.withColumn("_bit", F.when(F.col("index").between(0, 30), bit).otherwise(0)).groupBy(*key).agg(
+    per_process = proc_gpu.withColumn("_bit", F.when(F.col("index").between(0, 30), bit).otherwise(GPU_UNKNOWN)).groupBy(*key).agg(
         F.sum("gpu_memory").alias("gpu_kb"), F.sum("gpu_util").alias("gpu_pct"), F.sum("gpu_memory_util").alias("gpumem_pct"),
         F.count("uuid").alias("gpu_count"), gpu_set_union("_bit").alias("gpus"),
     )

@@ -113,8 +113,11 @@ PARSERS = {
 
 
 def split_fields(line: Column) -> Column:
-    """Comma-separated fields; a quoted field may hold commas, doubled quotes stand for one."""
-    raw = F.regexp_extract_all(line, F.lit(r'("(?:[^"]|"")*"|[^,]+)'), F.lit(1))
+    """Comma-separated fields; a quoted field may hold commas, doubled quotes stand for one.
+
+    Repetitions are possessive: Java matches those in a loop, not by recursion, so fields may have any length.
+    """
+    raw = F.regexp_extract_all(line, F.lit(r'("(?:[^"]++|"")*+"|[^,]++)'), F.lit(1))
     unquoted = lambda x: F.when(
         x.startswith('"'), F.replace(F.regexp_replace(x, r'^"|"$', ""), F.lit('""'), F.lit('"'))
     ).otherwise(x)
@@ -214,7 +217,7 @@ def load_numbers(text: Column) -> Column:
     """
     initial = "[" + re.escape(LOAD_INITIAL) + "]"
     subsequent = "[" + re.escape(LOAD_SUBSEQUENT) + "]"
-    number = f"{initial}{subsequent}*"
+    number = f"{initial}{subsequent}*+"
 
     def value(token: Column) -> Column:
         def digit(c: Column, i: Column) -> Column:
@@ -225,7 +228,8 @@ def load_numbers(text: Column) -> Column:
         return F.aggregate(F.transform(F.split(token, ""), digit), F.lit(0).cast("bigint"), lambda a, b: a + b)
 
     tokens = F.regexp_extract_all(text, F.lit(f"({number})"), F.lit(1))
-    return F.when(text.rlike(f"^(?:{number})+$"), F.transform(tokens, value))
+    either = "[" + re.escape(LOAD_INITIAL) + re.escape(LOAD_SUBSEQUENT) + "]"
+    return F.when(text.rlike(f"^{initial}{either}*+$"), F.transform(tokens, value))
 
 
 def decode_load_column(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -64,19 +64,19 @@ def batch_tables(lines: DataFrame, kind: str) -> dict[str, DataFrame]:
 
 def stream_ingest(
     source: DataFrame, kind: str, root: str, checkpoint: str, available_now: bool = False,
-    on_counts: Callable[[int, int, int], None] | None = None, files_per_day: int = 16,
+    on_counts: Callable[[int, int, int], None] | None = None,
 ) -> StreamingQuery:
     """Parse and append every micro-batch to the dated tables under ``root``.
 
-    Erroneous envelopes are dropped and counted.  The checkpoint takes the place of offset commits; a batch
-    that is repeated after a failure is appended again, as readers de-duplicate.
+    Erroneous envelopes are dropped and counted.  The checkpoint takes the place of offset commits.  A batch has a
+    folder of its own in each table, ``batch=<number>``, which a repeated batch writes anew: each row is there once.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             for name, df in batch_tables(batch, kind).items():
-                write_table(df, f"{root}/{name}", files_per_day)
+                write_table(df, f"{root}/{name}/batch={batch_id}", mode="overwrite")
             if on_counts:
                 counts = envelopes.envelope_errors(batch, kind).first()
                 on_counts(batch_id, counts["envelopes"], counts["dropped"])
