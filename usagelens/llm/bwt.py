@@ -20,12 +20,12 @@ from usagelens.llm import text as tx
 from usagelens.llm.store import written
 
 LENGTH = 50
-K = 16
+K = 20
 SHARDS = 4
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 #: A minimizer with more distinct pieces than this is taken apart into windows.
 PIECES = 4096
-_VALUES = tx.byte_values(3)
+_VALUES, _WHOLE = tx.byte_values(3), tx.byte_values(4)
 
 
 def minimizers(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,9 +140,9 @@ def least_owner(pieces: list[bytes], owners: np.ndarray, length: int = LENGTH, n
 
 
 def _flush(rows: list[tuple], length: int):
-    found = least_owner([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), length)
+    found = least_owner([r[2] for r in rows], np.array([r[3] for r in rows], np.int64), length)
     return pa.RecordBatch.from_pydict({
-        "p1": pa.array([r[3] for r in rows], pa.int64()), "p2": pa.array([r[4] for r in rows], pa.int64()), "least": pa.array([x.tolist() for x in found], pa.list_(pa.int64())),
+        "mark": pa.array([r[0] for r in rows], pa.int64()), "p": pa.array([r[1] for r in rows], pa.int64()), "least": pa.array([x.tolist() for x in found], pa.list_(pa.int64())),
     })
 
 
@@ -154,11 +154,12 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     1. Every text is cut into pieces, and only minimizers that two documents have go on.  Texts that equal a text of a
        smaller key are removed whole by rule (if they have a window) and end here.
-    2. Pieces of such minimizers are written; equal pieces become one with its least key before they are shuffled
-       by minimizer, so a passage in a third of all documents is a few rows.
-    3. In each task pieces come in order of their minimizer, about 1 MB at a time, are dealt to four shards, and
-       merged; the repeats of the merged order give each window its least key.  A minimizer with more than ``pieces`` distinct pieces
-       is not merged in one task: its windows are grouped as rows instead.
+    2. The places of such pieces are written, with a hash of the piece beside its minimizer.  Equal pieces become one, with
+       its least key and a place there, before the shuffle: a passage in a third of all documents is a few rows.
+    3. Where a minimizer has one piece, all its windows have that piece's least key.  Otherwise the bytes of one piece of
+       each kind are read.  In each task they come in order of their minimizer, about 256 kB at a time, are dealt to four
+       shards, and merged; the repeats of the merged order give each window its least key.  A minimizer with more than
+       ``pieces`` distinct pieces is not merged in one task: its windows are grouped as rows instead.
     4. A document's windows whose least key is smaller than its own are removed.
 
     Texts count as UTF-8; null and empty texts have no bytes, and texts below ``length`` bytes keep everything.
@@ -186,51 +187,77 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def cut(batches):
         for b in batches:
-            out: list[tuple] = []
-            ids, shared = b.column("doc").to_pylist(), b.column("marks")
+            found = []
+            ids, shared = np.asarray(b.column("doc").to_pylist()), b.column("marks")
             for first, raw, offs in tx.chunks(b.column("text")):
                 for i in range(len(offs) - 1):
                     own = raw[offs[i] : offs[i + 1]]
                     at, n, mark = minimizers(own, length, k)
-                    wanted = np.flatnonzero(np.isin(mark.astype(np.int64), shared[first + i].values.to_numpy()))
-                    body = own.tobytes()
-                    out += [(ids[first + i], int(at[j]), int(mark[j].astype(np.int64)), body[at[j] : at[j] + n[j] + length - 1]) for j in wanted]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["doc", "at", "mark", "piece"])
-
-    cuts = known.join(some, "doc").mapInArrow(cut, "doc long, at int, mark long, piece binary")
-    cuts = written(cuts.withColumns({"p1": F.xxhash64("piece"), "p2": F.xxhash64("piece", F.lit(1))}), "pieces")
+                    j = np.flatnonzero(np.isin(mark.astype(np.int64), shared[first + i].values.to_numpy()))
+                    at, n, mark = at[j], n[j], mark[j]
+                    found.append((np.full(len(j), ids[first + i]), at, n, mark.astype(np.int64), tx.span_hashes(own, at, at + n + length - 1, _WHOLE).astype(np.int64)))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            cols = [pa.array(np.concatenate([f[j] for f in found] or [np.zeros(0, np.int64)]), t) for j, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "at", "n", "mark", "p"])
+
+    cuts = written(known.join(some, "doc").mapInArrow(cut, "doc long, at int, n int, mark long, p long"), "cuts")
+    kinds = cuts.groupBy("mark", "p").agg(F.min(F.struct("doc", "at", "n")).alias("o")).select("mark", "p", "o.*")
+    counts = kinds.groupBy("mark").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = written(kinds.join(counts, "mark"), "kinds")
+    several = kinds.filter("kinds > 1")
+
+    def read(batches):
+        for b in batches:
+            out = []
+            ids, wanted = b.column("doc").to_pylist(), b.column("wanted").to_pylist()
+            for first, raw, offs in tx.chunks(b.column("text")):
+                for i in range(len(offs) - 1):
+                    body = raw[offs[i] : offs[i + 1]].tobytes()
+                    out += [(w["mark"], w["p"], body[w["at"] : w["at"] + w["n"] + length - 1], ids[first + i], w["kinds"]) for w in wanted[first + i]]
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=["mark", "p", "piece", "owner", "kinds"])
 
-    distinct = cuts.groupBy("mark", "piece").agg(F.min("doc").alias("owner")).withColumns({"p1": F.xxhash64("piece"), "p2": F.xxhash64("piece", F.lit(1))})
-    distinct = written(distinct, "distinct")
-    counts = distinct.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-    counted = written(distinct.join(counts, "mark"), "counted")
+    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("mark", "p", "at", "n", "kinds")).alias("wanted"))
+    bytes_ = known.join(wanted, "doc").mapInArrow(read, "mark long, p long, piece binary, owner long, kinds long")
 
     def merge(batches):
         rows: list[tuple] = []
         size, last = 0, None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("mark", "piece", "owner", "p1", "p2")), strict=True):
-                if row[0] != last and size >= BATCH_BYTES:
+            for row in zip(*(b.column(c).to_pylist() for c in ("mark", "p", "piece", "owner")), strict=True):
+                if row[:2] == last:  # a repeated row of the owner
+                    continue
+                if size >= BATCH_BYTES and row[0] != last[0]:
                     yield _flush(rows, length)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[1])
-                last = row[0]
+                size += len(row[2])
+                last = row[:2]
         if rows:
             yield _flush(rows, length)
 
-    normal = counted.filter(F.col("n") <= pieces).repartition("mark").sortWithinPartitions("mark")
-    lows = normal.select("mark", "piece", "owner", "p1", "p2").mapInArrow(merge, "p1 long, p2 long, least array<long>")
-    windows = counted.filter(F.col("n") > pieces).select("p1", "p2", "owner", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - length + 1)).alias("i"))
-    windows = windows.withColumn("window", F.expr(f"substring(piece, i, {length})")).drop("piece")
-    by_window = windows.groupBy("window").agg(F.min("owner").alias("low"))
-    of_hot = windows.join(by_window, "window").groupBy("p1", "p2").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("all"))
-    lows = lows.unionByName(of_hot.select("p1", "p2", F.col("all.low").alias("least")))
-    gone = cuts.select("doc", "at", "p1", "p2").join(written(lows, "least"), ["p1", "p2"])
-    hit = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc"), F.col("at") + i)), lambda x: x.isNotNull())
-    gone = gone.select("doc", hit.alias("hit")).filter(F.size("hit") > 0).groupBy("doc").agg(F.flatten(F.collect_list("hit")).alias("hits"))
-    gone = written(gone.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", F.array().cast("array<int>").alias("hits"), F.lit(True).alias("whole"))), "gone")
+    normal = bytes_.filter(F.col("kinds") <= pieces).drop("kinds").repartition("mark").sortWithinPartitions("mark", "p")
+    lows = normal.mapInArrow(merge, "mark long, p long, least array<long>")
+    hot = several.filter(F.col("kinds") > pieces)
+    if not hot.isEmpty():
+        windows = bytes_.filter(F.col("kinds") > pieces).select("mark", "p", "owner", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - length + 1)).alias("i"))
+        windows = windows.withColumn("window", F.expr(f"substring(piece, i, {length})")).drop("piece")
+        by_window = windows.groupBy("window").agg(F.min("owner").alias("low"))
+        of_hot = windows.join(by_window, "window").groupBy("mark", "p").agg(F.array_sort(F.collect_set(F.struct("i", "low"))).alias("all"))
+        lows = lows.unionByName(of_hot.select("mark", "p", F.col("all.low").alias("least")))
+    lows = written(lows, "least")
+
+    solved = kinds.select("mark", "p", F.col("doc").alias("owner"), "kinds").join(lows, ["mark", "p"], "left")
+    met = cuts.join(solved, ["mark", "p"])
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    gone_at = lambda i: F.coalesce(F.get("least", i) < F.col("doc"), F.lit(False))
+    begins = F.filter(places, lambda i: gone_at(i) & ~gone_at(i - 1))
+    ends = F.filter(places, lambda i: gone_at(i) & ~gone_at(i + 1))
+    parts = F.zip_with(begins, ends, lambda x, y: F.struct((F.col("at") + x).alias("first"), (F.col("at") + y + length).alias("end")))
+    one = F.array(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n") + (length - 1)).alias("end")))
+    hit = F.when(F.col("kinds") > 1, parts).when(F.col("owner") < F.col("doc"), one)
+    gone = met.select("doc", hit.alias("hit")).filter(F.size("hit") > 0).groupBy("doc").agg(F.flatten(F.collect_list("hit")).alias("hits"))
+    gone = written(gone.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", F.array().cast("array<struct<first:int,end:int>>").alias("hits"), F.lit(True).alias("whole"))), "gone")
 
     def remove(batches):
         for b in batches:
@@ -243,9 +270,9 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     if whole[first + i]:
                         depth[0], depth[-1] = 1, -1
                     elif hits[first + i].is_valid:
-                        at = np.unique(hits[first + i].values.to_numpy())
-                        depth[at] += 1
-                        depth[at + length] -= 1
+                        span = hits[first + i].values
+                        np.add.at(depth, span.field("first").to_numpy(), 1)
+                        np.add.at(depth, span.field("end").to_numpy(), -1)
                     inside = np.cumsum(depth)[:-1] > 0
                     edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
                     spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
