@@ -1,5 +1,3 @@
-import itertools
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,13 +40,14 @@ def every(p, text):
 @given(st.text("abc é\n", min_size=1, max_size=9), st.integers(1, 6))
 @settings(max_examples=150, deadline=None)
 def test_n_best_of_a_text_equal_enumeration(toy, text, n):
-    best, several = ps.encode(toy, text, n, {})
+    best, several, sound = ps.encode(toy, text, n, ps.Memory(toy))
+    assert sound
     want = every(toy, text)
     assert [round(s, 6) for s, _ in several] == [round(s, 6) for s, _ in want[:n]]
     known = {i: s for s, i in want}
     seen = set()
     for s, changes in several:
-        ids = list(best)
+        ids = best.tolist()
         for first, dropped, new in sorted(changes, reverse=True):
             ids[first : first + dropped] = new
         assert abs(known[tuple(ids)] - s) < 1e-6
@@ -60,13 +59,13 @@ def test_n_best_of_a_text_equal_enumeration(toy, text, n):
 @given(st.text(max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_round_trip(model, text):
-    best, _ = ps.encode(model, text, 3, {})
-    assert (ps.decode(model, best) if best else "") == text
+    best, _, sound = ps.encode(model, text, 3, ps.Memory(model))
+    assert sound and (ps.decode(model, best) if len(best) else "") == text
 
 
 def test_round_trip_of_special_signs(model):
     for text in [" ", "  ", "a  b ", "▁", "▁ a", "<s>", "<0x41>", "\n\n", "𝄞é", "\x00", " \n "]:
-        assert ps.decode(model, ps.encode(model, text, 2, {})[0]) == text
+        assert ps.decode(model, ps.encode(model, text, 2, ps.Memory(model))[0]) == text
 
 
 def test_best_scores_beat_the_librarys_merges(model):
@@ -75,15 +74,19 @@ def test_best_scores_beat_the_librarys_merges(model):
 
     merges = SentencePieceProcessor(model_file=ps.MODEL)
     for text in ["the quick brown fox", "internationalisation of words"]:
-        _, several = ps.encode(model, text, 1, {})
+        _, several, _ = ps.encode(model, text, 1, ps.Memory(model))
         assert several[0][0] >= sum(model.scores[i] for i in merges.encode(text)) - 1e-6
 
 
 def test_memory_is_bounded(model, monkeypatch):
     monkeypatch.setattr(ps, "REMEMBERED", 3)
-    memory = {}
-    ps.encode(model, " ".join(f"w{i}" for i in itertools.islice(itertools.count(), 50)), 2, memory)
-    assert len(memory) <= 3
+    memory = ps.Memory(model)
+    text = " ".join(f"w{i % 17}" for i in range(50))
+    best, several, sound = ps.encode(model, text, 2, memory)
+    assert len(memory.new) <= 3 and len(memory.old) <= 3 and sound
+    monkeypatch.undo()
+    again = ps.encode(model, text, 2, ps.Memory(model))
+    assert (again[0].tolist(), again[1]) == (best.tolist(), several)
 
 
 def test_documents(spark, sf_dir, model):

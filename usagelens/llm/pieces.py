@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from dataclasses import dataclass, field
-from itertools import count
+from heapq import heappop, heappush
+from itertools import chain
+from math import fsum
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments whose lattices a task remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Segments that a worker remembers as lately used; as many from before that are kept beside them.
+REMEMBERED = 150_000
 LOST = -1e18
 
 
@@ -35,6 +37,9 @@ class Pieces:
 
     def __post_init__(self):
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.plain = [n.replace(SPACE, " ") for n in self.names]
+        #: Beginnings of pieces: the id of the piece, or -1 if only longer pieces begin so.
+        self.begins = {n[:j]: -1 for n in self.ids for j in range(1, len(n))} | self.ids
         # Texts fall apart where a space follows something else, as no piece spans that, and around line ends without a piece.
         spans = any(re.search("[^ ] ", p) for p in self.ids)
         lines = any("\n" in p for p in self.ids)
@@ -70,97 +75,132 @@ def n_best(p: Pieces, segment: str, n: int) -> list[tuple[float, tuple[int, ...]
     size = len(segment)
     forward = [LOST] * (size + 1)
     forward[0] = 0.0
-    arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
-    ids, scores = p.ids, p.scores
+    arcs: list[list] = [[] for _ in range(size + 1)]
+    begins, scores = p.begins, p.scores
     for start in range(size):
         base = forward[start]
         if base == LOST:
             continue
-        for end in range(start + 1, min(size, start + p.longest) + 1):
-            i = ids.get(segment[start:end])
-            if i is not None:
+        single = False
+        for end in range(start + 1, size + 1):
+            i = begins.get(segment[start:end])
+            if i is None:
+                break
+            if i >= 0:
+                single = single or end == start + 1
                 s = scores[i]
-                arcs[end].append((start, s, (i,)))
+                arcs[end].append((start, s, i))
                 if base + s > forward[end]:
                     forward[end] = base + s
-        c = segment[start]
-        if c not in ids:
-            raw = c.encode()
+        if not single:
+            raw = segment[start].encode()
             s = p.unknown * len(raw)
             arcs[start + 1].append((start, s, tuple(p.byte_ids[b] for b in raw)))
             if base + s > forward[start + 1]:
                 forward[start + 1] = base + s
-    order = count()
-    queue = [(-forward[size], next(order), size, 0.0, ())]
+    order = 0
+    queue = [(-forward[size], 0, size, 0.0, None)]
     out = []
-    while queue and len(out) < n:
-        _, _, at, tail, path = heapq.heappop(queue)
+    while queue:
+        _, _, at, tail, path = heappop(queue)
         if at == 0:
-            out.append((tail, path))
+            ids: list[int] = []
+            while path is not None:
+                i, path = path
+                ids.append(i) if isinstance(i, int) else ids.extend(i)
+            out.append((tail, tuple(ids)))
+            if len(out) == n:
+                break
             continue
-        for start, s, own in arcs[at]:
-            heapq.heappush(queue, (-(forward[start] + s + tail), next(order), start, tail + s, own + path))
+        for start, s, i in arcs[at]:
+            order += 1
+            heappush(queue, (-(forward[start] + s + tail), order, start, tail + s, (i, path)))
     return out
 
 
+class Memory:
+    """What a worker knows of segments: ids and score of the best segmentation, loss of the next, does it decode.
+
+    Bounded: when as many as ``REMEMBERED`` are new, those from before are forgotten unless they were used again.
+    """
+
+    def __init__(self, p: Pieces):
+        self.p, self.new, self.old, self.several = p, {}, {}, {}
+
+    def look(self, segment: str) -> tuple[tuple[int, ...], float, float, bool]:
+        got = self.old.get(segment)
+        if got is None:
+            results = n_best(self.p, segment, 2)
+            loss = results[0][0] - results[1][0] if len(results) > 1 else NEVER
+            got = (results[0][1], results[0][0], loss, decode(self.p, results[0][1], first=False) == segment)
+        if len(self.new) >= REMEMBERED:
+            self.new, self.old = {}, self.new
+        self.new[segment] = got
+        return got
+
+    def best_few(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        got = self.several.get((segment, n))
+        if got is None:
+            if len(self.several) >= REMEMBERED // 10:
+                self.several = {}
+            got = self.several[segment, n] = n_best(self.p, segment, n)
+        return got
+
 
-def encode(p: Pieces, text: str, n: int, memory: dict) -> tuple[list[int], list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-    """Ids of the best segmentation, and for each of the ``n`` best its score and what differs from the best.
+NEVER = 1e300
+_MEMORY: dict[int, Memory] = {}
+
+
+def encode(p: Pieces, text: str, n: int, memory: Memory) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]], bool]:
+    """Ids of the best segmentation; for each of the ``n`` best its score and what differs from the best; does it decode.
 
     A difference is (first piece, pieces dropped, ids instead).  A text is a chain of independent segments, so its
     next best segmentations change the segments of least loss: only the n - 1 with the smallest first loss can
-    be among them, and those are combined best first.
+    be among them, and those are combined best first.  Decoding is the chain of the decoded segments.
     """
     segments = re.findall(p.cut, " " + text) if text else []
-    best: list[int] = []
-    starts: list[int] = []
-    losses: list[float] = []
-    total = 0.0
-    found = []
-    for s in segments:
-        got = memory.get(s)
-        if got is None:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            results = n_best(p, s, n)
-            got = memory[s] = (results, results[0][0] - results[1][0] if len(results) > 1 else 1e300)
-        found.append(got)
-        starts.append(len(best))
-        best += got[0][0][1]
-        losses.append(got[1])
-        total += got[0][0][0]
-    open_ = sorted(heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)) if n > 1 else []
-    open_ = [i for i in open_ if losses[i] < 1e300]
+    look = memory.look
+    found = [got or look(s) for got, s in zip(map(memory.new.get, segments), segments, strict=True)]
+    best = np.fromiter(chain.from_iterable([f[0] for f in found]), np.int32)
+    total = fsum([f[1] for f in found])
+    losses = np.array([f[2] for f in found])
+    sound = all([f[3] for f in found]) and (not text or "".join(segments) == " " + text)
+    open_: list[int] = []
+    if n > 1 and len(losses):
+        limit = np.partition(losses, n - 2)[n - 2] if len(losses) >= n else np.inf
+        near = np.flatnonzero(losses <= limit)
+        open_ = sorted(near[np.argsort(losses[near], kind="stable")][: n - 1].tolist())
+        open_ = [i for i in open_ if losses[i] < NEVER]
+    few = [memory.best_few(segments[i], n) for i in open_]
+    ends = np.cumsum([len(f[0]) for f in found]) if open_ else []
     # Combinations: (loss, choice of each open segment), grown from the last changed segment on.
     queue = [(0.0, (0,) * len(open_), 0)]
     out = []
     while queue and len(out) < n:
-        loss, choice, last = heapq.heappop(queue)
-        out.append((total - loss, [(starts[i], len(found[i][0][0][1]), found[i][0][c][1]) for i, c in zip(open_, choice, strict=True) if c]))
+        loss, choice, last = heappop(queue)
+        changes = [(int(ends[i]) - len(found[i][0]), len(found[i][0]), r[c][1]) for i, r, c in zip(open_, few, choice, strict=True) if c]
+        out.append((total - loss, changes))
         for j in range(last, len(open_)):
             c = choice[j] + 1
-            results = found[open_[j]][0]
-            if c < len(results) and (j == last or not choice[j]):
-                more = loss + results[c - 1][0] - results[c][0]
-                heapq.heappush(queue, (more, choice[:j] + (c,) + choice[j + 1 :], j))
-    return best, out
+            if c < len(few[j]) and (j == last or not choice[j]):
+                heappush(queue, (loss + few[j][c - 1][0] - few[j][c][0], choice[:j] + (c,) + choice[j + 1 :], j))
+    return best, out, sound
 
 
-def decode(p: Pieces, ids: list[int]) -> str:
-    """The text of a segmentation."""
-    if not p.byte_of.keys() & set(ids):
-        return "".join(map(p.names.__getitem__, ids)).replace(SPACE, " ")[1:]
+def decode(p: Pieces, ids, first: bool = True) -> str:
+    """The text of a segmentation; ``first``: without the space that is put before a text."""
     out, raw = [], bytearray()
     for i in ids:
         b = p.byte_of.get(i)
         if b is None:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-            out.append(p.names[i].replace(SPACE, " "))
+            if raw:
+                out.append(raw.decode("utf-8", "replace"))
+                raw.clear()
+            out.append(p.plain[i])
         else:
             raw.append(b)
     out.append(raw.decode("utf-8", "replace"))
-    return "".join(out)[1:]
+    return "".join(out)[1 if first else 0 :]
 
 
 def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -168,7 +208,7 @@ def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str
 
     ``ids``: the best segmentation of the whole text; n_pieces; ``alternatives``: the n best as
     (score, n_pieces, changes against the best), the best first; round_trip: whether decoding gives the text
-    again, byte for byte.  A task remembers the segments it has seen, a bounded number; the vocabulary is
+    again, byte for byte.  A worker remembers the segments it has seen, a bounded number; the vocabulary is
     broadcast, its size is that of the model file.
 
     Null gives null ids and no alternatives; an empty text has no pieces and one segmentation of score 0;
@@ -188,22 +228,32 @@ def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str
     a_best = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int32()), ("changes", pa.list_(a_change))]))
 
     def encoded(batches):
-        p, memory = shared.value, {}
+        p = shared.value
+        memory = _MEMORY.get(id(p))
+        if memory is None:  # a worker keeps what it knows from task to task
+            _MEMORY.clear()
+            memory = _MEMORY[id(p)] = Memory(p)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                rows = []
+                bests, alternatives, sounds = [], [], []
                 for t in b.column(text).to_pylist():
                     if t is None:
-                        rows.append((None, None, None, None))
+                        bests.append(None)
+                        alternatives.append(None)
+                        sounds.append(None)
                         continue
-                    best, several = encode(p, t, n, memory)
-                    alternatives = [
+                    best, several, sound = encode(p, t, n, memory)
+                    bests.append(best)
+                    sounds.append(sound)
+                    alternatives.append([
                         {"score": s, "n_pieces": len(best) + sum(len(i) - d for _, d, i in c), "changes": [{"first": f, "dropped": d, "ids": i} for f, d, i in c]}
                         for s, c in several
-                    ]
-                    rows.append((best, len(best), alternatives, (decode(p, best) if best else "") == t))
-                new = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.list_(pa.int32()), pa.int32(), a_best, pa.bool_()))]
+                    ])
+                new = [
+                    pa.array(bests, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in bests], pa.int32()),
+                    pa.array(alternatives, a_best), pa.array(sounds, pa.bool_()),
+                ]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new], names=[*kept, *added])
 
     return docs.select(*kept).mapInArrow(encoded, schema)
