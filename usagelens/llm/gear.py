@@ -87,6 +87,8 @@ def chunk_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shorte
     long = chunks.filter(F.col("doc").isNotNull() & (F.col("size") >= shortest))
     place = F.struct("doc", "at")
     first = long.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+    # Written, so that both sides of the next join are shuffled for it and Spark can split a hot digest.
+    first = written(first, "digests")
     gone = long.join(first, ["d1", "d2"]).filter(place > F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("gone"))
     gone = written(gone, "gone")
 
