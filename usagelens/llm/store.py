@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from usagelens.session import shared_dir
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``.
-
-    Only where that setting is absent and the session runs in one process is a temporary folder
-    taken; on a cluster without the setting this is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="usagelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -43,7 +28,7 @@ def freed_shuffles(spark: SparkSession):
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: later steps read it, also after a lost executor."""
     spark = df.sparkSession
-    path = shared_folder(spark, purpose)
+    path = shared_dir(spark, purpose)
     with freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
