@@ -52,13 +52,39 @@ def _dot(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n)
 
 
-def fit_link(doc: np.ndarray, col: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, rounds: int = 150, l1: float = 2.0, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
+class Presence:
+    """Which document holds which bucket, laid out both ways so that sums are runs of one array."""
+
+    def __init__(self, doc: np.ndarray, col: np.ndarray, n: int, width: int):
+        self.shape = (n, width)
+        self.col_of, self.doc_at = col, np.unique(doc, return_index=True)
+        order = np.argsort(col, kind="stable")
+        self.doc_of, self.col_at = doc[order], np.unique(col[order], return_index=True)
+
+    @staticmethod
+    def _sums(values: np.ndarray, at: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        out = np.zeros(n)
+        if len(values):
+            out[at[0]] = np.add.reduceat(values, at[1])
+        return out
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """For each document the sum over its buckets."""
+        return self._sums(weights[self.col_of], self.doc_at, self.shape[0])
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        """For each bucket the sum over its documents."""
+        return self._sums(error[self.doc_of], self.col_at, self.shape[1])
+
+
+def fit_link(held: Presence, extra: np.ndarray, y: np.ndarray, rounds: int = 150, l1: float = 2.0, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression on presence with an L1 penalty, by proximal gradient steps of adapted length."""
+    n, width = held.shape
     w, e, b = np.zeros(width), np.zeros(extra.shape[1]), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     gw, ge, gb = np.full(width, 1e-3), np.full(extra.shape[1], 1e-3), 1e-3
     for _ in range(rounds):
-        error = _sigmoid(_dot(doc, w[col], n) + extra @ e + b) - y
-        g = np.bincount(col, weights=error[doc], minlength=width)
+        error = _sigmoid(held.scores(w) + extra @ e + b) - y
+        g = held.gradient(error)
         gw += g * g
         step = rate / np.sqrt(gw)
         w = w - step * g
@@ -86,17 +112,21 @@ def fit_chain(doc: np.ndarray, buckets: np.ndarray, targets: np.ndarray, folds:
     used = keep[buckets]
     doc, col, names = doc[used], number[buckets[used]], np.flatnonzero(keep)
     part = np.random.default_rng(seed).integers(0, folds, n)
+    every = Presence(doc, col, n, len(names))
+    others = []
+    for f in range(folds):
+        inside = part != f
+        own, new = inside[doc], np.cumsum(inside, dtype=np.int32) - 1
+        others.append(Presence(new[doc[own]], col[own], int(inside.sum()), len(names)))
     extra, links = np.zeros((n, 0)), []
     for j in range(targets.shape[1]):
         y = targets[:, j].astype(float)
         unseen = np.zeros(n)
-        for f in range(folds):
+        for f, held in enumerate(others):
             inside = part != f
-            own = inside[doc]
-            new = np.cumsum(inside) - 1
-            w, e, b = fit_link(new[doc[own]], col[own], int(inside.sum()), len(names), extra[inside], y[inside])
-            unseen[~inside] = (_dot(doc, w[col], n) + extra @ e + b)[~inside]
-        w, e, b = fit_link(doc, col, n, len(names), extra, y)
+            w, e, b = fit_link(held, extra[inside], y[inside])
+            unseen[~inside] = (every.scores(w) + extra @ e + b)[~inside]
+        w, e, b = fit_link(every, extra, y)
         some = w != 0
         links.append(Link(names[some], w[some], e, b))
         extra = np.column_stack([extra, _sigmoid(unseen)])
