@@ -62,13 +62,16 @@ class Shard:
         jump, depth = after, 1
         while depth < 512:
             key = rank * (int(rank.max()) + 1) + rank[jump]
-            order = np.argsort(key, kind="stable")
-            new = np.empty(len(key), np.int64)
-            new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+            order = np.argsort(key)
+            key = key[order]
+            new = np.zeros(len(key), np.int64)
+            new[order[1:]] = np.cumsum(key[1:] != key[:-1])
             rank, jump, depth = new, jump[jump], depth * 2
-            if int(rank[order[-1]]) == len(rank) - 1:
+            if int(rank[order[-1]]) == len(rank) - 1:  # all apart: the order is the inverse of the ranks
                 break
-        self.start = np.argsort(rank, kind="stable")
+        else:
+            order = np.argsort(rank, kind="stable")
+        self.start = order
         self.last = symbols[before[self.start]]
 
 
@@ -218,7 +221,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=["mark", "p", "piece", "owner", "kinds"])
 
     wanted = several.groupBy("doc").agg(F.collect_list(F.struct("mark", "p", "at", "n", "kinds")).alias("wanted"))
-    bytes_ = known.join(wanted, "doc").mapInArrow(read, "mark long, p long, piece binary, owner long, kinds long")
+    bytes_ = written(known.join(wanted, "doc").mapInArrow(read, "mark long, p long, piece binary, owner long, kinds long"), "bytes")
 
     def merge(batches):
         rows: list[tuple] = []
