@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers as lately used; as many from before that are kept beside them.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 LOST = -1e18
 
 
