@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from usagelens.llm.hilbert import curve_position, hilbert_index, shards_by_curve
@@ -61,3 +63,26 @@ def test_curve_keeps_neighbours_together(spark, sf_dir):
     touched = [len({r.shard for r in placed if r.source == s}) for s in {r.source for r in placed}]
     by_chance = [min(16, sum(r.source == s for r in placed)) for s in {r.source for r in placed}]
     assert sum(touched) < 0.8 * sum(by_chance)
+
+
+def test_whole_strings_are_ranked(spark):
+    """Sources that differ after byte 7 only: as good as short names for a filter on source."""
+    rng = random.Random(3)
+    data = [(i, "t", rng.randrange(20), rng.choice("ab"), rng.randrange(1000)) for i in range(2000)]
+    touched = {}
+    for name in ("https://site.org/{:02d}", "{:02d}"):
+        docs = spark.createDataFrame([(i, t, name.format(s), lang, n) for i, t, s, lang, n in data], "doc_id long, text string, source string, lang string, n_chars long")
+        rows = shards_by_curve(docs, DIMS, 40).collect()
+        touched[name] = [len({r.shard for r in rows if data[r.doc_id][2] == s}) for s in range(20)]
+        check_law(rows, 40)
+    assert len(set(map(tuple, touched.values()))) == 1
+    assert sum(touched["{:02d}"]) < 0.4 * 20 * 40
+
+
+def test_classes_of_strings_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    words = ["common_crawl_" + "".join(rng.choices("abé", k=rng.randrange(5))) for _ in range(300)] + ["common_crawl_hot"] * 200 + [None] * 9
+    got = {(r.v, r.curve) for r in curve_position(spark.createDataFrame([(w,) for w in words], "v string").repartition(5), ["v"], bits=4).collect()}
+    ordered = sorted((w for w in words if w is not None), key=str.encode)
+    edges = [ordered[-(-k * len(ordered) // 16) - 1] for k in range(1, 16)]
+    assert got == {(w, 0 if w is None else sum(e.encode() < w.encode() for e in edges)) for w in words}

@@ -50,28 +50,54 @@ def hilbert_index(codes: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda s: s["index"])
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A column as a number in its own order; of a string its first seven bytes."""
-    if dict(df.dtypes)[name] != "string":
-        return F.col(name).cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _is_string(df: DataFrame, name: str) -> bool:
+    return dict(df.dtypes)[name] == "string"
+
+
+def _string_edges(df: DataFrame, names: list[str], classes: int) -> dict[str, list[str]]:
+    """For each string column the least values at or below which 1, 2, ... of ``classes`` equal shares of its rows lie.
+
+    Whole strings are ranked in the order of their bytes.  Rows are counted for each distinct value with a map-side
+    combine, the values sorted by range, and only the parts of the sort that hold an edge are summed up value by value.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_dim"), F.col(c).alias("_value")) for i, c in enumerate(names)]))
+    values = df.select(pairs.alias("_pair")).select("_pair.*").filter("_value IS NOT NULL").groupBy("_dim", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    # Written, as a second sort could cut its ranges elsewhere.
+    values = written(values.repartitionByRange("_dim", "_value").withColumn("_part", F.spark_partition_id()), "values")
+    # A row for each part of the sort and column: a few thousand at most.
+    parts = values.groupBy("_dim", "_part").agg(F.sum("_n").alias("_in")).selectExpr(
+        "_dim", "_part", "_in", "sum(_in) OVER (PARTITION BY _dim ORDER BY _part) - _in AS _before", "sum(_in) OVER (PARTITION BY _dim) AS _all"
+    )
+    parts = parts.filter(f"(_before + _in) * {classes} div _all > _before * {classes} div _all")
+    summed = values.join(parts, ["_dim", "_part"]).withColumn("_upto", F.expr("_before + sum(_n) OVER (PARTITION BY _dim, _part ORDER BY _value)"))
+    edges = summed.selectExpr("_dim", "_value", f"(_upto - _n) * {classes} div _all AS _low", f"_upto * {classes} div _all AS _high").filter("_high > _low")
+    out: dict[str, list[str]] = {c: [] for c in names}
+    for r in sorted(edges.collect(), key=lambda r: (r["_dim"], r["_low"])):
+        out[names[r["_dim"]]] += [r["_value"]] * (min(r["_high"], classes - 1) - r["_low"])
+    return out
 
 
 def curve_position(df: DataFrame, dims: list[str], bits: int = 5, accuracy: int = 10000, out: str = "curve") -> DataFrame:
     """Add the position on the Hilbert curve of each row's cell.
 
-    Every dimension is cut at the quantiles of all rows into 2^bits classes.  The quantiles are
-    sketches of fixed size; the driver gets 2^bits - 1 numbers for each dimension.  Null and NaN go to
-    the lowest class, and so does everything where a dimension has no values.
+    Every dimension is cut at the quantiles of all rows into 2^bits classes.  The quantiles of numbers are
+    sketches of fixed size, those of strings are exact and of whole strings; the driver gets 2^bits - 1 values
+    for each dimension.  Null and NaN go to the lowest class, and so does everything where a dimension has no values.
     """
-    steps = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
-    value = {c: F.when(F.isnan(_number(df, c)), F.lit(None)).otherwise(_number(df, c)) for c in dims}
-    cuts = df.agg(*[F.percentile_approx(value[c], steps, accuracy).alias(f"cut{i}") for i, c in enumerate(dims)]).first()
+    classes = 1 << bits
+    strings = [c for c in dims if _is_string(df, c)]
+    numbers = [c for c in dims if c not in strings]
+    value = {c: F.col(c) for c in strings}
+    value |= {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numbers}
+    edges = _string_edges(df, strings, classes) if strings else {}
+    if numbers:
+        steps = [(i + 1) / classes for i in range(classes - 1)]
+        cuts = df.agg(*[F.percentile_approx(value[c], steps, accuracy).alias(f"cut{i}") for i, c in enumerate(numbers)]).first()
+        edges |= {c: [float(x) for x in cuts[i] or []] for i, c in enumerate(numbers)}
     codes = []
-    for i, c in enumerate(dims):
-        edges = F.array(*[F.lit(float(x)) for x in cuts[i] or []]).cast("array<double>")
-        below = F.filter(edges, lambda e: e < value[c])  # noqa: B023  used at once
+    for c in dims:
+        known = F.array(*[F.lit(x) for x in edges[c]]).cast("array<string>" if c in strings else "array<double>")
+        below = F.filter(known, lambda e: e < value[c])  # noqa: B023  used at once
         codes.append(F.coalesce(F.size(below), F.lit(0)))
     return df.withColumn(out, hilbert_index(codes, bits))
 
