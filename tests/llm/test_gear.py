@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from usagelens.llm import gear
+from usagelens.llm.catalog import QUERIES
 
 
 def slow_cuts(b):
@@ -70,3 +71,47 @@ def test_null_keys_repeats_and_empty(spark):
     got = gear.chunk_dedup(rows).collect()
     assert sorted((str(r.doc_id), len(r.kept) > 400) for r in got) == [("1", True), ("1", True), ("2", False), ("None", True)]
     assert gear.chunk_dedup(rows.limit(0)).collect() == []
+
+
+def brute_ends(docs):
+    """As brute, and a short end goes if it stood as an end before, after the same chunk."""
+    first, out = {}, {}
+    for d, t in sorted(docs):
+        b = (t or "").encode()
+        kept, at, n, before = b"", 0, 0, None
+        for e in slow_cuts(b):
+            c = b[at:e]
+            mark = c if len(c) >= gear.SHORTEST else (before, c)
+            if first.setdefault(mark, (d, at)) != (d, at):
+                n += 1
+            else:
+                kept += c
+            at, before = e, c
+        out[d] = (len(b), n, kept)
+    return out
+
+
+def test_copies_and_copied_endings_go_whole(spark):
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    end = say(500)
+    docs = [(i, say(rng.randrange(600))) for i in range(40)]
+    docs += [(100 + i, t) for i, t in docs]
+    docs += [(200 + i, say(300) + end) for i in range(5)]
+    docs += [(300, "five short words"), (301, "five short words"), (302, "five short words"), (303, "other words"), (304, None), (305, "")]
+    docs += [(400 + i, say(300) + " The end.") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in gear.chunk_dedup(df, ends=True).collect()}
+    assert {d: (r.n_bytes, r.n_removed_chunks, bytes(r.kept)) for d, r in rows.items()} == brute_ends(docs)
+    assert all(rows[100 + i].n_removed == rows[100 + i].n_bytes for i in range(40))
+    assert [rows[d].n_removed for d in (300, 301, 302, 303)] == [0, 16, 16, 0]
+    assert all(not bytes(rows[d].kept).endswith(end[-8:].encode()) for d in range(201, 205))
+    assert all(bytes(rows[400 + i].kept).endswith(b" The end.") for i in range(5))
+
+
+def test_query_takes_exact_copies_whole(spark, tmp_path):
+    t = "".join(random.Random(8).choices("abcdef", k=3000))
+    texts = [t[:n] for n in range(900, 960)]
+    spark.createDataFrame([(2 * i + j, x) for i, x in enumerate(texts) for j in (0, 1)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op3_gear_chunks"](spark, str(tmp_path)).collect()}
+    assert all(got[2 * i + 1].n_removed == len(x) for i, x in enumerate(texts))

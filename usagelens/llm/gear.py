@@ -15,6 +15,7 @@ from usagelens.llm.store import written
 SHORTEST, MEAN_BITS, LONGEST = 32, 5, 192
 REACH = 32
 _GEAR = tx.byte_values(11)
+_START = bytes(16)
 
 
 def cuts(raw: np.ndarray, shortest: int = SHORTEST, bits: int = MEAN_BITS, longest: int = LONGEST) -> np.ndarray:
@@ -55,10 +56,14 @@ def _chunk_rows(batches, shortest, bits, longest):
         for first, raw, offs in tx.chunks(b.column("text")):
             for i in range(len(offs) - 1):
                 own = raw[offs[i] : offs[i + 1]]
-                body, at = own.tobytes(), 0
+                body, at, digest = own.tobytes(), 0, _START
                 for e in cuts(own, shortest, bits, longest).tolist():
                     docs.append(ids[first + i])
-                    digests.append(hashlib.blake2b(body[at:e], digest_size=16).digest())
+                    if e - at < shortest:  # the end of the text, known with what stands before it
+                        digest = hashlib.blake2b(digest + body[at:e], digest_size=16, person=b"end").digest()
+                    else:
+                        digest = hashlib.blake2b(body[at:e], digest_size=16).digest()
+                    digests.append(digest)
                     firsts.append(at)
                     sizes.append(e - at)
                     at = e
@@ -67,11 +72,14 @@ def _chunk_rows(batches, shortest, bits, longest):
         yield pa.RecordBatch.from_arrays(cols, names=["doc", "d1", "d2", "at", "size"])
 
 
-def chunk_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = SHORTEST, bits: int = MEAN_BITS, longest: int = LONGEST) -> DataFrame:
+def chunk_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = SHORTEST, bits: int = MEAN_BITS, longest: int = LONGEST, ends: bool = False) -> DataFrame:
     """(key, n_bytes, n_chunks, n_removed_chunks, n_removed, spans, kept) of each row.
 
     A chunk of at least ``shortest`` bytes is removed if an equal chunk stands earlier: in a document with a smaller key, or
-    further up in the same one.  ``spans`` are the removed (first, end), ``kept`` the remaining bytes.
+    further up in the same one.  Only the last chunk of a text can be shorter.  With ``ends`` it is removed if an earlier
+    text ends in the same chunk after an equal chunk, or is nothing but that chunk as this text is: so copies and copied
+    endings go whole, while a short ending that texts share by chance stays.  Without it short ends always stay.
+    ``spans`` are the removed (first, end), ``kept`` the remaining bytes.
 
     Digests are summed to their first place with a map-side combine, and only digests that stand twice meet the
     chunks again, in a join that Spark may split; so a chunk that every document holds is no hot group.
@@ -84,12 +92,12 @@ def chunk_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shorte
     """
     source = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chunks = source.mapInArrow(lambda b: _chunk_rows(b, shortest, bits, longest), "doc long, d1 long, d2 long, at int, size int")
-    long = chunks.filter(F.col("doc").isNotNull() & (F.col("size") >= shortest))
+    judged = chunks.filter(F.col("doc").isNotNull() & (F.lit(ends) | (F.col("size") >= shortest)))
     place = F.struct("doc", "at")
-    first = long.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+    first = judged.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
     # Written, so that both sides of the next join are shuffled for it and Spark can split a hot digest.
     first = written(first, "digests")
-    gone = long.join(first, ["d1", "d2"]).filter(place > F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("gone"))
+    gone = judged.join(first, ["d1", "d2"]).filter(place > F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("gone"))
     gone = written(gone, "gone")
 
     def remove(batches):

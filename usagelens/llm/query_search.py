@@ -14,7 +14,7 @@ from usagelens.llm.token_groups import similar_documents
 
 @query("op3_gear_chunks")
 def op3_gear_chunks(spark, d):
-    out = chunk_dedup(table(spark, d, "documents"))
+    out = chunk_dedup(table(spark, d, "documents"), ends=True)
     return out.select("doc_id", "n_bytes", "n_chunks", "n_removed_chunks", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
