@@ -1,7 +1,8 @@
 """Stages of the corpus pipeline: each calls one operator and acts on its decisions.
 
 A document's row keeps the columns of ``documents`` through all stages but the last; n_chars follows the text.
-Each stage judges all rows that the stage before kept.
+Each stage judges all rows that the stage before kept, also rows without an id and several rows of one id: a row is
+a document of its own.
 """
 
 from __future__ import annotations
@@ -12,12 +13,24 @@ from pyspark.sql import functions as F
 from usagelens.llm import subword
 from usagelens.llm.bwt import repeated_bytes
 from usagelens.llm.pieces import encode_documents
+from usagelens.llm.store import written
 from usagelens.llm.token_groups import similar_documents
 from usagelens.llm.winnow import contamination
 
 KEEP = 0.3
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``_row``, in the order of doc_id, rows without an id last.
+
+    Rows of one id, or without one, follow their place in the table, so that they too are spread over tasks.
+    The numbers are written, as a second sort could cut its ranges elsewhere.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_at")]
+    placed = docs.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(placed.drop("_at").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subword classifier scores below 0.3 go; it learns as the query of operator 5 does."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -28,19 +41,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays."""
-    gone = similar_documents(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of each group of similar documents the one with the smallest id stays, of several such rows the first."""
+    rows = _numbered(docs)
+    gone = similar_documents(rows, key="_row").filter(F.col("_row") != F.col("component_id")).select("_row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that repeat a document of smaller id go; what is left of a character that is cut through goes too.
+    """Bytes that repeat a document of smaller id, or an earlier row of the same id, go; what is left of a character that is cut through goes too.
 
     Documents of which nothing is left go.
     """
-    some = repeated_bytes(docs).filter("n_removed > 0").select("doc_id", F.try_validate_utf8("kept").alias("_whole"), "kept")
+    rows = _numbered(docs)
+    some = repeated_bytes(rows, key="_row").filter("n_removed > 0").select("_row", F.try_validate_utf8("kept").alias("_whole"), "kept")
     some = some.withColumn("_kept", F.coalesce("_whole", F.replace(F.make_valid_utf8("kept"), F.lit("�"), F.lit(""))))
-    joined = docs.join(some.select("doc_id", "_kept").dropDuplicates(["doc_id"]), "doc_id", "left")
+    joined = rows.join(some.select("_row", "_kept"), "_row", "left")
     text = F.coalesce("_kept", "text")
     out = joined.filter(F.col("_kept").isNull() | (F.col("_kept") != "")).withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
     return out.withColumn("text", text).select(docs.columns)
@@ -48,8 +63,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages contaminate go."""
-    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    rows = _numbered(docs)
+    bad = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row").filter("contaminated").select("_row")
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
