@@ -30,3 +30,23 @@ def test_contaminated_rows_without_an_id_go(spark, sf_dir):
     docs = table(spark, [(None, items[0].text), (None, say(5, 40)), (3, items[1].text), (3, say(6, 40))])
     left = sorted((str(r.doc_id), r.text) for r in stages.decontaminate(spark, docs, sf_dir).collect())
     assert left == sorted([("None", say(5, 40)), ("3", say(6, 40))])
+
+
+def test_only_characters_that_are_cut_through_go(spark, sf_dir):
+    """The last bytes of é and ĩ, and the first of é and è, are equal."""
+    passage = say(7, 20)
+    docs = [
+        (1, "é" + passage + "é"), (2, "\ufffd junk ĩ" + passage + "è far \ufffd"), (3, "\ufffd\ufffd own"),
+        (4, "x" + say(8, 20) + "é" + say(9, 20)), (5, say(8, 20) + "è" + say(9, 20)), (6, "ab" + say(8, 20) + "è 𝄞"),
+        (7, "\ufffd keep ũ" + passage + " \ufffd"),
+    ]
+    left = {r.doc_id: (r.text, r.n_chars) for r in stages.repeated_passages(spark, table(spark, docs), sf_dir).collect()}
+    texts = dict(docs) | {2: "\ufffd junk  far \ufffd", 6: "ab 𝄞", 7: "\ufffd keep  \ufffd"}
+    del texts[5]
+    assert left == {d: (t, len(t)) for d, t in texts.items()}
+
+
+def test_differing_rows_of_one_id_keep_their_own_text(spark, sf_dir):
+    passage = say(10, 20)
+    docs = table(spark, [(1, passage), (2, "first-" + passage), (2, "second+" + passage)])
+    assert sorted(r.text for r in stages.repeated_passages(spark, docs, sf_dir).collect()) == sorted([passage, "first-", "second+"])

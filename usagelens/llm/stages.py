@@ -7,7 +7,7 @@ a document of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.llm import subword
@@ -47,15 +47,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
+def _whole_characters(text: Column, spans: Column) -> Column:
+    """The text without the bytes of the spans, which are widened to the ends of the characters they cut through."""
+    raw = text.cast("binary")
+    size = F.octet_length(raw)
+
+    def inside(at: Column) -> Column:
+        """Whether the byte at this place goes on with a character."""
+        return (at > 0) & (at < size) & F.hex(F.substring(raw, at + 1, F.lit(1))).between("80", "BF")
+
+    def moved(at: Column, by: int) -> Column:
+        """The nearest place where a character begins; it has four bytes at most."""
+        return F.coalesce(*[F.when(~inside(at + by * i), at + by * i) for i in range(3)], at + by * 3)
+
+    wide = F.transform(spans, lambda s: F.struct(moved(s["first"].cast("int"), -1).alias("first"), moved(s["end"].cast("int"), 1).alias("end")))
+    begins = F.concat(F.array(F.lit(0)), wide["end"])
+    stops = F.concat(wide["first"], F.array(size))
+    # Two spans that cut through the same character overlap.
+    parts = F.zip_with(begins, stops, lambda x, y: F.substring(raw, x + 1, F.greatest(y - x, F.lit(0))).cast("string"))
+    return F.array_join(parts, "")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that repeat a document of smaller id, or an earlier row of the same id, go; what is left of a character that is cut through goes too.
+    """Bytes that repeat a document of smaller id, or an earlier row of the same id, go, and whole characters where they are cut through.
 
-    Documents of which nothing is left go.
+    Nothing else of a text changes.  Documents of which nothing is left go.
     """
     rows = _numbered(docs)
-    some = repeated_bytes(rows, key="_row").filter("n_removed > 0").select("_row", F.try_validate_utf8("kept").alias("_whole"), "kept")
-    some = some.withColumn("_kept", F.coalesce("_whole", F.replace(F.make_valid_utf8("kept"), F.lit("�"), F.lit(""))))
-    joined = rows.join(some.select("_row", "_kept"), "_row", "left")
+    some = repeated_bytes(rows, key="_row").filter("n_removed > 0").select("_row", "spans")
+    joined = rows.join(some, "_row", "left").withColumn("_kept", F.when(F.col("spans").isNotNull(), _whole_characters(F.col("text"), F.col("spans"))))
     text = F.coalesce("_kept", "text")
     out = joined.filter(F.col("_kept").isNull() | (F.col("_kept") != "")).withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
     return out.withColumn("text", text).select(docs.columns)
