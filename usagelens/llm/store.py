@@ -1,4 +1,4 @@
-"""Tables written between the steps of an operator, in the folder all executors share."""
+"""Tables written between the steps of an operator, in the folder all executors share, and their removal."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from usagelens.session import shared_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The folders written within each open scratch block, innermost last.
+_open: list[list[str]] = []
 
 
 @contextmanager
@@ -25,10 +27,45 @@ def freed_shuffles(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: later steps read it, also after a lost executor."""
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside the block are removed when it ends, but for those written with ``keep``.
+
+    A result that leaves the block must be a kept table, or be made of tables from outside.
+    """
+    own: list[str] = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.remove(own)
+        for path in own:
+            _remove(spark, path)
+
+
+def written(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: later steps read it, also after a lost executor.
+
+    ``keep`` lets the table outlive the innermost scratch block; it goes with the next one around it.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
+    holders = _open[:-1] if keep else _open
+    if holders:
+        holders[-1].append(path)
     with freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that written() gave and nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        _remove(table.sparkSession, files[0].rsplit("/", 1)[0])
