@@ -10,12 +10,13 @@ from usagelens.plans.driver_tables import seconds, table
 from usagelens.plans.registry import query, rounded, sql_round
 from usagelens.session import shared_dir
 from usagelens.streaming import ingest
+from usagelens.streaming.log import AppendLog
 
 
-def event_stream(spark, d) -> DataFrame:
-    """The events as a stream of process samples; what needs a window over the past is left out."""
-    schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+def event_stream(spark, d, drop: str | None = None) -> DataFrame:
+    """The events, or the files of ``drop``, as a stream of process samples; what needs a window over the past is left out."""
+    reader = spark.readStream.schema(table(spark, d, "events").schema)
+    raw = reader.option("maxFilesPerTrigger", 1).parquet(drop) if drop else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     k = F.get_json_object("props", "$.k").cast("bigint")
     t = seconds("ts")
     gpu_user = F.col("event_type").isin("purchase", "view")
@@ -48,11 +49,16 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
 def stream_ingest(spark, d):
     from usagelens.plans.catalog_sources import sample_envelopes
 
+    """Two streams, in several batches each, into one log, which is then compacted."""
     root = shared_dir(spark, "stream")
-    sample_envelopes(spark, d).write.text(f"{root}/drop")
-    q = ingest.stream_ingest(ingest.file_source(spark, f"{root}/drop"), "sample", f"{root}/tables", f"{root}/checkpoint", available_now=True)
-    q.awaitTermination()
-    stored = spark.read.parquet(f"{root}/tables/samples").filter("NOT heartbeat")
+    lines = sample_envelopes(spark, d)
+    for name, own in (("even", 0), ("odd", 1)):
+        lines.filter(F.pmod(F.crc32(F.col("value").cast("binary")), F.lit(2)) == own).repartition(3).write.text(f"{root}/{name}")
+        source = ingest.file_source(spark, f"{root}/{name}", max_files=2)
+        ingest.stream_ingest(source, "sample", f"{root}/tables", f"{root}/checkpoint-{name}", available_now=True, name=name).awaitTermination()
+    log = AppendLog(spark, f"{root}/tables")
+    log.compact("samples")
+    stored = log.read("samples").filter("NOT heartbeat")
     return stored.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("instants"), F.sum("cpu_kb").alias("cpu_kb"))
 
 
@@ -76,3 +82,40 @@ def stream_load(spark, d):
     """Buckets that the watermark has passed; the last ones stay open, as in a running stream."""
     out = run_to_table(ingest.stream_load(event_stream(spark, d)), "load")
     return out.select("host", "t", rounded("cpu_pct").alias("cpu_pct"), "cpu_kb", rounded("gpu_pct").alias("gpu_pct"))
+
+
+def _spread(spark, d, root: str) -> None:
+    """The events as files of a stream that come in an order of their own: the rows of every seventh user last, most of them late."""
+    rows = table(spark, d, "events")
+    for part, late in (("a", False), ("b", True)):
+        rows.filter((F.col("user_id") % 7 == 0) == F.lit(late)).repartition(2).write.parquet(f"{root}/drop-{part}")
+
+
+@query("stream_dedup_log", o.SAMPLES + " SELECT DISTINCT host, pid AS stream_id, cmd, t FROM samples")
+def stream_dedup_log(spark, d):
+    """Two deliveries, the second late: its rows take the side path and are absorbed into their days."""
+    root = shared_dir(spark, "dedup-log")
+    _spread(spark, d, root)
+    for part in ("a", "b"):
+        events = event_stream(spark, d, f"{root}/drop-{part}")
+        copies = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+        ingest.stream_dedup_log(copies, f"{root}/tables", f"{root}/checkpoint-{part}", name="events", available_now=True, tie=["event_id"]).awaitTermination()
+    log = AppendLog(spark, f"{root}/tables")
+    ingest.absorb_late(log, ["event_id"])
+    return ingest.deduplicated(log, tie=["event_id"]).select("host", "stream_id", "cmd", "t")
+
+
+@query(
+    "stream_load_log",
+    o.SAMPLES + f""", instants AS (SELECT host, t, sum(cpu_pct) AS cpu_pct, CAST(sum(cpu_kb) AS BIGINT) AS cpu_kb, sum(gpu_pct) AS gpu_pct FROM samples GROUP BY host, t)
+    SELECT host, t - t % 3600 AS t, {_R('avg(cpu_pct)')} AS cpu_pct, CAST(sum(cpu_kb) AS BIGINT) // count(*) AS cpu_kb, {_R('avg(gpu_pct)')} AS gpu_pct FROM instants GROUP BY 1, 2""",
+)
+def stream_load_log(spark, d):
+    """All buckets, after deliveries in an order of their own."""
+    root = shared_dir(spark, "load-log")
+    _spread(spark, d, root)
+    for part in ("a", "b"):
+        stream = event_stream(spark, d, f"{root}/drop-{part}")
+        ingest.stream_load_log(stream, f"{root}/tables", f"{root}/checkpoint-{part}", available_now=True).awaitTermination()
+    out = AppendLog(spark, f"{root}/tables").read("load")
+    return out.select("host", "t", rounded("cpu_pct").alias("cpu_pct"), "cpu_kb", rounded("gpu_pct").alias("gpu_pct"))

@@ -81,7 +81,14 @@ FLAT_SYSINFO = """version string, timestamp string, hostname string, description
 KIND_SCHEMAS = {"sample": SAMPLE_ENVELOPE, "jobs": SACCT_ENVELOPE, "sysinfo": SYSINFO_ENVELOPE, "cluster": CLUSTER_ENVELOPE}
 
 
+def opened(lines: DataFrame, kind: str) -> DataFrame:
+    """Envelopes parsed once, as ``e``: every parser of the kind takes them in place of lines."""
+    return _opened(lines, KIND_SCHEMAS[kind])
+
+
 def _opened(lines: DataFrame, schema: str) -> DataFrame:
+    if "e" in lines.columns:
+        return lines
     return lines.filter(F.trim("value") != "").select(F.from_json("value", schema).alias("e"))
 
 
