@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Temporary folders of sessions of one process, by application.
+_own: dict[str, str] = {}
+
 
 def build_session(app: str = "usagelens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on.
@@ -37,10 +40,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     Without the setting a session of one process gets a temporary folder, as in tests; on a cluster it is an
     error, since each machine would write a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not root:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="usagelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # The setting cannot be changed once a session runs.
+        root = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="usagelens-")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
