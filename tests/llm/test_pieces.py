@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,3 +108,31 @@ def test_nulls_empty_repeats_clashes(spark):
     assert got[3].round_trip and got[None].round_trip and got[4].round_trip
     assert ps.encode_documents(df).count() == 6
     assert ps.encode_documents(df.limit(0)).collect() == []
+
+
+def test_segments_scored_together_equal_the_search():
+    """Best segmentation, score and loss of the second, by arrays and by one pass each way, against the A-star search."""
+    p = ps.load_pieces()
+    rng = random.Random(11)
+    segments = ["".join(rng.choices(alphabet, k=rng.randrange(1, 30))) for alphabet in ("abe ", "the ", "$%&", "aé中▁", "x🙂y") for _ in range(60)]
+    segments += [" the", "a", " ", "\n", " " * 40, "e" * 64]
+    together = ps._scored(p, segments)
+    assert len(together) > 150
+    for x in segments:
+        want = ps.n_best(p, x, 2)
+        loss = want[0][0] - want[1][0] if len(want) > 1 else ps.NEVER
+        for ids, score, lost in [ps.best_and_loss(p, x)] + [together[x][:3]] * (x in together):
+            assert ids == want[0][1] and abs(score - want[0][0]) < 1e-9 and abs(lost - loss) < 1e-9 * max(1, abs(loss))
+        assert x not in together or together[x][3] and ps.decode(p, together[x][0], first=False) == x
+
+
+def test_texts_are_encoded_alike_whatever_is_known():
+    p = ps.load_pieces()
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("etaoin", k=rng.randrange(1, 9))) for _ in range(50)) for _ in range(6)] + ["", "z" * 300, "\n\n a"]
+    known, blank = ps.Memory(p), ps.Memory(p)
+    for t in texts:
+        cut = ps.segments_of(p, t)
+        known.learn(cut)
+        a, b = ps.encode(p, t, 4, known, cut), ps.encode(p, t, 4, blank)
+        assert a[0].tolist() == b[0].tolist() and a[1] == b[1] and a[2] == b[2]

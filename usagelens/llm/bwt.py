@@ -171,7 +171,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     source = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = source.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
-    digest = known.select("doc", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    digest = known.select("doc", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h1"), F.sha2("text", 256).alias("h2"))
     least = digest.groupBy("n", "h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
     copies = written(digest.join(least, ["n", "h1", "h2"]).filter("doc > least").select("doc").distinct(), "copies")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
 from itertools import chain
@@ -10,13 +11,18 @@ from math import fsum
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers as lately used; as many from before that are kept beside them.
 REMEMBERED = 400_000
 LOST = -1e18
+#: Segments of up to so many characters are scored together, in arrays for so many of them at a time; longer ones alone.
+TOGETHER, AT_ONCE = 64, 20_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -38,8 +44,20 @@ class Pieces:
     def __post_init__(self):
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.plain = [n.replace(SPACE, " ") for n in self.names]
+        #: The text of every piece but single bytes, which say something only together.
+        self.texts = [None if i in self.byte_of else n for i, n in enumerate(self.plain)]
         #: Beginnings of pieces: the id of the piece, or -1 if only longer pieces begin so.
         self.begins = {n[:j]: -1 for n in self.ids for j in range(1, len(n))} | self.ids
+        #: The same by hash, sorted, for many at once.
+        hashes = np.zeros(len(self.begins), np.uint64)
+        for at, name in enumerate(self.begins):
+            h = 0
+            for c in name:
+                h = (h * int(_STEP) + ord(c) + 1) & (1 << 64) - 1
+            hashes[at] = h
+        order = np.argsort(hashes)
+        self.hashes, self.hash_ids = hashes[order], np.array(list(self.begins.values()), np.int64)[order]
+        self.values = np.array(self.scores)
         # Texts fall apart where a space follows something else, as no piece spans that, and around line ends without a piece.
         spans = any(re.search("[^ ] ", p) for p in self.ids)
         lines = any("\n" in p for p in self.ids)
@@ -118,6 +136,162 @@ def n_best(p: Pieces, segment: str, n: int) -> list[tuple[float, tuple[int, ...]
     return out
 
 
+def best_and_loss(p: Pieces, segment: str) -> tuple[tuple[int, ...], float, float]:
+    """The first of :func:`n_best` with its score, and how much less the second scores; without a search.
+
+    Scores of prefixes and of suffixes are found by one pass each way.  The second best leaves the best path by some arc, and the
+    best path through an arc has the score of its prefix, its own, and that of its suffix.  Where two paths are as good as
+    equal, the search decides which is first.
+    """
+    size = len(segment)
+    forward = [LOST] * (size + 1)
+    forward[0] = 0.0
+    came: list = [None] * (size + 1)
+    arcs = []
+    find, scores = p.begins.get, p.scores
+    for start in range(size):
+        base = forward[start]
+        if base == LOST:
+            continue
+        single = False
+        for end in range(start + 1, size + 1):
+            i = find(segment[start:end])
+            if i is None:
+                break
+            if i >= 0:
+                if end == start + 1:
+                    single = True
+                s = scores[i]
+                arcs.append((start, end, s))
+                if base + s > forward[end]:
+                    forward[end] = base + s
+                    came[end] = (start, i)
+        if not single:
+            raw = segment[start].encode()
+            s = p.unknown * len(raw)
+            arcs.append((start, start + 1, s))
+            if base + s > forward[start + 1]:
+                forward[start + 1] = base + s
+                came[start + 1] = (start, tuple(p.byte_ids[b] for b in raw))
+    path, before, at = [], {}, size
+    while at:
+        start, i = came[at]
+        before[at] = start
+        path.append(i)
+        at = start
+    backward = [LOST] * (size + 1)
+    backward[size] = 0.0
+    second = LOST
+    on_path = before.get
+    for start, end, s in reversed(arcs):
+        rest = s + backward[end]
+        if rest > backward[start]:
+            backward[start] = rest
+        rest += forward[start]
+        if rest > second and on_path(end) != start:
+            second = rest
+    best = forward[size]
+    loss = best - second if second > LOST / 2 else NEVER
+    if loss < TIE:
+        results = n_best(p, segment, 2)
+        return results[0][1], results[0][0], results[0][0] - results[1][0]
+    ids: list[int] = []
+    for i in reversed(path):
+        ids.append(i) if isinstance(i, int) else ids.extend(i)
+    return tuple(ids), best, loss
+
+
+def _arcs(p: Pieces, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, score, id) of all pieces in the characters, by their first place; ``room`` is how far each place's segment goes on.
+
+    Pieces are found by the hashes of their beginnings.  A character without a piece has an arc of id -1.
+    """
+    at = np.arange(len(code))
+    h = np.zeros(len(code), np.uint64)
+    found = []
+    bare = np.ones(len(code), bool)
+    size = 0
+    while len(at):
+        size += 1
+        h = h * _STEP + code[at + size - 1] + np.uint64(1)
+        place = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
+        alive = p.hashes[place] == h
+        at, h, ids = at[alive], h[alive], p.hash_ids[place[alive]]
+        full = ids >= 0
+        if size == 1:
+            bare[at[full]] = False
+        found.append((at[full], np.full(full.sum(), size), ids[full]))
+        more = room[at] > size
+        at, h = at[more], h[more]
+    none = np.flatnonzero(bare)
+    found.append((none, np.ones(len(none), np.int64), np.full(len(none), -1)))
+    first, length, ids = (np.concatenate([f[j] for f in found]) for j in range(3))
+    order = np.lexsort((length, first))
+    first, length, ids = first[order], length[order], ids[order]
+    lost = code[first]
+    n_bytes = 1 + (lost > 0x7F).astype(np.int64) + (lost > 0x7FF) + (lost > 0xFFFF)
+    return first, first + length, np.where(ids >= 0, p.values[ids], p.unknown * n_bytes), ids
+
+
+def _scored(p: Pieces, segments: list[str]) -> dict[str, tuple[tuple[int, ...], float, float, bool]]:
+    """What Memory.look() says of each segment: best_and_loss() for all of them at once, place by place."""
+    if not segments:
+        return {}
+    code = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(x) for x in segments])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    segment = np.repeat(np.arange(len(segments)), sizes)
+    first, end, score, ids = _arcs(p, code, begin[1:][segment] - np.arange(len(code)))
+    of = segment[first]
+    # A place of its own for the end of each segment: place i of segment s is i + s.
+    tail, head = first + of, end + of
+    depth = first - begin[of]
+    by_depth = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[by_depth], np.arange(sizes.max() + 1))
+    steps = [by_depth[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    forward, came = np.full(len(code) + len(segments), LOST), np.full(len(code) + len(segments), -1)
+    forward[begin[:-1] + np.arange(len(segments))] = 0.0
+    for arcs in steps:  # arcs that begin at one place of each segment end at different places
+        reach = forward[tail[arcs]] + score[arcs]
+        better = reach > forward[head[arcs]]
+        arcs = arcs[better]
+        forward[head[arcs]], came[head[arcs]] = reach[better], arcs
+    backward = np.full(len(forward), LOST)
+    last = begin[1:] + np.arange(len(segments))
+    backward[last] = 0.0
+    rest = np.empty(len(first))
+    for arcs in reversed(steps):
+        rest[arcs] = score[arcs] + backward[head[arcs]]
+        runs = np.flatnonzero(np.diff(tail[arcs], prepend=-1))
+        backward[tail[arcs][runs]] = np.maximum.reduceat(rest[arcs], runs)
+    path = np.zeros(len(first), bool)
+    at, done = last.copy(), begin[:-1] + np.arange(len(segments))
+    while len(at):
+        arcs = came[at]
+        path[arcs] = True
+        open_ = tail[arcs] != done
+        at, done = tail[arcs][open_], done[open_]
+    through = np.where(path, LOST, rest + forward[tail])
+    second = np.maximum.reduceat(through, np.searchsorted(of, np.arange(len(segments))))
+    best = forward[last]
+    loss = np.where(second > LOST / 2, best - second, NEVER)
+    chosen = ids[path]
+    edges = np.searchsorted(of[path], np.arange(len(segments) + 1)).tolist()
+    bare = np.zeros(len(segments), bool)
+    bare[of[path & (ids < 0)]] = True
+    out = {}
+    chosen, texts = chosen.tolist(), p.texts
+    for x, a, b, total, lost, alone in zip(segments, edges, edges[1:], best.tolist(), loss.tolist(), bare.tolist(), strict=False):
+        own = tuple(chosen[a:b])
+        if lost < TIE and not alone:
+            (total, own), (other, _) = n_best(p, x, 2)
+            lost = total - other
+        # Single bytes, and a hash that spoke of another piece, are left to the plain way.
+        if not alone and "".join([texts[i] or "" for i in own]) == x:
+            out[x] = (own, total, lost, True)
+    return out
+
+
 class Memory:
     """What a worker knows of segments: ids and score of the best segmentation, loss of the next, does it decode.
 
@@ -127,12 +301,27 @@ class Memory:
     def __init__(self, p: Pieces):
         self.p, self.new, self.old, self.several = p, {}, {}, {}
 
+    def learn(self, segments: Iterable[str]) -> None:
+        """Finds what look() says of segments that it does not know yet, many at a time."""
+        fresh = [x for x in dict.fromkeys(segments) if x not in self.new]
+        for at in range(0, len(fresh), AT_ONCE):
+            some = []
+            for x in fresh[at : at + AT_ONCE]:
+                got = self.old.get(x)
+                if got is not None:
+                    self.new[x] = got
+                elif len(x) <= TOGETHER:
+                    some.append(x)
+            if len(self.new) + len(some) > REMEMBERED:
+                self.new, self.old = {}, self.new
+            self.new.update(_scored(self.p, some))
+
     def look(self, segment: str) -> tuple[tuple[int, ...], float, float, bool]:
         got = self.old.get(segment)
         if got is None:
-            results = n_best(self.p, segment, 2)
-            loss = results[0][0] - results[1][0] if len(results) > 1 else NEVER
-            got = (results[0][1], results[0][0], loss, decode(self.p, results[0][1], first=False) == segment)
+            ids, score, loss = best_and_loss(self.p, segment)
+            texts = [self.p.texts[i] for i in ids]
+            got = (ids, score, loss, "".join(texts) == segment if None not in texts else decode(self.p, ids, first=False) == segment)
         if len(self.new) >= REMEMBERED:
             self.new, self.old = {}, self.new
         self.new[segment] = got
@@ -148,17 +337,24 @@ class Memory:
 
 
 NEVER = 1e300
+#: Two scores that differ by less may be sums of the same numbers in another order.
+TIE = 1e-6
 _MEMORY: dict[int, Memory] = {}
 
 
-def encode(p: Pieces, text: str, n: int, memory: Memory) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]], bool]:
+def segments_of(p: Pieces, text: str | None) -> list[str]:
+    """The independent segments of a text, which has a space put before it."""
+    return re.findall(p.cut, " " + text) if text else []
+
+
+def encode(p: Pieces, text: str, n: int, memory: Memory, segments: list[str] | None = None) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]], bool]:
     """Ids of the best segmentation; for each of the ``n`` best its score and what differs from the best; does it decode.
 
     A difference is (first piece, pieces dropped, ids instead).  A text is a chain of independent segments, so its
     next best segmentations change the segments of least loss: only the n - 1 with the smallest first loss can
     be among them, and those are combined best first.  Decoding is the chain of the decoded segments.
     """
-    segments = re.findall(p.cut, " " + text) if text else []
+    segments = segments_of(p, text) if segments is None else segments
     look = memory.look
     found = [got or look(s) for got, s in zip(map(memory.new.get, segments), segments, strict=True)]
     best = np.fromiter(chain.from_iterable([f[0] for f in found]), np.int32)
@@ -203,6 +399,19 @@ def decode(p: Pieces, ids, first: bool = True) -> str:
     return "".join(out)[1 if first else 0 :]
 
 
+def _shares(batch: pa.RecordBatch, text: str):
+    """Runs of at most 512 rows whose texts have at most four million bytes together, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    first, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first == 512 or total + n > 4_000_000):
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += n
+    if sizes:
+        yield batch.slice(first)
+
+
 def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL, ids: str = "ids") -> DataFrame:
     """Add to each row its segmentation into pieces, and check the way back.
 
@@ -219,11 +428,9 @@ def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str
     added = [ids, "n_pieces", "alternatives", "round_trip"]
     kept = [c for c in docs.columns if c not in added]
     change = "struct<first:int,dropped:int,ids:array<int>>"
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = docs.select(*kept).schema
-    for name, kind in zip(added, ["array<int>", "int", f"array<struct<score:double,n_pieces:int,changes:array<{change}>>>", "boolean"], strict=True):
-        schema = schema.add(name, _parse_datatype_string(kind))
+    kinds = ["array<int>", "int", f"array<struct<score:double,n_pieces:int,changes:array<{change}>>>", "boolean"]
+    new_fields = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in zip(added, kinds, strict=True)))
+    schema = StructType([*docs.select(*kept).schema.fields, *new_fields.fields])
     a_change = pa.struct([("first", pa.int32()), ("dropped", pa.int32()), ("ids", pa.list_(pa.int32()))])
     a_best = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int32()), ("changes", pa.list_(a_change))]))
 
@@ -234,16 +441,18 @@ def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str
             _MEMORY.clear()
             memory = _MEMORY[id(p)] = Memory(p)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for b in _shares(whole, text):
                 bests, alternatives, sounds = [], [], []
-                for t in b.column(text).to_pylist():
+                texts = b.column(text).to_pylist()
+                cut = [segments_of(p, t) for t in texts]
+                memory.learn(chain.from_iterable(cut))
+                for t, segments in zip(texts, cut, strict=True):
                     if t is None:
                         bests.append(None)
                         alternatives.append(None)
                         sounds.append(None)
                         continue
-                    best, several, sound = encode(p, t, n, memory)
+                    best, several, sound = encode(p, t, n, memory, segments)
                     bests.append(best)
                     sounds.append(sound)
                     alternatives.append([

@@ -52,7 +52,7 @@ def benchmark_windows(items: DataFrame, item: str, text: str, window: int = WIND
     return (
         split.withColumn("mark", mark).withColumn("place", F.when(long, place).otherwise(0))
         .select("item", F.slice("words", F.col("at") + 1, window).alias("window"), "mark", "place")
-        .withColumn("size", F.size("window")).withColumn("wid", F.xxhash64("window", F.lit(1)))
+        .withColumn("size", F.size("window")).withColumn("wid", F.xxhash64(F.lit(1), "window"))
     )
 
 
