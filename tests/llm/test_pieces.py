@@ -121,7 +121,7 @@ def test_segments_scored_together_equal_the_search():
     for x in segments:
         want = ps.n_best(p, x, 2)
         loss = want[0][0] - want[1][0] if len(want) > 1 else ps.NEVER
-        for ids, score, lost in [ps.best_and_loss(p, x)] + [together[x][:3]] * (x in together):
+        for ids, score, lost in [ps.best_and_loss(p, x)] + ([together[x][:3]] if x in together else []):
             assert ids == want[0][1] and abs(score - want[0][0]) < 1e-9 and abs(lost - loss) < 1e-9 * max(1, abs(loss))
         assert x not in together or together[x][3] and ps.decode(p, together[x][0], first=False) == x
 
