@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers as lately used; as many from before that are kept beside them.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 LOST = -1e18
 #: Segments of up to so many characters are scored together, in arrays for so many of them at a time; longer ones alone.
 TOGETHER, AT_ONCE = 64, 20_000
