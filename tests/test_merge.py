@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.operators.merge import fold_time, merge_by_epoch, merge_by_host, merge_by_job
+from usagelens.operators import merge
+from usagelens.operators.merge import fold_time, merge_by_epoch, merge_by_host, merge_by_job, merge_streams
 from usagelens.operators.streams import clean_streams
 from usagelens.schemas import conform_samples
 
@@ -57,6 +58,32 @@ def test_steps_equal_direct_evaluation(spark, step):
     df = conform_samples(df.withColumn("cmd", F.lit("c")).withColumn("version", F.lit("0.6.0")))
     got = {(r.host, r.t): (r.n_selected, r.cpu_kb) for r in merge_by_host(clean_streams(df)).collect()}
     assert got == want
+    split = merge_streams(clean_streams(df), ["host"], blocks=True)
+    assert {(r.host, r.t): (r.n_selected, r.cpu_kb) for r in split.collect()} == want
+
+
+@pytest.mark.parametrize("gap", [1, 7, 25])
+def test_hours_are_merged_apart(spark, monkeypatch, gap):
+    """Long bursts over many blocks, shorter ones than an hour so that steps and tails reach across their edges."""
+    rng = random.Random(gap)
+    rows, want = [], {}
+    for g in range(40):
+        host = None if g == 0 else f"h{g}"
+        streams = []
+        for _ in range(30):
+            t, times = rng.randrange(300), []
+            for _ in range(rng.randrange(1, 20)):
+                times.append(t)
+                t += 10 + rng.randrange(gap) * rng.choice((0, 1, 3))
+            streams.append([(x, rng.randrange(1, 100)) for x in times])
+        rows += [(host, f"x{g}", 1000 + i, t - 150, v, 1 << (i % 3)) for i, s in enumerate(streams) for t, v in s]
+        want.update({(host, m - 150): (len(c), sum(v for _, v in c)) for m, c in direct_steps(streams)})
+    df = spark.createDataFrame(rows, "of string, host string, pid bigint, t bigint, cpu_kb bigint, gpus bigint")
+    df = conform_samples(df.withColumn("cmd", F.lit("c")).withColumn("version", F.lit("0.6.0")), ("of",))
+    for block in (3600, 61):
+        monkeypatch.setattr(merge, "BLOCK", block)
+        got = merge.merge_streams(clean_streams(df), ["of"], blocks=True)
+        assert {(r.of, r.t): (r.n_selected, r.cpu_kb) for r in got.collect()} == want
 
 
 def sample(**kw):

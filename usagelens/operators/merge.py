@@ -12,14 +12,17 @@ scan with constant memory.  Samples that follow the previous one of their stream
 separate rows up to there, since only for these the step depends on the stream.
 
 The tail of ended streams is a range frame over the instants before a step: no join.
+
+Keys that may span hosts (a job, everything) are split by the hour instead, see :func:`_by_blocks`: plain instants of any density
+need no scan there, and no task holds a whole key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +32,7 @@ from usagelens.functions.scalars import trunc_time
 STEP_WIDTH = 10
 CHAIN_MARK = "\x01"
 TAIL = 60
+BLOCK = 3600
 
 MERGED = "_merged_"
 LONG_SUMS = [
@@ -84,12 +88,71 @@ def _scan_steps(keys: list[str]):
     return scan
 
 
-def merge_streams(streams: DataFrame, keys: list[str], describe: bool = False, single: str | None = None) -> DataFrame:
+def _by_blocks(instants: DataFrame, keys: list[str], windowed: Callable[[WindowSpec], list[Column]]) -> DataFrame:
+    """The instants with ``windowed`` columns, ``_burst`` and ``_start`` (the step of a plain instant), hour by hour.
+
+    No task holds more than an hour of a key:
+
+    1. A block is an hour of a key; its windows also see the last minute of the hour before, which is as far as a tail reaches.
+    2. What a block does to the steps is a map: an open step covers the first 0 to 9 seconds of it, and for each of these
+       ten cases the block's distinct seconds give the second up to which its own last step covers.
+    3. The maps of a key, one small row an hour, are composed in the order of time: each block learns where it is entered.
+    4. All blocks assign their steps at once, and only the seconds at which steps start travel to the instants.
+    """
+    own = F.floor(F.col("t") / BLOCK)
+    near = F.floor((F.col("t") + TAIL) / BLOCK)
+    spread = instants.withColumn("_block", F.explode(F.when(near > own, F.array(own, near)).otherwise(F.array(own))))
+    block = [*keys, "_block"]
+    by_time = Window.partitionBy(*block).orderBy("t")
+    seen = spread.select("*", F.lag("t").over(by_time).alias("_lag"), *windowed(by_time)).filter(F.floor(F.col("t") / BLOCK) == F.col("_block"))
+    opens = F.col("_lag").isNull() | (F.col("t") - F.col("_lag") >= STEP_WIDTH)
+    seen = seen.withColumn("_opens", F.when(opens, F.col("t"))).drop("_lag")
+
+    begin = F.col("_block") * BLOCK
+    times = seen.groupBy(*block).agg(F.array_sort(F.collect_set("t")).alias("times"), F.max("_opens").alias("opened"))
+    cases = F.array(*[begin + i for i in range(STEP_WIDTH)])
+    exits = F.aggregate("times", cases, lambda ends, t: F.transform(ends, lambda e: F.when(t >= e, t + STEP_WIDTH).otherwise(e)))
+    times = times.withColumn("exits", exits)
+    # A row of ten numbers for each hour of a key.
+    hours = times.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "exits", "opened"))).alias("hours"))
+    entry = F.struct(F.lit(None).cast("long").alias("_block"), F.lit(None).cast("long").alias("covered"), F.lit(None).cast("long").alias("burst"))
+    none = F.array().cast("array<struct<_block:bigint,covered:bigint,burst:bigint>>")
+
+    def enter(state: Column, hour: Column) -> Column:
+        start = hour["_block"] * BLOCK
+        covered = F.greatest(F.coalesce(state["covered"], start), start)
+        leaves = F.get(hour["exits"], (covered - start).cast("int"))
+        here = F.struct(hour["_block"].alias("_block"), covered.alias("covered"), state["burst"].alias("burst"))
+        return F.struct(F.array_append(state["all"], here).alias("all"), leaves.alias("covered"), F.coalesce(hour["opened"], state["burst"]).alias("burst"))
+
+    first = F.struct(none.alias("all"), entry["covered"].alias("covered"), entry["burst"].alias("burst"))
+    entered = hours.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.inline(F.aggregate("hours", first, enter, lambda s: s["all"]))).withColumnRenamed("_block", "_of__block")
+    of = {c: f"_of_{c}" for c in block}
+    met = times.join(entered, _same(times, entered, block, of)).select(*block, "times", "covered", "burst")
+    one = F.element_at("times", 1)
+    began = F.aggregate(
+        "times", F.struct(F.col("covered").alias("end"), F.array().cast("array<bigint>").alias("starts")),
+        lambda s, t: F.when(t >= s["end"], F.struct((t + STEP_WIDTH).alias("end"), F.array_append(s["starts"], t).alias("starts"))).otherwise(s),
+        lambda s: s["starts"],
+    )
+    # Where a step of the hour before covers the first second, that second names it.
+    led = F.when(one < F.col("covered"), F.array(F.struct(one.alias("at"), (F.col("covered") - STEP_WIDTH).alias("start")))).otherwise(F.array().cast("array<struct<at:bigint,start:bigint>>"))
+    marks = F.concat(led, F.transform(began, lambda t: F.struct(t.alias("at"), t.alias("start"))))
+    marks = met.select(*[F.col(c).alias(of[c]) for c in block], F.inline(marks), F.when(F.lit(True), F.col("burst")).alias("_entered"))
+    joined = seen.join(marks, _same(seen, marks, block, of) & (seen["t"] == marks["at"]), "left").drop(*of.values(), "at")
+    upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    burst = F.coalesce(F.last("_opens", ignorenulls=True).over(upto), F.first("_entered", ignorenulls=True).over(upto))
+    return joined.select("*", F.last("start", ignorenulls=True).over(upto).alias("_start"), burst.alias("_burst")).drop("_opens", "_entered", "start", "_block")
+
+
+def merge_streams(streams: DataFrame, keys: list[str], describe: bool = False, single: str | None = None, blocks: bool = False) -> DataFrame:
     """Merge clean streams per key: one row per (key, step), with the step's time in ``t``.
 
     ``describe`` adds the group's ``cmd`` and ``user`` (distinct names, sorted, joined by commas) and
     ``hosts`` (sorted array).  ``single`` names a key column that is set for groups of one stream; these
-    pass through as they are.
+    pass through as they are.  ``blocks`` splits keys by the hour, for keys that may hold a large part of all rows: a step is then
+    found by composing what each hour does to an open step.  Only bursts in which a stream has samples less than 10 s apart
+    are scanned in order.
     """
     close = F.coalesce(F.col("t") - F.col("prev_t") < STEP_WIDTH, F.lit(False))
     alone = F.col(single).isNotNull() if single else F.lit(False)
@@ -97,20 +160,17 @@ def merge_streams(streams: DataFrame, keys: list[str], describe: bool = False, s
     # The time before and the stream.  Both branches below use the same columns of what they share, so that
     # Spark runs it once.
     chain = F.concat_ws(CHAIN_MARK, *[F.col(c).cast("string") for c in ("prev_t", "host", "stream_id", "cmd")])
-    # Names are taken from a stream's first row only, so they add at most one row per stream.
-    names = {"_cmd": "cmd", "_user": "stream_user", "_host": "host"} if describe else {}
     rows = streams.select(
         *keys,
         "t",
         F.when(chained, chain).alias("_chain"),
         "is_last",
-        *[F.when(F.col("is_first"), F.col(c)).alias(n) for n, c in names.items()],
         *SUMS,
         "gpus",
         (F.col("gpu_fail") > 0).alias("gpu_fail"),
         "in_container",
     )
-    instants = rows.groupBy(*keys, "t", "_chain", "is_last", *names).agg(
+    instants = rows.groupBy(*keys, "t", "_chain", "is_last").agg(
         *[F.sum(c).alias(c) for c in SUMS],
         F.count(F.lit(1)).alias("n_selected"),
         F.bit_or("gpus").alias("gpus"),
@@ -118,41 +178,32 @@ def merge_streams(streams: DataFrame, keys: list[str], describe: bool = False, s
         F.max("in_container").alias("in_container"),
     )
 
-    by_time = Window.partitionBy(*keys).orderBy("t")
-    before = by_time.rangeBetween(-TAIL, -1)
-    ended = F.col("is_last")
-    adding = [*SUMS, "n_selected"]
-
-    def tail(agg, c: str) -> Column:
-        return agg(F.when(ended, F.col(c))).over(before).alias(f"_tail_{c}")
-
-    lagged = instants.select(
-        "*",
-        F.lag("t").over(by_time).alias("_lag"),
-        *[tail(F.sum, c) for c in adding],
-        tail(F.bit_or, "gpus"),
-        tail(F.max, "gpu_fail"),
-        tail(F.max, "in_container"),
-    )
-    opens = F.col("_lag").isNull() | (F.col("t") - F.col("_lag") >= STEP_WIDTH)
-    upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bursts = lagged.withColumn("_burst", F.last(F.when(opens, F.col("t")), ignorenulls=True).over(upto)).drop("_lag")
-    in_burst = Window.partitionBy(*keys, "_burst")
-    hard = (F.max("t").over(in_burst) - F.col("_burst") >= STEP_WIDTH) | (
-        F.max(F.col("_chain").isNotNull()).over(in_burst)
-    )
-    described: list[Column] = []
-    if describe:
-        whole = Window.partitionBy(*keys)
-        described = [
-            F.array_join(F.array_sort(F.collect_set("_cmd").over(whole)), ",").alias("cmd"),
-            F.array_join(F.array_sort(F.collect_set("_user").over(whole)), ",").alias("user"),
-            F.array_sort(F.collect_set("_host").over(whole)).alias("hosts"),
-        ]
-    bursts = bursts.select("*", (hard & ~alone).alias("_hard"), *described).drop(*names)
-
-    start = F.when(alone, F.col("t")).otherwise(F.col("_burst"))
-    easy = bursts.filter(~F.col("_hard")).withColumn("step", start)
+    def tails(by_time: WindowSpec) -> list[Column]:
+        """What ended streams add to a step that starts at this instant."""
+        before = by_time.rangeBetween(-TAIL, -1)
+
+        def tail(agg, c: str) -> Column:
+            return agg(F.when(F.col("is_last"), F.col(c))).over(before).alias(f"_tail_{c}")
+
+        return [*[tail(F.sum, c) for c in [*SUMS, "n_selected"]], tail(F.bit_or, "gpus"), tail(F.max, "gpu_fail"), tail(F.max, "in_container")]
+
+    if blocks:
+        placed = _by_blocks(instants, keys, tails)
+        tied = placed.filter(F.col("_chain").isNotNull()).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_burst").alias("_of__burst")).distinct()
+        on = _same(placed, tied, [*keys, "_burst"], {k: f"_of_{k}" for k in [*keys, "_burst"]})
+        bursts = placed.join(tied.withColumn("_tied", F.lit(True)), on, "left").drop(*tied.columns)
+        bursts = bursts.withColumn("_hard", F.coalesce("_tied", F.lit(False)) & ~alone).drop("_tied")
+        easy = bursts.filter(~F.col("_hard")).withColumn("step", F.when(alone, F.col("t")).otherwise(F.col("_start")))
+    else:
+        by_time = Window.partitionBy(*keys).orderBy("t")
+        lagged = instants.select("*", F.lag("t").over(by_time).alias("_lag"), *tails(by_time))
+        opens = F.col("_lag").isNull() | (F.col("t") - F.col("_lag") >= STEP_WIDTH)
+        upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bursts = lagged.withColumn("_burst", F.last(F.when(opens, F.col("t")), ignorenulls=True).over(upto)).drop("_lag")
+        in_burst = Window.partitionBy(*keys, "_burst")
+        hard = (F.max("t").over(in_burst) - F.col("_burst") >= STEP_WIDTH) | (F.max(F.col("_chain").isNotNull()).over(in_burst))
+        bursts = bursts.select("*", (hard & ~alone).alias("_hard"))
+        easy = bursts.filter(~F.col("_hard")).withColumn("step", F.when(alone, F.col("t")).otherwise(F.col("_burst")))
     schema = T.StructType([*bursts.schema.fields, T.StructField("step", T.LongType())])
     scanned = (
         bursts.filter("_hard")
@@ -179,9 +230,30 @@ def merge_streams(streams: DataFrame, keys: list[str], describe: bool = False, s
         normalise(gpus).alias("gpus"),
         F.greatest(F.max("gpu_fail"), F.max(F.when(at_start, F.col("_tail_gpu_fail")))).cast("bigint").alias("gpu_fail"),
         F.greatest(F.max("in_container"), F.max(F.when(at_start, F.col("_tail_in_container")))).alias("in_container"),
-        *[F.first(c).alias(c) for c in (["cmd", "user", "hosts"] if describe else [])],
+    ).withColumnRenamed("step", "t")
+    return _described(merged, streams, keys) if describe else merged
+
+
+def _same(a: DataFrame, b: DataFrame, columns: list[str], names: dict[str, str]) -> Column:
+    """Equality of the columns, null with null; ``names`` has those of the second frame that are called otherwise."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[names.get(c, c)])
+    return out
+
+
+def _described(merged: DataFrame, streams: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds names and hosts of each group: an aggregate of their own over the streams' first rows, with a map-side combine.
+
+    It meets the steps after the last sum, one row a group, so no row before carries names and no window spans a group.
+    """
+    names = streams.filter("is_first").groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
+        F.array_join(F.array_sort(F.collect_set("cmd")), ",").alias("cmd"),
+        F.array_join(F.array_sort(F.collect_set("stream_user")), ",").alias("user"),
+        F.array_sort(F.collect_set("host")).alias("hosts"),
     )
-    return merged.withColumnRenamed("step", "t")
+    on = _same(merged, names, keys, {k: f"_of_{k}" for k in keys})
+    return merged.join(names, on, "left").select(*merged.columns, "cmd", "user", "hosts")
 
 
 def _solo() -> Column:
@@ -202,9 +274,9 @@ def _job_keyed(streams: DataFrame, across: Column) -> DataFrame:
     )
 
 
-def _merge_jobs(streams: DataFrame, across: Column) -> DataFrame:
+def _merge_jobs(streams: DataFrame, across: Column, blocks: bool = False) -> DataFrame:
     keyed = _job_keyed(streams, across)
-    merged = merge_streams(keyed, ["merge_host", "job", "solo"], describe=True, single="solo")
+    merged = merge_streams(keyed, ["merge_host", "job", "solo"], describe=True, single="solo", blocks=blocks)
     return merged.withColumnRenamed("merge_host", "host")
 
 
@@ -215,12 +287,12 @@ def merge_by_host_job(streams: DataFrame) -> DataFrame:
 
 def merge_by_job(streams: DataFrame) -> DataFrame:
     """One series per job over all its hosts; ``host`` is NULL and ``hosts`` has the set."""
-    return _merge_jobs(streams, F.lit(True))
+    return _merge_jobs(streams, F.lit(True), blocks=True)
 
 
 def merge_by_epoch(streams: DataFrame) -> DataFrame:
     """Jobs whose ID the batch system gave (epoch 0) over all hosts, others per host."""
-    return _merge_jobs(streams, F.col("stream_epoch") == 0)
+    return _merge_jobs(streams, F.col("stream_epoch") == 0, blocks=True)
 
 
 def merge_by_host(streams: DataFrame) -> DataFrame:
@@ -245,7 +317,7 @@ def merge_across_hosts(series: DataFrame, folded: bool) -> DataFrame:
         .withColumn("is_last", F.lead("t").over(w).isNull())
         .withColumn("_all", F.lit(0))
     )
-    return merge_streams(streams, ["_all"]).drop("_all")
+    return merge_streams(streams, ["_all"], blocks=True).drop("_all")
 
 
 def _across_folded(series: DataFrame) -> DataFrame:
