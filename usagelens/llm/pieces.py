@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers as lately used; as many from before that are kept beside them.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 LOST = -1e18
 #: Segments of up to so many characters are scored together, in arrays for so many of them at a time; longer ones alone.
 TOGETHER, AT_ONCE = 64, 20_000
@@ -295,11 +295,11 @@ def _scored(p: Pieces, segments: list[str]) -> dict[str, tuple[tuple[int, ...],
 class Memory:
     """What a worker knows of segments: ids and score of the best segmentation, loss of the next, does it decode.
 
-    Bounded: when as many as ``REMEMBERED`` are new, those from before are forgotten unless they were used again.
+    Bounded: when as many as ``remembered`` are new, those from before are forgotten unless they were used again.
     """
 
-    def __init__(self, p: Pieces):
-        self.p, self.new, self.old, self.several = p, {}, {}, {}
+    def __init__(self, p: Pieces, remembered: int | None = None):
+        self.p, self.new, self.old, self.several, self.remembered = p, {}, {}, {}, REMEMBERED if remembered is None else remembered
 
     def learn(self, segments: Iterable[str]) -> None:
         """Finds what look() says of segments that it does not know yet, many at a time."""
@@ -312,7 +312,7 @@ class Memory:
                     self.new[x] = got
                 elif len(x) <= TOGETHER:
                     some.append(x)
-            if len(self.new) + len(some) > REMEMBERED:
+            if len(self.new) + len(some) > self.remembered:
                 self.new, self.old = {}, self.new
             self.new.update(_scored(self.p, some))
 
@@ -322,7 +322,7 @@ class Memory:
             ids, score, loss = best_and_loss(self.p, segment)
             texts = [self.p.texts[i] for i in ids]
             got = (ids, score, loss, "".join(texts) == segment if None not in texts else decode(self.p, ids, first=False) == segment)
-        if len(self.new) >= REMEMBERED:
+        if len(self.new) >= self.remembered:
             self.new, self.old = {}, self.new
         self.new[segment] = got
         return got
@@ -330,7 +330,7 @@ class Memory:
     def best_few(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         got = self.several.get((segment, n))
         if got is None:
-            if len(self.several) >= REMEMBERED // 10:
+            if len(self.several) >= self.remembered // 10:
                 self.several = {}
             got = self.several[segment, n] = n_best(self.p, segment, n)
         return got
@@ -412,7 +412,7 @@ def _shares(batch: pa.RecordBatch, text: str):
         yield batch.slice(first)
 
 
-def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL, ids: str = "ids") -> DataFrame:
+def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL, ids: str = "ids", remembered: int | None = None) -> DataFrame:
     """Add to each row its segmentation into pieces, and check the way back.
 
     ``ids``: the best segmentation of the whole text; n_pieces; ``alternatives``: the n best as
@@ -439,7 +439,7 @@ def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str
         memory = _MEMORY.get(id(p))
         if memory is None:  # a worker keeps what it knows from task to task
             _MEMORY.clear()
-            memory = _MEMORY[id(p)] = Memory(p)
+            memory = _MEMORY[id(p)] = Memory(p, remembered)
         for whole in batches:
             for b in _shares(whole, text):
                 bests, alternatives, sounds = [], [], []

@@ -118,4 +118,5 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Columns named as the added ones are replaced.
     """
-    return encode_documents(docs).drop("text", "n_chars")
+    # A worker keeps what it remembers beside the memory of other stages.
+    return encode_documents(docs, remembered=50_000).drop("text", "n_chars")

@@ -8,23 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from usagelens.session import shared_dir
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The folders written within each open scratch block, innermost last.
 _open: list[list[str]] = []
 
 
+#: While a step's table is written: shuffle files go with the step, and batches of rows sent to Python stay small, so that neither
+#: Spark's buffers nor a worker's arrays grow with the length of the texts.
+STEP = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
+
+
 @contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Spark removes the shuffle files of a step as soon as the step's table is written."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def step_settings(spark: SparkSession):
+    """The settings of STEP, and those from before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in STEP}
+    for k, v in STEP.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -59,7 +66,7 @@ def written(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     holders = _open[:-1] if keep else _open
     if holders:
         holders[-1].append(path)
-    with freed_shuffles(spark):
+    with step_settings(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
