@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,40 @@ def test_elapsed_and_bytes(spark):
 
 def test_outliers_and_marks(spark):
     assert evaluate(spark, [5.0, 15.0, 25.0], lambda c: s.clamp_outlier(c, 10.0), "double") == [5.0, 10.0, 0.0]
+
+
+def test_huge_ranges_are_decided_without_expanding(spark):
+    texts = ["n[1-3000000000]", "n[0-999999999999999999]x[0-999999999999999999]", "n[1-2]x", "n[5-1]", "n[1-1234567890123456789]", None]
+    assert evaluate(spark, texts, h.host_list_size) == [3e9, 1e36, 2.0, None, None, None]
+    assert evaluate(spark, texts, h.host_list_fault) == ["too many hosts"] * 2 + [None, "unsound", "unsound", None]
+    assert evaluate(spark, texts, h.expand_host_list) == [None, None, ["n1x", "n2x"], None, None, None]
+    patterns = [(["n2999999999"], True), (["n3000000001"], False), (["n*77"], True), (["n[3000000000-4000000000]"], True), (["n0", "m*"], False), (["n1*.a"], False)]
+    got = evaluate(spark, texts[:1], lambda c: F.array(*[h.host_list_matches(c, p, prefix=True) for p, _ in patterns]))
+    assert got == [[want for _, want in patterns]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, nodes string")
+    assert sorted(h.expand_hosts(df, "nodes").select("i", "host").collect()) == [(2, "n1x"), (2, "n2x")]
+
+
+def test_a_name_of_many_hosts_comes_in_blocks(spark):
+    df = spark.createDataFrame([("a[0-2,5]b[7-2006,9000]c,z",)], "nodes string")
+    got = [r.host for r in h.expand_hosts(df, "nodes").select("host").collect()]
+    assert sorted(got) == sorted(["z", *(f"a{x}b{y}c" for x in (0, 1, 2, 5) for y in (*range(7, 2007), 9000))])
+
+
+def test_lists_match_as_their_hosts_do(spark):
+    rnd = random.Random(4)
+    bracket = lambda: "[" + ",".join(f"{a}-{a + rnd.choice([0, 3, 40, 900])}" for a in (rnd.choice([0, 1, 8, 95, 990]) for _ in range(rnd.randint(1, 2)))) + "]"
+    lists = [f"n{bracket()}" for _ in range(25)] + [f"n{bracket()}.x{rnd.randint(0, 3)}" for _ in range(15)] + [f"n{rnd.randint(0, 3)}{bracket()},k7" for _ in range(10)]
+    patterns = ["n7", "n1*0", "n[90-120]", "n*.x[1-2]", "n3[0-9]*", "n[1000-2000]", "k*", "n*99", "n[17,250-251]", "n[0-100000000]"]
+    df = spark.createDataFrame([(x,) for x in lists], "v string")
+    one = lambda p, prefix: lambda x: h.host_matches(x, [p], prefix)
+    for prefix in (False, True):
+        near = df.select("v", *[h.host_list_matches("v", [p], prefix).alias(p) for p in patterns]).collect()
+        wide = df.select("v", *[F.exists(h.expand_host_list("v"), one(p, prefix)).alias(p) for p in patterns]).collect()
+        assert near == wide
+
+
+def test_number_patterns_match_their_numbers_only():
+    for lo, hi in ((0, 0), (0, 9), (7, 13), (27, 1234), (100, 999), (95, 105), (999, 1001), (1, 20000)):
+        regex = re.compile(h.host_pattern_regex(f"n[{lo}-{hi}]"))
+        assert [n for n in range(hi + 300) if regex.match(f"n{n}")] == list(range(lo, hi + 1))

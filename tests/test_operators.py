@@ -150,3 +150,5 @@ def test_heatmap_clamps(spark):
     df = spark.createDataFrame([(0, 250), (1, 100), (10, 11), (11, 91)], "a bigint, b bigint")
     got = {(r.x, r.y): r.n for r in usage_reports.heatmap(df, "a", "b", 10).collect()}
     assert got == {(0, 9): 2, (0, 1): 1, (1, 9): 1}
+
+

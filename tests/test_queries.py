@@ -18,7 +18,7 @@ SELECTED = [
     "filter_samples", "system_exclusions", "dedup_streams", "cpu_util", "merge_streams", "merge_by_epoch", "fill_gaps", "jobs", "job_relative",
     "config_asof", "attach_accounting", "sacct_report", "load", "uptime", "profile_buckets", "core_busyness", "process_series", "process_gpus_at",
     "merge_state", "load_with_downtime", "top_consumers", "right_size_maps", "ingest_samples_csv", "ingest_samples_json", "ingest_sacct_json",
-    "read_dated", "expand_hosts", "compress_hosts", "gpu_set_cards", "stream_load", "stream_dedup",
+    "read_dated", "expand_hosts", "compress_hosts", "gpu_set_cards", "load_rollups", "load_averages", "filter_sacct_hosts", "expand_hosts_faults", "match_host_lists", "stream_load", "stream_dedup",
 ]
 NAMES = list(entry.queries()) if os.environ.get("USAGELENS_ALL") else SELECTED
 

@@ -11,6 +11,13 @@ from usagelens.functions.scalars import string_set_compare
 
 _LIST = r"(?:[^,\[\]]++|\[[^\]]*+\])++"
 _PART = r"(\[[^\]]*+\]|[^\[\]]++)"
+# Most hosts of a list that is expanded to rows, or to one array; rows of a block; digits of a number.
+MOST_HOSTS = 10_000_000
+LISTED_HOSTS = 100_000
+BLOCK = 4096
+DIGITS = 18
+# Private characters that stand for "a digit from a to b", at place 10 a + b.
+_CLASSES = "".join(chr(0xE000 + i) for i in range(100))
 _RANGES = r"\[\d++(?:-\d++)?+(?:,\d++(?:-\d++)?+)*+\]"
 
 
@@ -23,36 +30,156 @@ def split_host_list(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_col(c), F.lit(f"({_LIST})"), F.lit(1)), lambda x: F.trim(x))
 
 
-def _choices(part: Column) -> Column:
-    """The numbers of a bracket as texts, any other part as it is; NULL if a range goes down."""
+def _intervals(c: Column | str) -> Column:
+    """The list as names, each an array of parts (text, spans): a bracket has its ranges (lo, hi), other parts have NULL.
 
-    def numbers(span: Column) -> Column:
-        lo = F.split(span, "-")[0].try_cast("bigint")
-        hi = F.element_at(F.split(span, "-"), -1).try_cast("bigint")
-        return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda n: n.cast("string")))
+    NULL for an unsound list: an unclosed bracket, something else than numbers of up to 18 digits in one, or a range
+    that goes down.  The size of the value follows the text, not the hosts it names.
+    """
+
+    def span(text: Column) -> Column:
+        ends = F.split(text, "-")
+        lo, hi = ends[0].try_cast("bigint"), F.element_at(ends, -1).try_cast("bigint")
+        return F.when((lo <= hi) & (hi < 10**DIGITS), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    def part(text: Column) -> Column:
+        inner = F.regexp_extract(text, r"^\[(.*)\]$", 1)
+        return F.struct(text.alias("text"), F.when(text.startswith("["), F.transform(F.split(inner, ","), span)).alias("spans"))
+
+    def parts(name: Column) -> Column:
+        return F.transform(F.regexp_extract_all(name, F.lit(_PART), F.lit(1)), part)
+
+    names = F.transform(split_host_list(c), parts)
+    closed = ~F.regexp_replace(_col(c), _RANGES, "").rlike(r"[\[\]]")
+    rising = ~F.exists(names, lambda n: F.exists(n, lambda p: F.exists(F.coalesce(p.spans, F.array()), lambda s: s.isNull())))
+    return F.when(closed, F.when(rising, names))
+
+
+def _name_size(parts: Column) -> Column:
+    """Number of hosts of a name; a double, so that no product overflows."""
+
+    def choices(p: Column) -> Column:
+        counted = F.aggregate(p.spans, F.lit(0.0), lambda a, s: a + (s.hi - s.lo + 1).cast("double"))
+        return F.coalesce(counted, F.lit(1.0))
+
+    return F.aggregate(parts, F.lit(1.0), lambda a, p: a * choices(p))
+
+
+def _size(names: Column) -> Column:
+    return F.aggregate(names, F.lit(0.0), lambda a, n: a + _name_size(n))
 
-    inner = F.regexp_extract(part, r"^\[(.*)\]$", 1)
-    return F.when(part.startswith("["), F.flatten(F.transform(F.split(inner, ","), numbers))).otherwise(F.array(part))
 
+def host_list_size(c: Column | str) -> Column:
+    """Number of hosts that a list names, decided on its ranges (a double, exact below 2^53); NULL if it is unsound."""
+    return _size(_intervals(c))
 
-def expand_host_list(c: Column | str) -> Column:
+
+def host_list_fault(c: Column | str, most: int = MOST_HOSTS) -> Column:
+    """Why :func:`expand_hosts` gives no row for a list: ``unsound``, ``too many hosts``, or NULL if it gives them."""
+    size = host_list_size(c)
+    return F.when(_col(c).isNotNull() & size.isNull(), "unsound").when(size > most, "too many hosts")
+
+
+def _texts(choices: Column) -> Column:
+    """All texts that take one choice of every part, in order; ``choices`` is an array of arrays of texts."""
+    longer = lambda heads, part: F.flatten(F.transform(heads, lambda h: F.transform(part, lambda x: F.concat(h, x))))
+    return F.aggregate(choices, F.array(F.lit("")), longer)
+
+
+def _expand(parts: Column) -> Column:
+    numbers = lambda s: F.transform(F.sequence(s.lo, s.hi), lambda n: n.cast("string"))
+    return _texts(F.transform(parts, lambda p: F.coalesce(F.flatten(F.transform(p.spans, numbers)), F.array(p.text))))
+
+
+def expand_host_list(c: Column | str, most: int = LISTED_HOSTS) -> Column:
     """Compressed host list to an array of names; each name may hold any number of bracket ranges.
 
-    NULL for a list with an unclosed bracket, something else than numbers in one, or a range that goes down.
+    NULL for an unsound list (an unclosed bracket, something else than numbers of up to 18 digits in one, a range that
+    goes down) and for one of more than ``most`` hosts, which is told from the ranges before anything is
+    expanded: use :func:`expand_hosts` or :func:`host_list_matches` for those.
     """
+    names = _intervals(c)
+    return F.when(_size(names) <= most, F.flatten(F.transform(names, _expand)))
+
+
+def _nth(parts: Column, i: Column) -> Column:
+    """The i-th text of a name: its numbers are the digits of i, the last bracket counting fastest."""
 
-    def expand(name: Column) -> Column:
-        parts = F.regexp_extract_all(name, F.lit(_PART), F.lit(1))
-        longer = lambda heads, part: F.flatten(F.transform(heads, lambda h: F.transform(_choices(part), lambda x: F.concat(h, x))))
-        return F.aggregate(parts, F.array(F.lit("")), longer)
+    def number(p: Column, at: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            width = s.hi - s.lo + 1
+            here = a.n.isNull() & (a.left < width)
+            return F.struct((a.left - F.when(a.n.isNull() & ~here, width).otherwise(0)).alias("left"), F.when(here, s.lo + a.left).otherwise(a.n).alias("n"))
 
-    sound = ~F.regexp_replace(_col(c), _RANGES, "").rlike(r"[\[\]]")
-    return F.when(sound, F.flatten(F.transform(split_host_list(c), expand)))
+        start = F.struct(at.alias("left"), F.lit(None).cast("bigint").alias("n"))
+        return F.aggregate(p.spans, start, step, lambda a: a.n.cast("string"))
 
+    def prepend(a: Column, p: Column) -> Column:
+        width = F.coalesce(F.aggregate(p.spans, F.lit(0).cast("bigint"), lambda n, s: n + s.hi - s.lo + 1), F.lit(1).cast("bigint"))
+        quotient = ((a.rest - a.rest % width) / width).cast("bigint")
+        return F.struct(F.concat(F.coalesce(number(p, a.rest % width), p.text), a.text).alias("text"), quotient.alias("rest"))
 
-def expand_hosts(df: DataFrame, col: str, out: str = "host") -> DataFrame:
-    """One row per host of a compressed list; lists that :func:`expand_host_list` rejects give none."""
-    return df.withColumn(out, F.explode(expand_host_list(col)))
+    return F.aggregate(F.reverse(parts), F.struct(F.lit("").alias("text"), i.alias("rest")), prepend, lambda a: a.text)
+
+
+def expand_hosts(df: DataFrame, col: str, out: str = "host", most: int = MOST_HOSTS) -> DataFrame:
+    """One row per host of a compressed list.
+
+    A name of many hosts is generated in blocks of 4,096 rows, so no array grows with a range.  Unsound lists and lists of
+    more than ``most`` hosts, far beyond any cluster, give no rows and do not disturb others; :func:`host_list_fault` says which.
+    """
+    names = df.withColumn("_names", _intervals(col))
+    name = names.select(*df.columns, F.explode(F.when(_size(F.col("_names")) <= most, F.col("_names"))).alias("_parts"))
+    name = name.withColumn("_size", _name_size(F.col("_parts")).cast("bigint"))
+    blocks = name.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_size") - 1, F.lit(BLOCK).cast("bigint"))))
+    until = F.least(F.col("_size"), F.col("_at") + BLOCK) - 1
+    block = F.transform(F.sequence("_at", until), lambda i: _nth(F.col("_parts"), i))
+    texts = F.when(F.col("_size") <= BLOCK, _expand(F.col("_parts"))).otherwise(block)
+    return blocks.withColumn(out, F.explode(texts)).drop("_parts", "_size", "_at")
+
+
+def _digit_runs(s: Column) -> Column:
+    """A range of numbers as texts of digits and digit classes, at most two for each place of each length.
+
+    A run is a head, a class for the next digit and any digits after it: 27 to 1234 gives 2[7-9], [3-9]d, [1-9]dd, 1[0-1]dd, ...
+    """
+    tens = F.array(*[F.lit(10**k).cast("bigint") for k in range(DIGITS + 1)])
+    quotient = lambda x, y: F.try_divide((x - x % y).cast("decimal(20,0)"), y.cast("decimal(20,0)")).cast("bigint")
+
+    def length(n: Column) -> Column:
+        return F.length(n.cast("string"))
+
+    def of_place(lo: Column, hi: Column, k: Column, top: Column) -> Column:
+        """Whole blocks of 10^k numbers whose block of 10^(k+1) is not whole, all whole blocks of the first digit."""
+        one, ten = F.element_at(tens, k + 1), F.element_at(tens, k + 2)
+        up = lambda n, y: quotient(n + y - 1, y)
+        first, end = up(lo, one), quotient(hi + 1, one)
+        below = F.when(top, end).otherwise(F.least(end, up(lo, ten) * 10))
+        above = F.greatest(quotient(hi + 1, ten) * 10, below, first)
+
+        def run(x: Column, y: Column) -> Column:
+            head = F.when(x >= 10, quotient(x, F.lit(10)).cast("string")).otherwise("")
+            symbol = F.substring(F.lit(_CLASSES), x % 10 * 10 + (y - 1) % 10 + 1, F.lit(1))
+            return F.when(x < y, F.concat(head, symbol, F.repeat(F.lit(_CLASSES[9]), k)))
+
+        return F.array(run(first, below), run(above, end))
+
+    def of_length(n: Column) -> Column:
+        lo = F.greatest(s.lo, F.when(n == 1, 0).otherwise(F.element_at(tens, n)).cast("bigint"))
+        hi = F.least(s.hi, F.element_at(tens, n + 1) - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: of_place(lo, hi, k, k == n - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(length(s.lo), length(s.hi)), of_length)))
+
+
+def host_list_matches(c: Column | str, patterns: list[str], prefix: bool = False) -> Column:
+    """True where a compressed list names a host that matches a pattern; NULL if the list is unsound.
+
+    Nothing is expanded: ranges become texts with classes of digits, and the pattern's digits match every class they lie in.
+    """
+    regex = "|".join(host_pattern_regex(p, prefix, classes=True) for p in patterns)
+    runs = lambda parts: _texts(F.transform(parts, lambda p: F.coalesce(F.flatten(F.transform(p.spans, _digit_runs)), F.array(p.text))))
+    return F.exists(_intervals(c), lambda name: F.exists(runs(name), lambda text: text.rlike(regex)))
 
 
 def compress_hosts(df: DataFrame, keys: list[str], host: str = "host", out: str = "hosts") -> DataFrame:
@@ -98,15 +225,51 @@ def compress_hosts(df: DataFrame, keys: list[str], host: str = "host", out: str
     return named.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_name")), ",").alias(out))
 
 
-def host_pattern_regex(pattern: str, prefix: bool = False) -> str:
+def _digit_regex(lo: int, hi: int, classes: bool) -> str:
+    """Regular expression of a digit from lo to hi; with ``classes`` also of the classes that share one with it."""
+    digits = str(lo) if lo == hi else f"[{lo}-{hi}]"
+    if not classes:
+        return digits
+    shared = "".join(_CLASSES[10 * a + b] for a in range(hi + 1) for b in range(max(a, lo), 10))
+    return f"[{lo}-{hi}{shared}]"
+
+
+def _number_regex(lo: int, hi: int, classes: bool) -> list[str]:
+    """Alternatives for the numbers from lo to hi, a few for each digit instead of one for each number."""
+    if len(str(lo)) < len(str(hi)):
+        cut = 10 ** len(str(lo))
+        return _number_regex(lo, cut - 1, classes) + _number_regex(cut, hi, classes)
+    if hi < 10:
+        return [_digit_regex(lo, hi, classes)]
+    out = []
+    first, last = lo // 10, hi // 10
+    if first == last or lo % 10:
+        head = "".join(_digit_regex(int(d), int(d), classes) for d in str(first))
+        out.append(head + _digit_regex(lo % 10, hi % 10 if first == last else 9, classes))
+        first += 1
+    if first <= last and hi % 10 < 9:
+        head = "".join(_digit_regex(int(d), int(d), classes) for d in str(last))
+        out.append(head + _digit_regex(0, hi % 10, classes))
+        last -= 1
+    if first <= last:
+        out += [x + _digit_regex(0, 9, classes) for x in _number_regex(first, last, classes)]
+    return out
+
+
+def host_pattern_regex(pattern: str, prefix: bool = False, classes: bool = False) -> str:
     """Regular expression of one host pattern: ``*`` stays inside a name element, ``[1-3,7]`` are numbers.
 
-    With ``prefix`` the pattern may match the leading elements of a longer name.
+    With ``prefix`` the pattern may match the leading elements of a longer name; with ``classes`` digits also match the
+    classes of :func:`host_list_matches`.
     """
+
+    def literal(text: str) -> str:
+        return "".join(_digit_regex(int(x), int(x), classes) if x in "0123456789" else re.escape(x) for x in text)
+
     out = []
     pos = 0
     for m in re.finditer(r"\*|\[([0-9,\-\s]+)\]", pattern):
-        out.append(re.escape(pattern[pos : m.start()]))
+        out.append(literal(pattern[pos : m.start()]))
         pos = m.end()
         if m.group(0) == "*":
             out.append("[^.]*")
@@ -116,14 +279,12 @@ def host_pattern_regex(pattern: str, prefix: bool = False) -> str:
             lo, _, hi = span.strip().partition("-")
             if hi and int(lo) > int(hi):
                 raise ValueError(f"invalid range in host pattern: {pattern}")
-            numbers.extend(str(n) for n in range(int(lo), int(hi or lo) + 1))
-            if len(numbers) > 10000:
-                raise ValueError("range too large, use more '*'")
+            numbers.extend(_number_regex(int(lo), int(hi or lo), classes))
         out.append("(?:" + "|".join(numbers) + ")")
     rest = pattern[pos:]
     if not pattern or "[" in rest:
         raise ValueError(f"invalid host pattern: {pattern!r}")
-    out.append(re.escape(rest))
+    out.append(literal(rest))
     return "^" + "".join(out) + (r"(?:\..*)?$" if prefix else "$")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.functions.gpus import gpu_set_compare, gpu_set_parse, gpu_set_text
-from usagelens.functions.hosts import expand_host_list, host_matches, host_set_compare
+from usagelens.functions.hosts import expand_host_list, host_list_matches, host_matches, host_set_compare
 from usagelens.functions.scalars import format_duration, format_time, parse_duration, string_set_compare
 
 # What the default filters leave out.
@@ -291,11 +291,11 @@ def filter_sacct(jobs: DataFrame, **criteria) -> DataFrame:
 def filter_sacct_hosts(jobs: DataFrame, hosts: list[str], node_list: str = "node_list") -> DataFrame:
     """Jobs with a node that matches one of the host patterns.
 
-    The list is expanded inside the row and tested there, so no shuffle is needed.
+    The list's ranges are tested inside the row, without being expanded, so neither a shuffle nor memory for the hosts is needed.
     """
     if not hosts:
         return jobs
-    return jobs.filter(F.exists(expand_host_list(node_list), lambda h: host_matches(h, hosts, prefix=True)))
+    return jobs.filter(host_list_matches(node_list, hosts, prefix=True))
 
 
 def filter_reserved(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from usagelens.functions.scalars import BUCKET_SECONDS, format_time
 from usagelens.operators.config import available_hosts
-from usagelens.operators.load import load_last
 
 # Fixed values: "recent" and "longer" look-back in seconds.
 RECENT = 30 * 60
@@ -49,15 +48,15 @@ def status_by_host(uptime: DataFrame) -> DataFrame:
     )
 
 
-def load_averages(load_half_hourly: DataFrame, load_half_daily: DataFrame) -> DataFrame:
-    """Relative load of the last half-hour and the last half-day of every host."""
+def load_averages(rollups: DataFrame) -> DataFrame:
+    """Relative load of the last half-hour and the last half-day of every host, from load in both units.
 
-    def named(df: DataFrame, suffix: str) -> DataFrame:
-        return load_last(df).select("host", *[F.col(c).alias(f"{n}_{suffix}") for c, n in RELATIVE.items()])
-
-    joined = named(load_half_hourly, "recent").join(named(load_half_daily, "longer"), "host", "full_outer")
-    names = [f"{n}_{s}" for n in RELATIVE.values() for s in ("recent", "longer")]
-    return joined.select("host", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+    ``rollups`` is :func:`usagelens.operators.load.load_rollups`; a last bucket is a maximum that combines before the shuffle.
+    """
+    values = F.struct(*[F.col(c).alias(n) for c, n in RELATIVE.items()])
+    spans = (("recent", "half-hour"), ("longer", "half-day"))
+    last = rollups.groupBy("host").agg(*[F.max_by(values, F.when(F.col("unit") == u, F.col("t"))).alias(f"_{s}") for s, u in spans])
+    return last.select("host", *[F.coalesce(F.col(f"_{s}")[n], F.lit(0)).alias(f"{n}_{s}") for n in RELATIVE.values() for s, _ in spans])
 
 
 def at_a_glance(

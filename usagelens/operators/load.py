@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from usagelens.functions.scalars import kb_to_gb
 from usagelens.operators.config import CAPACITY, config_asof, drop_unconfigured
 from usagelens.operators.filters import Criteria, apply_criteria, default_filters
-from usagelens.operators.merge import fill_gaps, fold_time, merge_across_hosts, merge_by_host
+from usagelens.operators.merge import fill_gaps, fold_means, fold_sums, fold_time, merge_across_hosts, merge_by_host, roll_up
 from usagelens.operators.streams import clean_streams, host_bounds, interval_bounds
 
 KB_PER_GB = 1 << 20
@@ -31,7 +31,7 @@ def relative_load(series: DataFrame) -> DataFrame:
         return F.when(F.col(cap) > 0, F.floor(value / F.col(cap) + 0.5)).otherwise(0).cast("bigint")
 
     return series.select(
-        *[c for c in ("host", "t") if c in series.columns],
+        *[c for c in ("host", "unit", "t") if c in series.columns],
         F.floor("cpu_util_pct").cast("bigint").alias("cpu"),
         share(F.col("cpu_util_pct"), "cores").alias("rcpu"),
         kb_to_gb("cpu_kb").alias("mem"),
@@ -91,6 +91,29 @@ def load(
     return relative_load(config_asof(started, node_config, static, "_first"))
 
 
+def load_rollups(
+    samples: DataFrame,
+    node_config: DataFrame | None = None,
+    static: DataFrame | None = None,
+    units: tuple[str, ...] = ("half-hour", "half-day"),
+    criteria: Criteria | None = None,
+    tie: list[str] | None = None,
+) -> DataFrame:
+    """:func:`load` per host in several units at once, told apart by ``unit``; all from one merge.
+
+    The merged series is folded to half-hours that keep sums and counts, and these add up to the longer buckets.
+    """
+    streams = clean_streams(apply_criteria(samples, default_filters("load", criteria or Criteria())), tie)
+    if node_config is not None:
+        streams = drop_unconfigured(streams, node_config, static)
+    finest = fold_sums(merge_by_host(streams), "half-hour", ["host"])
+    series = fold_means(roll_up(finest, list(units), ["host"]))
+    if node_config is None:
+        return relative_load(_no_capacity(series))
+    started = series.withColumn("_first", F.min("t").over(Window.partitionBy("host", "unit")))
+    return relative_load(config_asof(started, node_config, static, "_first"))
+
+
 def _no_capacity(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(None).cast("bigint").alias(c) for c in CAPACITY])
 

@@ -337,26 +337,40 @@ FOLD_MEAN_LONG = ["cpu_kb", "rss_kb", "gpu_kb", "cputime_sec"]
 FOLD_SUM = ["threads", "data_read_kb", "data_written_kb", "data_cancelled_kb", "cpu_sampled_pct"]
 
 
-def fold_time(steps: DataFrame, unit: str, keys: list[str]) -> DataFrame:
-    """Tumbling buckets: means of percentages, sizes and CPU time (whole numbers), sums of threads and I/O."""
-    n = F.count(F.lit(1))
-    return (
-        steps.withColumn("_bucket", trunc_time("t", unit))
-        .groupBy(*keys, "_bucket")
-        .agg(
-            *[(F.sum(c) / n).alias(c) for c in FOLD_MEAN_DOUBLE],
-            *[F.expr(f"sum({c}) div count(1)").alias(c) for c in FOLD_MEAN_LONG],
-            *[F.sum(c).alias(c) for c in FOLD_SUM],
-            (F.sum("rolledup") + n - 1).alias("rolledup"),
-            normalise(F.bit_or("gpus")).alias("gpus"),
-            F.max("gpu_fail").alias("gpu_fail"),
-            F.max("in_container").alias("in_container"),
-            n.alias("n_selected"),
-        )
-        .withColumnRenamed("_bucket", "t")
+def fold_sums(steps: DataFrame, unit: str, keys: list[str]) -> DataFrame:
+    """Tumbling buckets that can be merged further: sums and the number of steps instead of means."""
+    sums = [F.sum(c).alias(c) for c in (*FOLD_MEAN_DOUBLE, *FOLD_MEAN_LONG, *FOLD_SUM, "rolledup")]
+    rest = [F.bit_or("gpus").alias("gpus"), F.max("gpu_fail").alias("gpu_fail"), F.max("in_container").alias("in_container")]
+    buckets = steps.withColumn("_bucket", trunc_time("t", unit)).groupBy(*keys, "_bucket")
+    return buckets.agg(*sums, *rest, F.count(F.lit(1)).alias("n_selected")).withColumnRenamed("_bucket", "t")
+
+
+def roll_up(sums: DataFrame, units: list[str], keys: list[str]) -> DataFrame:
+    """Buckets of :func:`fold_sums` merged to those of each of the units, told apart by ``unit``.
+
+    Each unit must be a multiple of the unit that was folded to; every bucket is read once for all of them.
+    """
+    spread = sums.withColumn("_u", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), trunc_time("t", u).alias("t")) for u in units])))
+    added = [c for c in (*FOLD_MEAN_DOUBLE, *FOLD_MEAN_LONG, *FOLD_SUM, "rolledup", "n_selected")]
+    merged = spread.select(*keys, "_u.unit", F.col("_u.t").alias("t"), *[c for c in sums.columns if c not in (*keys, "t")]).groupBy(*keys, "unit", "t")
+    return merged.agg(
+        *[F.sum(c).alias(c) for c in added], F.bit_or("gpus").alias("gpus"), F.max("gpu_fail").alias("gpu_fail"), F.max("in_container").alias("in_container")
     )
 
 
+def fold_means(sums: DataFrame) -> DataFrame:
+    """The buckets that reports show: means of percentages, sizes and CPU time (whole numbers), sums of threads and I/O."""
+    n = F.col("n_selected")
+    shown = {c: F.col(c) / n for c in FOLD_MEAN_DOUBLE} | {c: F.expr(f"{c} div n_selected") for c in FOLD_MEAN_LONG}
+    shown |= {"rolledup": F.col("rolledup") + n - 1, "gpus": normalise(F.col("gpus"))}
+    return sums.select(*[shown.get(c, F.col(c)).alias(c) for c in sums.columns])
+
+
+def fold_time(steps: DataFrame, unit: str, keys: list[str]) -> DataFrame:
+    """Tumbling buckets of one unit as :func:`fold_means` shows them."""
+    return fold_means(fold_sums(steps, unit, keys))
+
+
 def fill_gaps(folded: DataFrame, unit: str, interval: DataFrame, keys: list[str]) -> DataFrame:
     """Zero rows for empty buckets from trunc(from) to trunc(to); ``interval`` has one row (from_t, to_t).
 

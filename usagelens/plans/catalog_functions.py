@@ -42,6 +42,38 @@ def expand_hosts(spark, d):
     return h.expand_hosts(host_lists(spark, d).withColumn("nodes", six), "nodes").select("k", "host")
 
 
+# A third of the lists is as long as 3,000,000,000 hosts, another third unsound.
+@query(
+    "expand_hosts_faults",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS a, o_orderkey % 3 AS kind FROM orders)
+    SELECT k, CASE kind WHEN 0 THEN 3000000000.0 WHEN 1 THEN NULL ELSE 4.0 + a END AS size, CASE kind WHEN 0 THEN 'too many hosts' WHEN 1 THEN 'unsound' END AS fault,
+      CASE kind WHEN 2 THEN 4 + a ELSE 0 END AS hosts FROM o""",
+)
+def expand_hosts_faults(spark, d):
+    """Lists that cannot be expanded give no rows, are told with the reason, and leave the others alone."""
+    k = F.col("o_orderkey")
+    a = (k % 7).cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("n[1-2999999999],m"), a)).when(k % 3 == 1, F.concat(F.lit("n[9-"), a, F.lit("]"))).otherwise(F.concat(F.lit("x[0-"), a, F.lit("],y[7,9-10]")))
+    lists = table(spark, d, "orders").select(k.alias("k"), text.alias("nodes"))
+    found = h.expand_hosts(lists, "nodes").groupBy("k").agg(F.count("host").alias("hosts"))
+    told = lists.select("k", h.host_list_size("nodes").alias("size"), h.host_list_fault("nodes").alias("fault"))
+    return told.join(found, "k", "left").select("k", "size", "fault", F.coalesce("hosts", F.lit(0)).cast("bigint").alias("hosts"))
+
+
+@query(
+    "match_host_lists",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 500 AS a FROM orders) SELECT k, a <= 120 AS one, true AS wild, a <= 77 OR a >= 390 AS ranges FROM o""",
+)
+def match_host_lists(spark, d):
+    """Patterns against lists of up to 3,000,000,000 hosts, decided on the ranges."""
+    a = (F.col("o_orderkey") % 500).cast("string")
+    lists = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"), F.concat(F.lit("n["), a, F.lit("-3000000000].site")).alias("wide"), F.concat(F.lit("m["), a, F.lit("-"), a, F.lit(",600-610]")).alias("narrow")
+    )
+    low = h.host_list_matches("narrow", ["m[0-77]", "m[390-499]"])
+    return lists.select("k", h.host_list_matches("wide", ["n120"], prefix=True).alias("one"), h.host_list_matches("wide", ["n29*7.site"]).alias("wild"), low.alias("ranges"))
+
+
 # Compression undoes the expansion; the ranges are chosen so that they cannot join.
 @query(
     "compress_hosts",

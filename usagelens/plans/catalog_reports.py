@@ -9,7 +9,7 @@ from usagelens.operators.filters import Criteria
 from usagelens.plans import inputs
 from usagelens.plans import oracle as o
 from usagelens.plans.catalog_jobs import IDS_SQL, RELATIVE_JOBS, ids, relative, sacct_mains, unsorted
-from usagelens.plans.catalog_time import LOAD_HOUR, TO, UPTIME, _BUCKETED, _load, load_by, profiles, uptime_lines
+from usagelens.plans.catalog_time import LOAD_HOUR, TO, UPTIME, _BUCKETED, _load, load_by, load_rollups, profiles, uptime_lines
 from usagelens.plans.driver_tables import EVENTS_START, samples
 from usagelens.plans.registry import ORACLE, query, rounded, sql_round
 
@@ -174,7 +174,7 @@ averages AS (SELECT host, {', '.join(f'coalesce(l30.r{a}, 0) AS {n}_recent, coal
 
 
 def averages(spark, d):
-    return glance.load_averages(load_by(spark, d, "half-hour"), load_by(spark, d, "half-day"))
+    return glance.load_averages(load_rollups(spark, d))
 
 
 @query("load_averages", _AVERAGES + " SELECT * FROM averages")

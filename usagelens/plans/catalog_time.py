@@ -49,6 +49,19 @@ def load_by(spark, d, unit, **kw):
     return ld.load(samples(spark, d), inputs.node_config(spark, d), inputs.static_config(spark, d), unit, criteria=ALL, tie=["event_id"], **kw)
 
 
+def load_rollups(spark, d, units=("half-hour", "half-day")):
+    return ld.load_rollups(samples(spark, d), inputs.node_config(spark, d), inputs.static_config(spark, d), units, criteria=ALL, tie=["event_id"])
+
+
+@query(
+    "load_rollups",
+    " UNION ALL ".join(f"SELECT '{u}' AS unit, * FROM ({_load(w)} SELECT * FROM loads)" for u, w in (("half-hour", 1800), ("half-day", 43200), ("day", 86400))),
+)
+def load_in_several_units(spark, d):
+    """Three units from one merge, against a fold of its own for each."""
+    return load_rollups(spark, d, ("half-hour", "half-day", "day"))
+
+
 @query("load", LOAD_HOUR + " SELECT * FROM loads")
 def load(spark, d):
     return load_by(spark, d, "hour")
