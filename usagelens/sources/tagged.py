@@ -136,26 +136,27 @@ def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) ->
 
 
 def tagged_fields(lines: DataFrame) -> DataFrame:
-    """``_line``, ``_f``: its fields with a name in reverse order, and ``_k``: their names.
-
-    A look-up is then a native search in a short array.
-    """
+    """``_line`` and its fields with a name, in reverse order: ``_k`` has their names, ``_v`` their values."""
     df = lines.select(F.col("value").alias("_line")).filter(F.trim("_line") != "")
     named = F.filter(split_fields(F.col("_line")), lambda x: F.instr(x, "=") > 1)
     df = computed_once(df, ["_line"], {"_f": F.reverse(named)})
-    return computed_once(df, ["_line", "_f"], {"_k": F.transform("_f", lambda x: F.substring_index(x, "=", 1))})
+    value = lambda x: F.substring(x, F.instr(x, "=") + 1, F.length(x))
+    return computed_once(df, ["_line"], {"_k": F.transform("_f", lambda x: F.substring_index(x, "=", 1)), "_v": F.transform("_f", value)})
 
 
-def tag(name: str) -> Column:
-    """Text of a field, NULL if absent; of a repeated name the last counts."""
-    at = F.array_position("_k", name)
-    return F.when(at > 0, F.expr(f"substring(_f[int(array_position(_k, '{name}')) - 1], {len(name) + 2})"))
+def tags_of(names: list[str]) -> Column:
+    """Texts of the named fields in this order, NULL where absent; of a repeated name the last counts.
+
+    One look-up over a list of names, not one expression for each: those make a method that is too long for the JVM to compile.
+    """
+    return F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.get("_v", F.array_position(F.col("_k"), n) - 1))
 
 
 def _parsed(lines: DataFrame, tags: list[tuple[str, str, str]], more: tuple[str, ...] = ()) -> DataFrame:
     """Columns of the tags, the texts of ``more`` fields as they are, and ``_bad``: names of unparseable fields."""
-    texts = {f"_t_{c}": tag(n) for n, c, _ in tags} | {n: tag(n) for n in more}
-    df = computed_once(tagged_fields(lines), ["_line"], texts)
+    texts = {f"_t_{c}": n for n, c, _ in tags} | {n: n for n in more}
+    found = computed_once(tagged_fields(lines), ["_line"], {"_texts": tags_of(list(texts.values()))})
+    df = found.select("_line", *[F.col("_texts")[i].alias(c) for i, c in enumerate(texts)])
     values = {c: PARSERS[kind](F.col(f"_t_{c}")) for _, c, kind in tags}
     df = computed_once(df, df.columns, values)
     bad = [F.when(F.col(f"_t_{c}").isNotNull() & F.col(c).isNull(), F.lit(n)) for n, c, kind in tags if kind != "text"]
