@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -105,3 +108,74 @@ def test_chain_edges(spark, corpus):
     assert toxicity.score(odd.limit(0), chain, NAMES).collect() == []
     assert toxicity.train(docs, labels.limit(0), categories()) == []
     assert {(r.p_toxic, r.toxic) for r in toxicity.score(odd, [], NAMES).collect()} == {(0.0, False)}
+
+
+def plain_features(text):
+    """Words in lower case, and the beginnings of longer ones, each once."""
+    found = set()
+    for word in re.findall(r"[a-z0-9]+", text.lower()):
+        found |= {word} | {(n, word[:n]) for n in (4, 5, 6) if len(word) > n}
+    return found
+
+
+def plain_probability(x):
+    return 1 / (1 + math.exp(-max(-30, min(30, x))))
+
+
+def plain_link(rows, extra, y, rounds=150, l1=2.0, rate=0.3):
+    """L1 logistic regression by loops over documents and their features."""
+    names = sorted(set().union(*rows), key=str)
+    w, gw = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1e-3)
+    e, ge = [0.0] * len(extra[0]), [1e-3] * len(extra[0])
+    b, gb = math.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5)), 1e-3
+    for _ in range(rounds):
+        slope, tilt, lift = dict.fromkeys(names, 0.0), [0.0] * len(e), 0.0
+        for row, x, target in zip(rows, extra, y):
+            error = plain_probability(sum(w[f] for f in row) + sum(p * q for p, q in zip(x, e)) + b) - target
+            lift += error
+            for f in row:
+                slope[f] += error
+            tilt = [g + p * error for g, p in zip(tilt, x)]
+        for f in names:
+            gw[f] += slope[f] ** 2
+            step = rate / math.sqrt(gw[f])
+            moved = w[f] - step * slope[f]
+            w[f] = math.copysign(max(abs(moved) - step * l1, 0.0), moved)
+        ge = [g + t * t for g, t in zip(ge, tilt)]
+        e = [v - rate * t / math.sqrt(g) for v, t, g in zip(e, tilt, ge)]
+        gb += lift * lift
+        b -= rate * lift / math.sqrt(gb)
+    return lambda row, x: plain_probability(sum(w.get(f, 0.0) for f in row) + sum(p * q for p, q in zip(x, e)) + b)
+
+
+def test_chain_equals_a_plain_one(spark):
+    """Same features, same folds, same steps: equal probabilities, also of a link that needs the one before it."""
+    rng = random.Random(7)
+    words = ["amber", "birches", "cat", "dunes", "evening", "fern", "gravelly", "harbours"]
+    docs, labels = [], []
+    for i in range(100, 190):
+        text = [rng.choice(words) for _ in range(rng.randrange(1, 9))]
+        low = rng.random() < 0.4
+        toxic = low and rng.random() < 0.8
+        docs.append((i, " ".join(text + ["Rubbishy"] * low + ["cat"] * toxic) + "!"))
+        labels.append((i, int(not low), int(toxic), "x"))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    chain = toxicity.train(table, spark.createDataFrame(labels, LABELS), categories(), bound=1000)
+    got = {r.doc_id: [r[f"p_{c}"] for c in NAMES] for r in toxicity.score(table, chain, NAMES).collect()}
+
+    rows = [plain_features(t) for _, t in docs]
+    counts = Counter(f for row in rows for f in row)
+    rows = [{f for f in row if counts[f] >= 8} for row in rows]
+    part = np.random.default_rng(1).integers(0, 4, len(rows))
+    fed, shown = [[] for _ in rows], [[] for _ in rows]
+    for y in ([1 - q for _, q, _, _ in labels], [t for _, _, t, _ in labels]):
+        unseen = [0.0] * len(rows)
+        for fold in range(4):
+            inside = [i for i in range(len(rows)) if part[i] != fold]
+            model = plain_link([rows[i] for i in inside], [fed[i] for i in inside], [y[i] for i in inside])
+            unseen = [model(rows[i], fed[i]) if part[i] == fold else u for i, u in enumerate(unseen)]
+        model = plain_link(rows, fed, y)
+        shown = [s + [model(r, s)] for r, s in zip(rows, shown)]
+        fed = [x + [u] for x, u in zip(fed, unseen)]
+    assert all(got[i] == pytest.approx(want, abs=1e-4) for (i, _), want in zip(docs, shown))
+    assert len({round(p[1], 3) for p in got.values()}) > 5

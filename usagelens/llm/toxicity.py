@@ -36,7 +36,7 @@ def present(raw: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.nda
 
 @dataclass
 class Link:
-    """A linear model: weights of the buckets that count, of the earlier categories' log-odds, and the bias."""
+    """A linear model: weights of the buckets that count, of the earlier categories' probabilities, and the bias."""
 
     buckets: np.ndarray
     weights: np.ndarray
@@ -102,7 +102,7 @@ def fit_chain(doc: np.ndarray, buckets: np.ndarray, targets: np.ndarray, folds:
 
     ``doc`` and ``buckets`` say which document (row of ``targets``) holds which bucket, each once.
 
-    A link is trained on the log-odds that earlier links give documents they were *not* trained on: of
+    A link is trained on the probabilities that earlier links give documents they were *not* trained on: of
     ``folds`` parts each is predicted by a model of the others.  The link that is kept is fitted on all.
     Buckets of fewer than ``least`` documents take no part.
     """
