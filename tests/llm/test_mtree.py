@@ -76,3 +76,38 @@ def test_few_rows_and_empty(spark):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(df, df).collect()} == brute(rows, rows, 5)
     assert mtree.top_k(df.limit(0), df.limit(0)).collect() == []
     assert mtree.top_k(df, df.limit(0)).collect() == []
+
+
+def searched(x, q, own, k):
+    """search_block against all products as Python integers; also the products it computed."""
+    u, where = np.unique(x, axis=0, return_inverse=True)
+    ids = [np.flatnonzero(where == i) for i in range(len(u))]
+    found = mtree.search_block(mtree.Tree(mtree.build(u), u, ids), q, own, k, together=50)
+    for n in range(len(q)):
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(q[n], v)), i) for i, v in enumerate(x) if i != own[n])[:k]
+        got = found[found["query"] == n]
+        assert list(zip((-got.score).tolist(), got.id.tolist(), strict=True)) == want
+    return found.computed.mean() / len(u)
+
+
+def test_blocks_of_queries_equal_all_products():
+    rng = np.random.default_rng(4)
+    flat = rng.integers(-3, 4, (900, 3))  # many ties and equal vectors
+    searched(flat, flat[:120], np.arange(120), 5)
+    wide = rng.integers(-9, 10, (700, 12)) * rng.integers(0, 60, (700, 1))  # norms that differ, zero vectors
+    searched(wide, wide[100:220], np.arange(100, 220), 7)
+    searched(wide[:4], wide[:4], np.arange(4), 5)
+
+
+def test_products_beyond_doubles_are_exact():
+    x = np.random.default_rng(5).integers(-(2**29), 2**29, (400, 4)) + 0
+    x[200:] = x[:200] + np.array([0, 0, 0, 1])  # scores that differ in their last digits
+    searched(x, x[:60], np.arange(60), 5)
+
+
+def test_metric_bound_spares_products_where_norms_agree():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 6000)] + rng.normal(scale=0.03, size=(6000, 16))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    assert searched(x, x[:100], np.arange(100), 5) < 0.3
