@@ -1,4 +1,5 @@
 import random
+import weakref
 
 import pytest
 from hypothesis import given, settings
@@ -136,3 +137,12 @@ def test_texts_are_encoded_alike_whatever_is_known():
         known.learn(cut)
         a, b = ps.encode(p, t, 4, known, cut), ps.encode(p, t, 4, blank)
         assert a[0].tolist() == b[0].tolist() and a[1] == b[1] and a[2] == b[2]
+
+
+def test_what_a_worker_knows_goes_with_its_vocabulary():
+    p = ps.Pieces({"a": 0, "b": 1, "ab": 2}, [-1.0, -1.5, -2.0], ["a", "b", "ab"], [], -20.0, 2)
+    p.known = ps.Memory(p)
+    p.known.look("ab")
+    held = weakref.ref(p.known)
+    del p
+    assert held() is None

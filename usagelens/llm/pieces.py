@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from heapq import heappop, heappush
 from itertools import chain
 from math import fsum
+from weakref import ref
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ class Pieces:
     cut: str = field(default="")
 
     def __post_init__(self):
+        #: What a worker has learned with this vocabulary; it goes with it.
+        self.known: Memory | None = None
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.plain = [n.replace(SPACE, " ") for n in self.names]
         #: The text of every piece but single bytes, which say something only together.
@@ -299,7 +302,11 @@ class Memory:
     """
 
     def __init__(self, p: Pieces, remembered: int | None = None):
-        self.p, self.new, self.old, self.several, self.remembered = p, {}, {}, {}, REMEMBERED if remembered is None else remembered
+        self._p, self.new, self.old, self.several, self.remembered = ref(p), {}, {}, {}, REMEMBERED if remembered is None else remembered
+
+    @property
+    def p(self) -> Pieces:
+        return self._p()
 
     def learn(self, segments: Iterable[str]) -> None:
         """Finds what look() says of segments that it does not know yet, many at a time."""
@@ -339,7 +346,6 @@ class Memory:
 NEVER = 1e300
 #: Two scores that differ by less may be sums of the same numbers in another order.
 TIE = 1e-6
-_MEMORY: dict[int, Memory] = {}
 
 
 def segments_of(p: Pieces, text: str | None) -> list[str]:
@@ -436,10 +442,10 @@ def encode_documents(docs: DataFrame, text: str = "text", n: int = 4, model: str
 
     def encoded(batches):
         p = shared.value
-        memory = _MEMORY.get(id(p))
-        if memory is None:  # a worker keeps what it knows from task to task
-            _MEMORY.clear()
-            memory = _MEMORY[id(p)] = Memory(p, remembered)
+        if p.known is None:
+            p.known = Memory(p, remembered)
+        # A worker keeps what it knows from task to task, until Spark takes the vocabulary from it for tasks without it.
+        memory = p.known
         for whole in batches:
             for b in _shares(whole, text):
                 bests, alternatives, sounds = [], [], []
