@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,38 +139,57 @@ def expand_hosts(df: DataFrame, col: str, out: str = "host", most: int = MOST_HO
     return blocks.withColumn(out, F.explode(texts)).drop("_parts", "_size", "_at")
 
 
-def _digit_runs(s: Column) -> Column:
-    """A range of numbers as texts of digits and digit classes, at most two for each place of each length.
-
-    A run is a head, a class for the next digit and any digits after it: 27 to 1234 gives 2[7-9], [3-9]d, [1-9]dd, 1[0-1]dd, ...
-    """
-    tens = F.array(*[F.lit(10**k).cast("bigint") for k in range(DIGITS + 1)])
-    quotient = lambda x, y: F.try_divide((x - x % y).cast("decimal(20,0)"), y.cast("decimal(20,0)")).cast("bigint")
-
-    def length(n: Column) -> Column:
-        return F.length(n.cast("string"))
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def of_place(lo: Column, hi: Column, k: Column, top: Column) -> Column:
-        """Whole blocks of 10^k numbers whose block of 10^(k+1) is not whole, all whole blocks of the first digit."""
-        one, ten = F.element_at(tens, k + 1), F.element_at(tens, k + 2)
-        up = lambda n, y: quotient(n + y - 1, y)
-        first, end = up(lo, one), quotient(hi + 1, one)
-        below = F.when(top, end).otherwise(F.least(end, up(lo, ten) * 10))
-        above = F.greatest(quotient(hi + 1, ten) * 10, below, first)
 
-        def run(x: Column, y: Column) -> Column:
-            head = F.when(x >= 10, quotient(x, F.lit(10)).cast("string")).otherwise("")
-            symbol = F.substring(F.lit(_CLASSES), x % 10 * 10 + (y - 1) % 10 + 1, F.lit(1))
-            return F.when(x < y, F.concat(head, symbol, F.repeat(F.lit(_CLASSES[9]), k)))
-
-        return F.array(run(first, below), run(above, end))
+def _digit_runs(s: Column) -> Column:
+    """A range of numbers as texts of digits and digit classes, at most two for each place of its shortest and longest numbers.
 
-    def of_length(n: Column) -> Column:
-        lo = F.greatest(s.lo, F.when(n == 1, 0).otherwise(F.element_at(tens, n)).cast("bigint"))
-        hi = F.least(s.hi, F.element_at(tens, n + 1) - 1)
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: of_place(lo, hi, k, k == n - 1)))
+    A run is a head, a class for the next digit and any digits after it: 27 to 1234 gives [3-9]d, 2[7-9], [1-9]dd, 1[0-1]dd, ...
+    Decided on the digits as text; lengths between those of both ends are one run each.
+    """
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(length(s.lo), length(s.hi)), of_length)))
+    def run(head: Column, x: Column, y: Column, left: Column) -> Column:
+        text = F.concat(head, F.substring(F.lit(_CLASSES), x * 10 + y + 1, F.lit(1)), F.repeat(F.lit(_CLASSES[9]), left))
+        return F.when(x <= y, text)
+
+    def of_place(e: Column, j: Column) -> Column:
+        """What both ends share up to place j has one run, later places one below and one above."""
+        digit = lambda text: F.substring(text, j + 1, F.lit(1)).cast("int")
+        # An end's digit is left out of the class if its own tail is not a whole block.
+        first = digit(e.lo) + (j < e.zeros - 1).cast("int")
+        final = digit(e.hi) - (j < e.nines - 1).cast("int")
+        left = e.n - j - 1
+        below = F.when(j < e.zeros, run(F.substring(e.lo, F.lit(1), j), first, F.lit(9), left))
+        above = F.when(j < e.nines, run(F.substring(e.hi, F.lit(1), j), F.lit(0), final, left))
+        return F.when(j > e.same, F.array(below, above)).otherwise(F.array(run(F.substring(e.lo, F.lit(1), j), first, final, left)))
+
+    def of_length(n: Column, lo: Column, hi: Column) -> Column:
+        """Numbers of n digits: from ``lo``, or the least, to ``hi``, or the greatest."""
+        low = F.when(n == F.length(lo), lo).otherwise(F.rpad(F.lit("1"), n, F.lit("0")))
+        high = F.when(n == F.length(hi), hi).otherwise(F.repeat(F.lit("9"), n))
+
+        def same(t: Column) -> Column:
+            equal = F.filter(F.sequence(F.lit(1), n - 1), lambda j: F.substring(t.lo, F.lit(1), j) == F.substring(t.hi, F.lit(1), j))
+            return F.when(n > 1, F.size(equal)).otherwise(0)
+
+        def ends(t: Column) -> Column:
+            # Digits up to the last that is not 0 below, not 9 above; how many leading digits are the same, the last never counted.
+            zeros, nines = F.length(F.rtrim(t.lo, F.lit("0"))), F.length(F.rtrim(t.hi, F.lit("9")))
+            return F.struct(t.lo.alias("lo"), t.hi.alias("hi"), n.alias("n"), zeros.alias("zeros"), nines.alias("nines"), same(t).alias("same"))
+
+        places = lambda e: F.flatten(F.transform(F.sequence(e.same, n - 1), lambda j: of_place(e, j)))
+        some = _bind(F.struct(low.alias("lo"), high.alias("hi")), lambda t: _bind(ends(t), places))
+        between = (n > F.length(lo)) & (n < F.length(hi))
+        return F.when(between, F.array(F.concat(F.lit(_CLASSES[19]), F.repeat(F.lit(_CLASSES[9]), n - 1)))).otherwise(some)
+
+    def all_lengths(t: Column) -> Column:
+        lengths = F.sequence(F.length(t.lo), F.length(t.hi))
+        return F.array_compact(F.flatten(F.transform(lengths, lambda n: of_length(n, t.lo, t.hi))))
+
+    return _bind(F.struct(s.lo.cast("string").alias("lo"), s.hi.cast("string").alias("hi")), all_lengths)
 
 
 def host_list_matches(c: Column | str, patterns: list[str], prefix: bool = False) -> Column:
