@@ -152,3 +152,15 @@ def test_heatmap_clamps(spark):
     assert got == {(0, 9): 2, (0, 1): 1, (1, 9): 1}
 
 
+
+
+def test_streams_are_dealt_out_once_and_before_any_sort(spark, sf_dir):
+    """A scan may be one task over a whole table: it must not sort it."""
+    from usagelens.operators.streams import clean_streams
+    from usagelens.plans.driver_tables import samples
+
+    plan = clean_streams(samples(spark, sf_dir), ["event_id"])._jdf.queryExecution().sparkPlan().toString()
+    whole = clean_streams(samples(spark, sf_dir), ["event_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and whole.count("Exchange") == 1
+    below = whole[whole.index("Exchange") :]
+    assert "Sort" not in below and "WindowGroupLimit" not in below

@@ -26,12 +26,16 @@ def stream_key(samples: DataFrame) -> DataFrame:
 
 
 def dedup_streams(samples: DataFrame, tie: list[str] | None = None) -> DataFrame:
-    """One row per (stream, time).  ``tie`` orders rows of equal time; by default all other columns do."""
+    """One row per (stream, time).  ``tie`` orders rows of equal time; by default all other columns do.
+
+    Rows are dealt out by stream before they are sorted, as a scan may be one task however large its file is.  The windows
+    of :func:`cpu_util` find them dealt that way already.
+    """
     df = samples if "stream_id" in samples.columns else stream_key(samples)
     key = [*STREAM, "t"]
     order = tie or [c for c in df.columns if c not in key]
     w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return df.repartition(*STREAM).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def cpu_util(streams: DataFrame) -> DataFrame:
