@@ -176,3 +176,17 @@ def test_wide_host_lists_are_matched_quickly(spark):
     assert lists.filter(h.host_list_matches("v", ["n120"], prefix=True)).count() == 120 * 121
     # 22 s on one task when the places were decided by decimal division.
     assert time.monotonic() - start < 12
+
+
+def test_compress_hosts_deals_out_by_family_once(spark, sf_dir):
+    rows = [(1, "n3"), (1, "n3"), (1, "n4"), (1, "n4"), (1, "m.x"), (1, "m.x"), (None, "n7"), (None, "n7")]
+    out = h.compress_hosts(spark.createDataFrame(rows, "k int, host string"), ["k"])
+    assert dict(out.collect()) == {1: "m.x,n[3-4]", None: "n7"}
+    # By family, and the names by key.
+    plan = h.compress_hosts(spark.range(9).selectExpr("id AS k", "'n1' AS host"), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2
+
+    from usagelens.plans.catalog_functions import compress_hosts
+
+    # No fixed number of partitions, so that a task does not grow with the tables.
+    assert "REPARTITION_BY_NUM" not in compress_hosts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

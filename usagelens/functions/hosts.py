@@ -206,8 +206,9 @@ def compress_hosts(df: DataFrame, keys: list[str], host: str = "host", out: str
     """Compressed text of the distinct hosts of each key, names in text order.
 
     Names fall into families (prefix, text after the number, domain); a family's numbers become ranges
-    by gaps and islands.  Everything up to the last step works on (key, family, number) rows, so no task
-    holds more than one family's window and the lists built at the end are those of the result.
+    by gaps and islands.  Everything up to the last step works on (key, family, number) rows, which are dealt out
+    by family once, so that what a task holds follows the size of a shuffle partition and not of a part of the
+    input; the lists built at the end are those of the result.
     """
     pattern = r"^(.*?)(\d+)(\D*)$"
     names = df.select(*keys, F.col(host).alias("_h"))
@@ -225,8 +226,8 @@ def compress_hosts(df: DataFrame, keys: list[str], host: str = "host", out: str
     )
     family = [*keys, "_pre", "_post", "_dom"]
     w = Window.partitionBy(*family).orderBy("_n")
-    parts = parts.dropDuplicates([*family, "_n"])
-    islands = parts.withColumn("_island", F.col("_n") - F.row_number().over(w))
+    # A host that occurs twice has the same rank, so it needs no step of its own.
+    islands = parts.repartition(*family).withColumn("_island", F.col("_n") - F.dense_rank().over(w))
     spans = islands.groupBy(*family, "_island").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
     text = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo").cast("string")).otherwise(
         F.concat_ws("-", F.col("_lo").cast("string"), F.col("_hi").cast("string"))

@@ -83,7 +83,8 @@ def match_host_lists(spark, d):
 )
 def compress_hosts(spark, d):
     expanded = h.expand_hosts(host_lists(spark, d), "nodes")
-    shuffled = expanded.repartition(7, F.hash("host"))
+    # Hosts of a list come from several partitions, whose number follows the rows.
+    shuffled = expanded.repartition("k", "host")
     return h.compress_hosts(shuffled, ["k"])
 
 
