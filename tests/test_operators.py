@@ -164,3 +164,13 @@ def test_streams_are_dealt_out_once_and_before_any_sort(spark, sf_dir):
     assert "Window" in plan and whole.count("Exchange") == 1
     below = whole[whole.index("Exchange") :]
     assert "Sort" not in below and "WindowGroupLimit" not in below
+
+
+def test_accounting_records_are_dealt_out_once_and_before_any_sort(spark, sf_dir):
+    from usagelens.operators.accounting import sacct_dedup, sacct_jobs
+    from usagelens.plans.inputs import sacct
+
+    plan = sacct_jobs(sacct_dedup(sacct(spark, sf_dir)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    below = plan[plan.index("Exchange") :]
+    assert "Sort" not in below and "WindowGroupLimit" not in below

@@ -19,13 +19,14 @@ def state_rank(c: Column) -> Column:
 def sacct_dedup(sacct: DataFrame) -> DataFrame:
     """Per (job, step) the latest record, of equally late ones the most final.
 
-    Spark keeps one row per key before the shuffle, so many copies of one record do no harm.
+    Records are dealt out by job before they are sorted, as a scan may be one task over a whole table; the grouping of
+    :func:`sacct_jobs` finds them dealt that way already.
     """
     rest = [c for c in sacct.columns if c not in ("job_id", "job_step", "t", "state")]
     w = Window.partitionBy("job_id", "job_step").orderBy(
         F.col("t").desc(), state_rank(F.col("state")).desc(), "state", *rest
     )
-    return sacct.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return sacct.repartition("job_id").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def sacct_jobs(records: DataFrame) -> DataFrame:
