@@ -146,3 +146,12 @@ def test_what_a_worker_knows_goes_with_its_vocabulary():
     held = weakref.ref(p.known)
     del p
     assert held() is None
+
+
+def test_remembered_ids_are_packed():
+    p = ps.Pieces({"a": 0, "b": 1, "ab": 2}, [-1.0, -1.5, -2.0], ["a", "b", "ab"], [], -20.0, 2)
+    memory = ps.Memory(p)
+    memory.learn(["ab"])
+    memory.look("ba")
+    assert {x: len(ids) // ps.ID_BYTES for x, (ids, *_) in memory.new.items()} == {"ab": 1, "ba": 2}
+    assert ps.encode(p, "", 2, memory)[0].tolist() == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
@@ -236,8 +237,16 @@ def _arcs(p: Pieces, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np
     return first, first + length, np.where(ids >= 0, p.values[ids], p.unknown * n_bytes), ids
 
 
-def _scored(p: Pieces, segments: list[str]) -> dict[str, tuple[tuple[int, ...], float, float, bool]]:
-    """What Memory.look() says of each segment: best_and_loss() for all of them at once, place by place."""
+#: Ids that are remembered are the bytes of 32-bit numbers, so that those of a text are joined at once.
+ID_BYTES = 4
+
+
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def _scored(p: Pieces, segments: list[str], packed: bool = False) -> dict[str, tuple[tuple[int, ...] | bytes, float, float, bool]]:
+    """What Memory.look() says of each segment, ids as such unless ``packed``: best_and_loss() for all of them at once, place by place."""
     if not segments:
         return {}
     code = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -283,20 +292,21 @@ def _scored(p: Pieces, segments: list[str]) -> dict[str, tuple[tuple[int, ...],
     bare = np.zeros(len(segments), bool)
     bare[of[path & (ids < 0)]] = True
     out = {}
+    raw = chosen.astype(np.int32).tobytes()
     chosen, texts = chosen.tolist(), p.texts
     for x, a, b, total, lost, alone in zip(segments, edges, edges[1:], best.tolist(), loss.tolist(), bare.tolist(), strict=False):
-        own = tuple(chosen[a:b])
+        own, kept = chosen[a:b], raw[ID_BYTES * a : ID_BYTES * b]
         if lost < TIE and not alone:
             (total, own), (other, _) = n_best(p, x, 2)
-            lost = total - other
+            lost, kept = total - other, _packed(own)
         # Single bytes, and a hash that spoke of another piece, are left to the plain way.
         if not alone and "".join([texts[i] or "" for i in own]) == x:
-            out[x] = (own, total, lost, True)
+            out[x] = (kept if packed else tuple(own), total, lost, True)
     return out
 
 
 class Memory:
-    """What a worker knows of segments: ids and score of the best segmentation, loss of the next, does it decode.
+    """What a worker knows of segments: ids (as bytes) and score of the best segmentation, loss of the next, does it decode.
 
     Bounded: when as many as ``remembered`` are new, those from before are forgotten unless they were used again.
     """
@@ -321,14 +331,14 @@ class Memory:
                     some.append(x)
             if len(self.new) + len(some) > self.remembered:
                 self.new, self.old = {}, self.new
-            self.new.update(_scored(self.p, some))
+            self.new.update(_scored(self.p, some, packed=True))
 
-    def look(self, segment: str) -> tuple[tuple[int, ...], float, float, bool]:
+    def look(self, segment: str) -> tuple[bytes, float, float, bool]:
         got = self.old.get(segment)
         if got is None:
             ids, score, loss = best_and_loss(self.p, segment)
             texts = [self.p.texts[i] for i in ids]
-            got = (ids, score, loss, "".join(texts) == segment if None not in texts else decode(self.p, ids, first=False) == segment)
+            got = (_packed(ids), score, loss, "".join(texts) == segment if None not in texts else decode(self.p, ids, first=False) == segment)
         if len(self.new) >= self.remembered:
             self.new, self.old = {}, self.new
         self.new[segment] = got
@@ -363,10 +373,11 @@ def encode(p: Pieces, text: str, n: int, memory: Memory, segments: list[str] | N
     segments = segments_of(p, text) if segments is None else segments
     look = memory.look
     found = [got or look(s) for got, s in zip(map(memory.new.get, segments), segments, strict=True)]
-    best = np.fromiter(chain.from_iterable([f[0] for f in found]), np.int32)
-    total = fsum([f[1] for f in found])
-    losses = np.array([f[2] for f in found])
-    sound = all([f[3] for f in found]) and (not text or "".join(segments) == " " + text)
+    packed, scores, lost, sounds = zip(*found, strict=True) if found else ((), (), (), ())
+    best = np.frombuffer(b"".join(packed), np.int32)
+    total = fsum(scores)
+    losses = np.array(lost)
+    sound = all(sounds) and (not text or "".join(segments) == " " + text)
     open_: list[int] = []
     if n > 1 and len(losses):
         limit = np.partition(losses, n - 2)[n - 2] if len(losses) >= n else np.inf
@@ -374,13 +385,14 @@ def encode(p: Pieces, text: str, n: int, memory: Memory, segments: list[str] | N
         open_ = sorted(near[np.argsort(losses[near], kind="stable")][: n - 1].tolist())
         open_ = [i for i in open_ if losses[i] < NEVER]
     few = [memory.best_few(segments[i], n) for i in open_]
-    ends = np.cumsum([len(f[0]) for f in found]) if open_ else []
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // ID_BYTES
+    ends = np.cumsum(sizes) if open_ else []
     # Combinations: (loss, choice of each open segment), grown from the last changed segment on.
     queue = [(0.0, (0,) * len(open_), 0)]
     out = []
     while queue and len(out) < n:
         loss, choice, last = heappop(queue)
-        changes = [(int(ends[i]) - len(found[i][0]), len(found[i][0]), r[c][1]) for i, r, c in zip(open_, few, choice, strict=True) if c]
+        changes = [(int(ends[i] - sizes[i]), int(sizes[i]), r[c][1]) for i, r, c in zip(open_, few, choice, strict=True) if c]
         out.append((total - loss, changes))
         for j in range(last, len(open_)):
             c = choice[j] + 1
