@@ -118,3 +118,60 @@ def test_spans_null_keys_repeats_and_empty(spark):
         [("1", 0, [], t.encode()), ("1", 0, [], t.encode()), ("2", 60, [(1, 61)], b"xy"), ("None", 0, [], t.encode()), ("3", 0, [], b"")]
     )
     assert bwt.repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@given(st.lists(st.text("abc", min_size=50, max_size=130), min_size=1, max_size=10, unique=True), st.integers(1, 5))
+@settings(max_examples=40, deadline=None)
+def test_runs_of_symbols_merge_as_single_ones(texts, n_shards):
+    """A merge by five symbols a round takes a fifth of the rounds and draws the same lines as one by single symbols."""
+    pieces = [t.encode() for t in texts]
+    parts = [bwt.joined(pieces[i::n_shards]) for i in range(min(n_shards, len(pieces)))]
+    whole = [bwt.Shard(*p[:3]) for p in parts]
+    near = [bwt.Shard(*p[:3], depth=50) for p in parts]
+    lasts, step = bwt.runs_before(near, [p[1] for p in parts], 50)
+    assert step == 5
+    merged, common = bwt.interleaved(lasts, 10)
+    alone, single = bwt.interleaved([s.last for s in whole], 50)
+    lines = np.flatnonzero(common < 10)
+    assert lines.tolist() == np.flatnonzero(single < 50).tolist()
+    # Places that are equal in fifty symbols have no order.
+    assert [sorted(x.tolist()) for x in np.split(merged, lines)] == [sorted(x.tolist()) for x in np.split(alone, lines)]
+
+
+def test_runs_of_symbols_fit_16_bits():
+    rng = np.random.default_rng(1)
+    parts = [bwt.joined([rng.integers(0, 255, 90_000, np.uint8).tobytes()])]
+    shards = [bwt.Shard(*p[:3], depth=50) for p in parts]
+    lasts, step = bwt.runs_before(shards, [p[1] for p in parts], 50)
+    assert step == 2 and lasts[0].dtype == np.uint16
+
+
+def test_texts_are_cut_into_pieces_once(spark, monkeypatch):
+    """The minimizers of a text were found three times: for sums, for the rows that these choose from, and for the places."""
+    calls = spark.sparkContext.accumulator(0)
+    real = bwt.minimizers
+
+    def counted(*a):
+        calls.add(1)
+        return real(*a)
+
+    monkeypatch.setattr(bwt, "minimizers", counted)
+    docs = corpus(5)
+    assert rows_of(bwt.repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs, 50)
+    assert 0 < calls.value <= sum(len((t or "").encode()) >= 50 for _, t in docs)
+
+
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3)), max_size=40), st.lists(st.integers(1, 6), min_size=1, max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_rows_of_marks_that_two_documents_have(rows, sizes):
+    """Wherever the batches end, and however long a run of one mark is."""
+    import pyarrow as pa
+
+    rows = sorted(rows)
+    whole = pa.RecordBatch.from_pydict({"doc": pa.array([d for _, d in rows], pa.int64()), "mark": pa.array([m for m, _ in rows], pa.int64())})
+    batches, at = [], 0
+    for n in sizes * 40:
+        batches.append(whole.slice(at, n))
+        at += n
+    got = [(r["mark"], r["doc"]) for b in bwt._of_two(iter(batches)) for r in b.to_pylist()]
+    assert got == [r for r in rows if len({d for m, d in rows if m == r[0]}) > 1]

@@ -22,10 +22,11 @@ STEP = {
 
 
 @contextmanager
-def step_settings(spark: SparkSession):
+def step_settings(spark: SparkSession, **more: str):
     """The settings of STEP, and those from before afterwards."""
-    before = {k: spark.conf.get(k, None) for k in STEP}
-    for k, v in STEP.items():
+    settings = STEP | {f"spark.sql.execution.arrow.{k}": v for k, v in more.items()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -56,17 +57,18 @@ def scratch(spark: SparkSession):
             _remove(spark, path)
 
 
-def written(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, purpose: str, keep: bool = False, records: int = 1000) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: later steps read it, also after a lost executor.
 
-    ``keep`` lets the table outlive the innermost scratch block; it goes with the next one around it.
+    ``keep`` lets the table outlive the innermost scratch block; it goes with the next one around it.  ``records`` is for rows of
+    numbers: so many go to Python at once, within the bytes of STEP.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     holders = _open[:-1] if keep else _open
     if holders:
         holders[-1].append(path)
-    with step_settings(spark):
+    with step_settings(spark, maxRecordsPerBatch=str(records)):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
