@@ -155,3 +155,16 @@ def test_remembered_ids_are_packed():
     memory.look("ba")
     assert {x: len(ids) // ps.ID_BYTES for x, (ids, *_) in memory.new.items()} == {"ab": 1, "ba": 2}
     assert ps.encode(p, "", 2, memory)[0].tolist() == []
+
+
+def test_rows_are_encoded_in_small_shares():
+    """What a worker makes of a share is many times its texts, so a share is a million bytes at most, or one row."""
+    import pyarrow as pa
+
+    from usagelens.llm import pieces
+
+    texts = ["a" * 300_000, None, "b" * 300_000, "c" * 300_000, "d" * 300_000, "e" * 3_000_000, "f"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    shares = [b.column("text").to_pylist() for b in pieces._shares(batch, "text")]
+    assert [x for s in shares for x in s] == texts
+    assert all(len(s) == 1 or sum(len(x or "") for x in s) <= 1_000_000 for s in shares)

@@ -23,7 +23,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 400_000
 LOST = -1e18
 #: Segments of up to so many characters are scored together, in arrays for so many of them at a time; longer ones alone.
-TOGETHER, AT_ONCE = 64, 20_000
+TOGETHER, AT_ONCE = 64, 5_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -418,11 +418,11 @@ def decode(p: Pieces, ids, first: bool = True) -> str:
 
 
 def _shares(batch: pa.RecordBatch, text: str):
-    """Runs of at most 512 rows whose texts have at most four million bytes together, or one row."""
+    """Runs of at most 512 rows whose texts have at most a million bytes together, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     first, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > first and (i - first == 512 or total + n > 4_000_000):
+        if i > first and (i - first == 512 or total + n > 1_000_000):
             yield batch.slice(first, i - first)
             first, total = i, 0
         total += n
