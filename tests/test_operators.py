@@ -174,3 +174,24 @@ def test_accounting_records_are_dealt_out_once_and_before_any_sort(spark, sf_dir
     assert plan.count("Exchange") == 1
     below = plan[plan.index("Exchange") :]
     assert "Sort" not in below and "WindowGroupLimit" not in below
+
+
+def test_names_meet_a_job_and_not_its_steps(spark, sf_dir):
+    """A job's names grow with its users, so summing up its steps must not sort a copy of them for every step."""
+    from __spark_entry__ import queries
+
+    shared = ["filter_job_aggregates", "filter_job_flags", "top_commands", "top_jobs_per_user", "user_load_by_command", "user_total_load", "users_jobs_by_host"]
+    for name in [*shared, "job_zombie", "job_aggregate", "job_times", "job_liveness"]:
+        plan = queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(f"first({c}#" in plan for c in ("user", "cmd", "hosts")), name
+
+
+def test_names_of_a_job_are_those_of_its_steps(spark):
+    rows = [sample(host=f"h{h}", job=j, epoch=e, pid=1000 + 10 * j + h, user=f"u{h}{j}", cmd=f"c{h}", t=t) for h in (1, 2) for j in (0, 7, 8) for e in [j % 2] for t in (0, 300)]
+    s = clean_streams(frame(spark, rows))
+    for how in ("epoch", "all", "none"):
+        apart = jobs.job_aggregate(jobs.merge_jobs(s, how, names=False), jobs.job_names(s, how))
+        along = jobs.job_aggregate(jobs.merge_jobs(s, how))
+        assert apart.columns == along.columns
+        order = ["job", "host", "solo"]
+        assert apart.orderBy(*order).collect() == along.orderBy(*order).collect()

@@ -18,17 +18,18 @@ from usagelens.operators.filters import (
     filter_job_flags,
     sacct_condition,
 )
-from usagelens.operators.merge import JOB_KEY, merge_by_epoch, merge_by_host_job, merge_by_job
+from usagelens.operators.merge import JOB_KEY, across_hosts, job_names, merge_by_epoch, merge_by_host_job, merge_by_job, with_job_names
 from usagelens.operators.streams import clean_streams, host_bounds
 
 KB_PER_GB = 1 << 20
 
 
-def job_aggregate(merged: DataFrame) -> DataFrame:
+def job_aggregate(merged: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Averages and peaks over a job's merged steps, sums of counters, first and last time: one aggregation.
 
     CPU time and I/O are cumulative in the samples and are summed over the steps; the usage reports build
-    on that.
+    on that.  With ``names`` (of :func:`job_names`) steps need none: a job's names meet its one row here.  Without, the steps'
+    own are taken; Spark sorts the steps for that, each with all names of its job.
     """
     kb = 1.0 / KB_PER_GB
 
@@ -53,11 +54,12 @@ def job_aggregate(merged: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_samples"),
         F.min("t").alias("first"),
         F.max("t").alias("last"),
-        F.first("user").alias("user"),
-        F.first("cmd").alias("cmd"),
-        F.first("hosts").alias("hosts"),
     ]
-    out = merged.groupBy(*JOB_KEY).agg(*aggs)
+    if names is None:
+        out = merged.groupBy(*JOB_KEY).agg(*aggs, *[F.first(c).alias(c) for c in ("user", "cmd", "hosts")])
+    else:
+        out = merged.groupBy(*JOB_KEY).agg(*aggs)
+        out = with_job_names(out, names).select(*out.columns, "user", "cmd", "hosts")
     return out.withColumn("read_gb", kb_to_gb("read_kb")).withColumn("written_gb", kb_to_gb("written_kb"))
 
 
@@ -143,9 +145,9 @@ def job_relative(jobs: DataFrame, node_config: DataFrame, static: DataFrame | No
     return df.withColumns(added).drop(*CAPACITY)
 
 
-def merge_jobs(streams: DataFrame, merge: str) -> DataFrame:
+def merge_jobs(streams: DataFrame, merge: str, names: bool = True) -> DataFrame:
     """``merge`` is ``epoch`` (default of the reports), ``all`` hosts or ``none``."""
-    return {"epoch": merge_by_epoch, "all": merge_by_job, "none": merge_by_host_job}[merge](streams)
+    return {"epoch": merge_by_epoch, "all": merge_by_job, "none": merge_by_host_job}[merge](streams, names)
 
 
 def jobs(
@@ -171,7 +173,7 @@ def jobs(
     streams = clean_streams(apply_criteria(samples, criteria), tie)
     if node_config is not None:
         streams = drop_unconfigured(streams, node_config, static)
-    out = job_zombie(job_times(job_aggregate(merge_jobs(streams, merge))))
+    out = job_zombie(job_times(job_aggregate(merge_jobs(streams, merge, names=False), job_names(streams, merge))))
     out = job_liveness(out, host_bounds(samples))
     if node_config is not None:
         out = job_relative(out, node_config, static)
@@ -194,8 +196,7 @@ def synth_accounting(jobs_df: DataFrame, streams: DataFrame, merge: str = "epoch
     """An accounting record for every job, made from its samples: per task first, then per job."""
     from usagelens.operators.merge import _job_keyed
 
-    across = {"epoch": F.col("stream_epoch") == 0, "all": F.lit(True), "none": F.lit(False)}[merge]
-    keyed = _job_keyed(streams, across)
+    keyed = _job_keyed(streams, across_hosts(merge))
     task_key = ["merge_host", "job", "solo", "host", "stream_id", "cmd"]
     tasks = keyed.groupBy(*task_key).agg(
         F.max_by("cputime_sec", "t").alias("_cpu"),

@@ -242,18 +242,26 @@ def _same(a: DataFrame, b: DataFrame, columns: list[str], names: dict[str, str])
     return out
 
 
-def _described(merged: DataFrame, streams: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds names and hosts of each group: an aggregate of their own over the streams' first rows, with a map-side combine.
-
-    It meets the steps after the last sum, one row a group, so no row before carries names and no window spans a group.
-    """
-    names = streams.filter("is_first").groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
+def _names(streams: DataFrame, keys: list[str]) -> DataFrame:
+    """Names and hosts of each group: an aggregate of their own over the streams' first rows, with a map-side combine."""
+    return streams.filter("is_first").groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
         F.array_join(F.array_sort(F.collect_set("cmd")), ",").alias("cmd"),
         F.array_join(F.array_sort(F.collect_set("stream_user")), ",").alias("user"),
         F.array_sort(F.collect_set("host")).alias("hosts"),
     )
-    on = _same(merged, names, keys, {k: f"_of_{k}" for k in keys})
-    return merged.join(names, on, "left").select(*merged.columns, "cmd", "user", "hosts")
+
+
+def _described(merged: DataFrame, streams: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds names and hosts of each group.
+
+    They meet the steps after the last sum, one row a group, so no row before carries names and no window spans a group.
+    """
+    return _with_names(merged, _names(streams, keys), keys)
+
+
+def _with_names(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    on = _same(rows, names, keys, {k: f"_of_{k}" for k in keys})
+    return rows.join(names, on, "left").select(*rows.columns, "cmd", "user", "hosts")
 
 
 def _solo() -> Column:
@@ -274,25 +282,45 @@ def _job_keyed(streams: DataFrame, across: Column) -> DataFrame:
     )
 
 
-def _merge_jobs(streams: DataFrame, across: Column, blocks: bool = False) -> DataFrame:
-    keyed = _job_keyed(streams, across)
-    merged = merge_streams(keyed, ["merge_host", "job", "solo"], describe=True, single="solo", blocks=blocks)
+def across_hosts(merge: str) -> Column:
+    """Which streams are merged across hosts: jobs of ``epoch`` 0 (IDs of the batch system), ``all`` or ``none``."""
+    return {"epoch": F.col("stream_epoch") == 0, "all": F.lit(True), "none": F.lit(False)}[merge]
+
+
+def _merge_jobs(streams: DataFrame, merge: str, names: bool) -> DataFrame:
+    keyed = _job_keyed(streams, across_hosts(merge))
+    merged = merge_streams(keyed, ["merge_host", "job", "solo"], describe=names, single="solo", blocks=merge != "none")
     return merged.withColumnRenamed("merge_host", "host")
 
 
-def merge_by_host_job(streams: DataFrame) -> DataFrame:
-    """One series per (host, job); streams without a job pass through."""
-    return _merge_jobs(streams, F.lit(False))
+def job_names(streams: DataFrame, merge: str = "epoch") -> DataFrame:
+    """``cmd``, ``user`` and ``hosts`` of each merged job, one row a job; :func:`with_job_names` attaches them."""
+    keyed = _job_keyed(streams, across_hosts(merge))
+    return _names(keyed, ["merge_host", "job", "solo"]).withColumnRenamed("_of_merge_host", "_of_host")
+
+
+def with_job_names(jobs: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows by job (``JOB_KEY``) with the names of :func:`job_names`."""
+    return _with_names(jobs, names, JOB_KEY)
+
+
+def merge_by_host_job(streams: DataFrame, names: bool = True) -> DataFrame:
+    """One series per (host, job); streams without a job pass through.
+
+    Without ``names`` steps have no ``cmd``, ``user`` and ``hosts``: a job's list of users may be long, and what sums the
+    steps up should not sort it once a step (see :func:`job_names`).
+    """
+    return _merge_jobs(streams, "none", names)
 
 
-def merge_by_job(streams: DataFrame) -> DataFrame:
+def merge_by_job(streams: DataFrame, names: bool = True) -> DataFrame:
     """One series per job over all its hosts; ``host`` is NULL and ``hosts`` has the set."""
-    return _merge_jobs(streams, F.lit(True), blocks=True)
+    return _merge_jobs(streams, "all", names)
 
 
-def merge_by_epoch(streams: DataFrame) -> DataFrame:
+def merge_by_epoch(streams: DataFrame, names: bool = True) -> DataFrame:
     """Jobs whose ID the batch system gave (epoch 0) over all hosts, others per host."""
-    return _merge_jobs(streams, F.col("stream_epoch") == 0, blocks=True)
+    return _merge_jobs(streams, "epoch", names)
 
 
 def merge_by_host(streams: DataFrame) -> DataFrame:

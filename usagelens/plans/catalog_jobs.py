@@ -38,14 +38,18 @@ def unsorted(spark, d, **kw):
     return summaries(spark, d, sort=False, **kw)
 
 
+def aggregated(clean_rows):
+    return j.job_aggregate(merge.merge_by_epoch(clean_rows, names=False), merge.job_names(clean_rows))
+
+
 @query("job_aggregate", o.JOBS + f" SELECT {JOB_SQL}, first, last FROM jobs")
 def job_aggregate(spark, d):
-    return job_view(j.job_aggregate(merge.merge_by_epoch(clean(spark, d))), "first", "last")
+    return job_view(aggregated(clean(spark, d)), "first", "last")
 
 
 @query("job_times", o.JOBS + f" SELECT {IDS_SQL}, first, last, duration, gputime_sec FROM jobs")
 def job_times(spark, d):
-    return j.job_times(j.job_aggregate(merge.merge_by_epoch(clean(spark, d)))).select(*ids(), "first", "last", "duration", "gputime_sec")
+    return j.job_times(aggregated(clean(spark, d))).select(*ids(), "first", "last", "duration", "gputime_sec")
 
 
 _MARK = "CAST(job AS VARCHAR) || CASE WHEN live_at_start AND live_at_end THEN '!' WHEN live_at_start THEN '<' WHEN live_at_end THEN '>' ELSE '' END AS jobm"
@@ -54,7 +58,7 @@ _CLASS = "CAST(live_at_start AS INTEGER) * 2 + CAST(live_at_end AS INTEGER) AS c
 
 @query("job_liveness", o.JOBS + f" SELECT {IDS_SQL}, live_at_start, live_at_end, {_MARK}, {_CLASS} FROM jobs")
 def job_liveness(spark, d):
-    summary = j.job_aggregate(merge.merge_by_epoch(clean(spark, d)))
+    summary = aggregated(clean(spark, d))
     out = j.job_liveness(summary, streams.host_bounds(samples(spark, d)))
     return out.select(*ids(), "live_at_start", "live_at_end", "jobm", "classification")
 
@@ -62,7 +66,7 @@ def job_liveness(spark, d):
 @query("job_zombie", o.JOBS + f" SELECT {IDS_SQL}, contains(cmd, 'error') AS zombie FROM jobs")
 def job_zombie(spark, d):
     df = samples(spark, d).withColumn("cmd", F.when(F.col("cmd") == "error", "error <defunct>").otherwise(F.col("cmd")))
-    out = j.job_zombie(j.job_aggregate(merge.merge_by_epoch(streams.clean_streams(df, ["event_id"]))))
+    out = j.job_zombie(aggregated(streams.clean_streams(df, ["event_id"])))
     return out.withColumn("cmd", F.replace("cmd", F.lit(" <defunct>"))).select(*ids(), "zombie")
 
 
