@@ -179,3 +179,21 @@ def test_chain_equals_a_plain_one(spark):
         fed = [x + [u] for x, u in zip(fed, unseen)]
     assert all(got[i] == pytest.approx(want, abs=1e-4) for (i, _), want in zip(docs, shown))
     assert len({round(p[1], 3) for p in got.values()}) > 5
+
+
+def test_counts_are_packed_on_their_way_to_the_driver():
+    rng = np.random.default_rng(5)
+    rows = []
+    for y in (0, 1, 0, 1):
+        ids = np.unique(rng.integers(0, 1 << subword.BITS, 1600))
+        rows.append((ids, rng.integers(1, 300, len(ids)), y))
+    rows.append((np.zeros(0, np.int64), np.zeros(0, np.int64), 1))
+    rows.append((np.array([0, (1 << subword.BITS) - 1]), np.array([70_000, 1]), 0))
+    data = [subword.packed(i, n) for i, n, _ in rows]
+    for d, (i, n, _) in zip(data, rows, strict=True):
+        ids, counts = subword.unpacked(d)
+        assert ids.tolist() == i.tolist() and counts.tolist() == n.tolist()
+    # Two numbers of four bytes each before.
+    assert all(len(d) < 4 * len(i) for d, (i, _, _) in zip(data[:4], rows, strict=False))
+    plain, lazy = subword.fit(rows), subword.fit(subword.PackedRows(data, [y for _, _, y in rows]))
+    assert (plain.vectors == lazy.vectors).all() and (plain.weights == lazy.weights).all() and (plain.bias == lazy.bias).all()

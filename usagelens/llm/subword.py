@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,7 +65,32 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int = 2, dim: int = 8, bits: int = BITS, epochs: int = 8, rate: float = 0.5, seed: int = 1) -> SubwordModel:
+def packed(ids: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising buckets and their counts in little more than a byte each: steps and counts by byte planes, compressed."""
+    both = np.stack([np.diff(ids, prepend=0), n]).astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    steps, n = np.ascontiguousarray(planes.T).view("<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int64), n.astype(np.int32)
+
+
+class PackedRows(Sequence):
+    """Rows for :func:`fit` that stay packed: one is opened when its turn comes."""
+
+    def __init__(self, data: list[bytes], labels: list[int]):
+        self.data, self.labels = data, labels
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        return *unpacked(self.data[i]), self.labels[i]
+
+
+def fit(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], n_classes: int = 2, dim: int = 8, bits: int = BITS, epochs: int = 8, rate: float = 0.5, seed: int = 1) -> SubwordModel:
     """Stochastic gradient descent, one document a step, with a rate that falls to zero.
 
     ``rows``: (buckets, their counts, class).  Documents without features move the bias alone.
@@ -91,7 +117,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int = 2, dim:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: Column, key: str = "doc_id", text: str = "text", bound: int = 4000, use: Column | None = None, bits: int = BITS, grams: tuple[int, ...] = GRAMS, **options) -> SubwordModel | None:
-    """Fit on at most ``bound`` labelled documents; tasks count the features, the driver gets the counts.
+    """Fit on at most ``bound`` labelled documents; tasks count the features, the driver gets the counts, packed.
 
     None where there is no labelled document.
     """
@@ -105,18 +131,13 @@ def train(docs: DataFrame, labels: DataFrame, target: Column, key: str = "doc_id
                 edges = [np.searchsorted(at, offs) for _, at in parts]
                 for i in range(len(offs) - 1):
                     ids, n = np.unique(np.concatenate([f[e[i] : e[i + 1]] for (f, _), e in zip(parts, edges, strict=True)]), return_counts=True)
-                    out.append((ids, n))
-            yield pa.RecordBatch.from_pydict({
-                "k": b.column(key).cast(pa.string()), "y": b.column("_y_y").cast(pa.int32()),
-                "ids": pa.array([x.astype(np.int32) for x, _ in out], pa.list_(pa.int32())), "n": pa.array([x.astype(np.int32) for _, x in out], pa.list_(pa.int32())),
-            })
+                    out.append(packed(ids, n))
+            yield pa.RecordBatch.from_pydict({"k": b.column(key).cast(pa.string()), "y": b.column("_y_y").cast(pa.int32()), "counts": pa.array(out, pa.binary())})
 
-    got = sample.mapInArrow(counted, "k string, y int, ids array<int>, n array<int>").toArrow().sort_by("k").combine_chunks()
+    got = sample.mapInArrow(counted, "k string, y int, counts binary").toArrow().sort_by("k")
     if not got.num_rows:
         return None
-    ids, n = got.column("ids").combine_chunks(), got.column("n").combine_chunks()
-    rows = [(ids[i].values.to_numpy(), n[i].values.to_numpy(), y) for i, y in enumerate(got.column("y").to_pylist())]
-    return fit(rows, bits=bits, **options)
+    return fit(PackedRows(got.column("counts").to_pylist(), got.column("y").to_pylist()), bits=bits, **options)
 
 
 def score(docs: DataFrame, model: SubwordModel | None, text: str = "text", out: str = "score", bits: int = BITS, grams: tuple[int, ...] = GRAMS) -> DataFrame:
