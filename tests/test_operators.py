@@ -195,3 +195,28 @@ def test_names_of_a_job_are_those_of_its_steps(spark):
         assert apart.columns == along.columns
         order = ["job", "host", "solo"]
         assert apart.orderBy(*order).collect() == along.orderBy(*order).collect()
+
+
+def test_a_scan_deals_rows_out_without_collecting_them(spark, sf_dir):
+    """Beyond 200 partitions Spark holds all rows of a writing task in memory, and a scan may be one task."""
+    import re
+
+    from usagelens.operators.accounting import sacct_dedup
+    from usagelens.operators.streams import clean_streams as cleaned
+    from usagelens.plans import inputs
+    from usagelens.plans.driver_tables import samples
+
+    def partitions():
+        frames = cleaned(samples(spark, sf_dir), ["event_id"]), sacct_dedup(inputs.sacct(spark, sf_dir))
+        return [int(n) for f in frames for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", f._jdf.queryExecution().executedPlan().toString())]
+
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"):
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, "600")
+        try:
+            assert partitions() == [200, 200], name
+            rows = [sample(host="h1", pid=1000 + p, t=t) for p in range(40) for t in (0, 0, 300)]
+            assert cleaned(frame(spark, rows)).count() == 80
+        finally:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert partitions() == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2

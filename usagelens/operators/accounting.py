@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.scalars import round_half_up
+from usagelens.operators.streams import dealt_out
 
 # How final a state is; everything else is final.
 STATE_RANK = {"PENDING": 0, "RUNNING": 1}
@@ -26,7 +27,7 @@ def sacct_dedup(sacct: DataFrame) -> DataFrame:
     w = Window.partitionBy("job_id", "job_step").orderBy(
         F.col("t").desc(), state_rank(F.col("state")).desc(), "state", *rest
     )
-    return sacct.repartition("job_id").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return dealt_out(sacct, "job_id").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def sacct_jobs(records: DataFrame) -> DataFrame:

@@ -25,6 +25,18 @@ def stream_key(samples: DataFrame) -> DataFrame:
     return samples.withColumn("stream_id", F.when(rolled, tagged).otherwise(F.col("pid")).cast("bigint"))
 
 
+def dealt_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by key, in no more partitions than Spark fills side by side.
+
+    Up to ``spark.shuffle.sort.bypassMergeThreshold`` partitions a task writes each row to its partition as it comes; for more it
+    collects its rows in memory first, and a scan may be one task however large its file is.
+    """
+    conf = rows.sparkSession.conf
+    most = int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    wanted = max(int(conf.get(c, None) or 0) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+    return rows.repartition(*keys) if wanted <= most else rows.repartition(most, *keys)
+
+
 def dedup_streams(samples: DataFrame, tie: list[str] | None = None) -> DataFrame:
     """One row per (stream, time).  ``tie`` orders rows of equal time; by default all other columns do.
 
@@ -35,7 +47,7 @@ def dedup_streams(samples: DataFrame, tie: list[str] | None = None) -> DataFrame
     key = [*STREAM, "t"]
     order = tie or [c for c in df.columns if c not in key]
     w = Window.partitionBy(*key).orderBy(*order)
-    return df.repartition(*STREAM).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return dealt_out(df, *STREAM).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def cpu_util(streams: DataFrame) -> DataFrame:
