@@ -197,3 +197,26 @@ def test_counts_are_packed_on_their_way_to_the_driver():
     assert all(len(d) < 4 * len(i) for d, (i, _, _) in zip(data[:4], rows, strict=False))
     plain, lazy = subword.fit(rows), subword.fit(subword.PackedRows(data, [y for _, _, y in rows]))
     assert (plain.vectors == lazy.vectors).all() and (plain.weights == lazy.weights).all() and (plain.bias == lazy.bias).all()
+
+
+def test_scoring_holds_little_beside_a_batch():
+    """A worker's arrays follow a small chunk, not the batch: two workers share an executor's memory with its JVM."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from usagelens.llm import subword
+
+    texts = pa.array([f"some words of text {i} and more of them " * 40 for i in range(2500)] + [None, ""])
+    table = np.linspace(-1, 1, 1 << subword.BITS, dtype=np.float32)
+    whole = subword.batch_scores(texts.slice(0, 3), table, 0.1)
+    tracemalloc.start()
+    try:
+        found = subword.batch_scores(texts, table, 0.1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 << 20
+    np.testing.assert_allclose(found[:3], whole, rtol=1e-9)
+    assert found[-1] == found[-2] == 1 / (1 + np.exp(-0.1))

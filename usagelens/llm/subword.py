@@ -15,6 +15,8 @@ from usagelens.llm.sample import labelled
 
 BITS = 17
 GRAMS = (3, 4)
+#: Bytes of texts whose features are found at once: arrays of some hundred bytes for each stand beside what a worker holds already.
+CHUNK = 1 << 17
 #: The bucket of the mark for a repeated word.
 AGAIN = 0
 _VALUES = tx.byte_values(5)
@@ -126,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, target: Column, key: str = "doc_id
     def counted(batches):
         for b in batches:
             out = []
-            for _, raw, offs in tx.chunks(b.column("_text")):
+            for _, raw, offs in tx.chunks(b.column("_text"), CHUNK):
                 parts = list(features(raw, offs, bits, grams))
                 edges = [np.searchsorted(at, offs) for _, at in parts]
                 for i in range(len(offs) - 1):
@@ -140,10 +142,25 @@ def train(docs: DataFrame, labels: DataFrame, target: Column, key: str = "doc_id
     return fit(PackedRows(got.column("counts").to_pylist(), got.column("y").to_pylist()), bits=bits, **options)
 
 
+def batch_scores(texts: pa.Array, table: np.ndarray, bias: float, bits: int = BITS, grams: tuple[int, ...] = GRAMS) -> np.ndarray:
+    """The probability of class 1 of each text, from what each bucket adds and the bias."""
+    found = np.zeros(len(texts))
+    for first, raw, offs in tx.chunks(texts, CHUNK):
+        total, n = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
+        for ids, at in features(raw, offs, bits, grams):
+            edges = np.searchsorted(at, offs)
+            sums = np.concatenate([[0.0], np.cumsum(table[ids], dtype=np.float64)])
+            total += sums[edges[1:]] - sums[edges[:-1]]
+            n += np.diff(edges)
+        logit = total / np.maximum(n, 1) + bias
+        found[first : first + len(n)] = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+    return found
+
+
 def score(docs: DataFrame, model: SubwordModel | None, text: str = "text", out: str = "score", bits: int = BITS, grams: tuple[int, ...] = GRAMS) -> DataFrame:
     """Add the probability of class 1 of each whole text.
 
-    A batch of texts costs a few passes over its bytes; memory is bounded by a chunk of about 1 MB or the
+    A batch of texts costs a few passes over its bytes; memory is bounded by a chunk of about 128 KB or the
     longest text.  Null and empty texts have no features and get what the bias says; without a model
     every score is 0.5.  Other columns and repeated rows stay as they are; an empty table stays empty.
     """
@@ -159,16 +176,7 @@ def score(docs: DataFrame, model: SubwordModel | None, text: str = "text", out:
     def scored(batches):
         table, bias = shared.value
         for b in batches:
-            found = np.zeros(b.num_rows)
-            for first, raw, offs in tx.chunks(b.column(text)):
-                total, n = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
-                for ids, at in features(raw, offs, bits, grams):
-                    edges = np.searchsorted(at, offs)
-                    sums = np.concatenate([[0.0], np.cumsum(table[ids], dtype=np.float64)])
-                    total += sums[edges[1:]] - sums[edges[:-1]]
-                    n += np.diff(edges)
-                logit = total / np.maximum(n, 1) + bias
-                found[first : first + len(n)] = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+            found = batch_scores(b.column(text), table, bias, bits, grams)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(found)], names=[*kept, out])
 
     schema = docs.select(*kept).schema.add(out, "double")
